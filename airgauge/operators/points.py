@@ -69,10 +69,8 @@ def _rank_within_time(
     order = _ties(near.drop("_before"), time, ties)
     if not large:
         w = Window.partitionBy(time).orderBy(*order)
-        rank = F.col("_before") + F.row_number().over(w) - 1
-        return near.where(rank.isNotNull()).withColumn("_rank", rank).where(
-            F.col("_rank") % stride == 0
-        )
+        ranked = near.withColumn("_rank", F.col("_before") + F.row_number().over(w) - 1)
+        return ranked.where(F.col("_rank") % stride == 0)
     # Any time may hold most rows: count equal rows, then order the distinct ones.
     rest = [c for c in data if c != time and c not in order]
     full = [*order, *rest]

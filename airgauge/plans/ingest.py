@@ -80,15 +80,12 @@ def ingest(
     the list of processed files: a run that breaks off can simply be repeated.
     """
     found = exports.discover(exports.list_files(spark, paths))
-    listed = [r.asDict() for r in found.select("path", "exported_at").collect()]
-    bad = sorted(f["path"] for f in listed if f["exported_at"] is None)
+    bad = [r.path for r in found.where(F.col("exported_at").isNull()).collect()]
     if bad:
-        raise ValueError(f"{', '.join(bad)}: export folder must be YYYYMMDD or YYYYMMDD-HHMM")
-    if not listed:
-        return _actions(spark, None)
-
-    read = exports.contents(spark, [f["path"] for f in listed])
-    files = settle(found.join(read, "path"))
+        raise ValueError(
+            f"{', '.join(sorted(bad))}: export folder must be YYYYMMDD or YYYYMMDD-HHMM"
+        )
+    files = settle(found.join(exports.contents(spark, found), "path"))
     if not force:
         processed = store.files_table(spark, root).read()
         files = exports.newest_copies(exports.unprocessed(files, processed))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,17 @@ from airgauge.functions import names
 from airgauge.functions.casts import canonical_value
 from airgauge.operators.filters import keep_test_rows
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 DELIMITERS = (",", ";", "\t", "|")
 SOURCE_PATH = "source_path"
 
+# Larger files are not loaded whole; Spark itself stops at 2 GB for one value.
+WHOLE_FILE_BYTES = 256 << 20
+
+_CONTENTS = "path string, file_hash string, header string, multi_line boolean"
+
 # The first line of a file is looked for in this many bytes.
 _HEADER_BYTES = 1 << 20
 _ODD_QUOTES = r'(?m)^[^"\n]*+"(?:[^"\n]*+"[^"\n]*+")*+[^"\n]*+$'
@@ -72,11 +81,31 @@ def discover(files: DataFrame) -> DataFrame:
     )
 
 
-def contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """SHA-256, header line and quoting of each file, from one read of it."""
+def contents(spark: SparkSession, files: DataFrame, whole_limit: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """SHA-256, header line and quoting of each listed file (path, length).
+
+    Files up to ``whole_limit`` bytes are handled by built-in functions on their
+    content. Larger ones, which a row cannot hold, are read block by block.
+    """
+    listed = files.select("path", "length")
+    sizes = {r.path: r.length for r in listed.collect()}
+    small = [p for p, n in sizes.items() if n <= whole_limit]
+    large = [p for p, n in sizes.items() if n > whole_limit]
+    parts = []
+    if small:
+        parts.append(_whole_contents(spark, small))
+    if large:
+        paths = spark.createDataFrame([(p,) for p in large], "path string")
+        parts.append(paths.repartition(len(large), "path").mapInPandas(_block_contents, _CONTENTS))
+    if not parts:
+        return spark.createDataFrame([], _CONTENTS)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _whole_contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     text = F.col("content").cast("string")
     head = F.substring("content", 1, _HEADER_BYTES).cast("string")
-    first_line = F.regexp_replace(F.substring_index(head, "\n", 1), "^﻿|\r$", "")
+    first_line = F.regexp_replace(F.substring_index(head, "\n", 1), "^\ufeff|\r$", "")
     return (
         spark.read.format("binaryFile")
         .load([glob_safe(p) for p in paths])
@@ -89,6 +118,38 @@ def contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def _block_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same facts about files of any size, one 8 MiB block in memory at a time."""
+    import hashlib
+
+    import pandas as pd
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch["path"]:
+            system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            digest, head, tail, odd = hashlib.sha256(), b"", 0, False
+            with system.open_input_stream(name) as stream:
+                while block := stream.read(8 << 20):
+                    digest.update(block)
+                    if len(head) < _HEADER_BYTES:
+                        head += block[: _HEADER_BYTES - len(head)]
+                    lines = block.split(b"\n")
+                    quotes = [line.count(b'"') for line in lines]
+                    quotes[0] += tail
+                    odd = odd or any(n % 2 for n in quotes[:-1])
+                    tail = quotes[-1]
+            first = head.split(b"\n", 1)[0].decode("utf-8", "replace")
+            yield pd.DataFrame(
+                {
+                    "path": [path],
+                    "file_hash": [digest.hexdigest()],
+                    "header": [re.sub("^\ufeff|\r$", "", first)],
+                    "multi_line": [odd or tail % 2 == 1],
+                }
+            )
+
+
 def layouts(files: DataFrame) -> list[Layout]:
     """Group files (path, kind, header, multi_line) by how they must be read.
 

@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with an independent SQL oracle."""
 
-from workloads import compared, facet, mapped, summaries  # noqa: F401
+from workloads import cataloged, compared, facet, ingested, mapped, summaries  # noqa: F401
 from workloads.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -159,7 +159,7 @@ def compare_charts(spark, folder):
 @query(
     "scope_prune",
     """SELECT position, kept, kept <> collections AS changed FROM (SELECT position, collections,
-  array_to_string(list_filter(string_split(collections, ','), c -> list_contains(scope, c)), ',') AS kept
+  array_to_string(list_filter(string_split(collections, ','), lambda c: list_contains(scope, c)), ',') AS kept
   FROM (SELECT list(DISTINCT collection_name) AS scope FROM m),
   (VALUES (0, 'col_0,col_1'), (1, 'col_1,col_2'), (2, 'col_3'), (3, 'col_4'), (4, 'col_0,col_4'), (5, 'col_0'),
     (6, 'nowhere'), (7, 'col_0,col_1,col_2,col_3,col_4')) AS t(position, collections))""",
