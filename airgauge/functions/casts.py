@@ -1,4 +1,8 @@
-"""Column expressions that clean export text without failing on bad values."""
+"""SQL expressions that clean export text without failing on bad values.
+
+They are kept as SQL text, because an import selects more than a hundred of
+them at once. ``c`` is the text of an expression, usually a column name.
+"""
 
 from __future__ import annotations
 
@@ -8,53 +12,56 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 
 
-def clean_text(c: Column) -> Column:
+def quoted(text: str) -> str:
+    """SQL literal of a text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def clean_text(c: str) -> str:
     """Outer spaces removed; blank text is NULL."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return f"nullif(trim({c}), '')"
 
 
-def to_bigint(c: Column) -> Column:
-    """Whole number from text; fractions round half away from zero, overflow is NULL."""
-    return F.round(c.try_cast("decimal(38,10)"), 0).try_cast("bigint")
+def bigint(c: str) -> str:
+    """Whole number; fractions round half away from zero, overflow is NULL."""
+    return f"try_cast(round(try_cast({c} AS DECIMAL(38, 10)), 0) AS BIGINT)"
 
 
-def to_double(c: Column) -> Column:
-    """Double from text; a Java-style suffix (``1d``, ``1f``) is not a number."""
-    return F.when(~c.rlike(r"[0-9.][dDfF]\s*$"), c.try_cast("double"))
+def double(c: str) -> str:
+    """Double; a Java-style suffix (``1d``, ``1f``) is not a number."""
+    return rf"CASE WHEN NOT {c} RLIKE r'[0-9.][dDfF]\s*$' THEN try_cast({c} AS DOUBLE) END"
 
 
-def to_flag(c: Column) -> Column:
+def flag(c: str) -> str:
     """Boolean from text that has no blanks around it."""
-    return F.when(c.rlike(r"^\S+$"), c.try_cast("boolean"))
+    return rf"CASE WHEN {c} RLIKE r'^\S+$' THEN try_cast({c} AS BOOLEAN) END"
 
 
-def to_time(c: Column) -> Column:
+def time(c: str) -> str:
     """Zone-free timestamp from text that starts with a full date.
 
     ``/`` may separate the date parts, an offset in the text is ignored, and
     24:00:00 is the next midnight.
     """
-    dashed = F.regexp_replace(c, r"^(\s*\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    full_date = dashed.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}")
-    midnight = r"^\s*(\d{4}-\d{1,2}-\d{1,2})[ T]24:00:00(\.0+)?\s*$"
-    next_day = F.nullif(F.regexp_extract(dashed, midnight, 1), F.lit("")).try_cast(
-        "timestamp_ntz"
-    ) + F.expr("INTERVAL 1 DAY")
-    return F.when(full_date, F.coalesce(dashed.try_cast("timestamp_ntz"), next_day))
+    dashed = rf"regexp_replace({c}, r'^(\s*\d{{4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
+    late = r"r'^\s*(\d{4}-\d{1,2}-\d{1,2})[ T]24:00:00(\.0+)?\s*$'"
+    midnight = f"nullif(regexp_extract({dashed}, {late}, 1), '')"
+    return (
+        rf"CASE WHEN {c} RLIKE r'^\s*\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}' THEN coalesce("
+        f"try_cast({dashed} AS TIMESTAMP_NTZ), "
+        f"try_cast({midnight} AS TIMESTAMP_NTZ) + INTERVAL 1 DAY) END"
+    )
 
 
-_CASTS = {
-    S.STRING: clean_text,
-    S.LONG: to_bigint,
-    S.DOUBLE: to_double,
-    S.FLAG: to_flag,
-    S.TIME: to_time,
-}
+_CASTS = {S.STRING: clean_text, S.LONG: bigint, S.DOUBLE: double, S.FLAG: flag, S.TIME: time}
 
 
-def canonical_value(c: Column, column: S.Column) -> Column:
+def canonical_value(c: str, column: S.Column) -> str:
     """Export text turned into the stored type and unit of ``column``."""
     value = _CASTS[column.type](c)
-    if column.name in S.KILO_COLUMNS:
-        value = value / F.lit(1000)
-    return value
+    return f"({value}) / 1000" if column.name in S.KILO_COLUMNS else value
+
+
+def time_bound(text: str) -> Column:
+    """Time given in a request, NULL when the text is none."""
+    return F.expr(time(quoted(text)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.functions import labels as L
 from airgauge.operators.filters import Selection
+from airgauge.session import broadcast_if_small
 
 COLLECTION = ("database_name", "collection_name")
 
@@ -123,10 +124,10 @@ def selection_categories(collections: DataFrame) -> DataFrame:
 def key_filter(measurements: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose partition is listed in ``keys``.
 
-    The keys are catalog rows. Which side is sent to all executors is left to
-    the size estimates of Spark, since a catalog has no fixed size.
+    Keys of a checked size are broadcast, so that only listed partitions are read.
     """
-    return measurements.join(keys.select(*S.PARTITION_KEY), list(S.PARTITION_KEY), "left_semi")
+    listed = broadcast_if_small(keys.select(*S.PARTITION_KEY))
+    return measurements.join(listed, list(S.PARTITION_KEY), "left_semi")
 
 
 def catalog_keys(partitions: DataFrame, selection: Selection) -> DataFrame:

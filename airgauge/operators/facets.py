@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from airgauge import schema as S
 from airgauge.functions import labels as L
-from airgauge.operators.filters import Selection, band_is, ssb_is
+from airgauge.operators.filters import Selection
 from airgauge.session import settle
 
 LEVELS = ("technology", "operator", "band", "pci", "ssb")
@@ -101,28 +101,19 @@ def attach_metric_labels(rows: DataFrame, category: Column, metric: str = "value
 
 
 def level_tests(selection: Selection) -> dict[str, Column]:
-    """The condition of every chosen level. A malformed band is an error."""
-    tests: dict[str, Column] = {}
-    if selection.technology:
-        tests["technology"] = F.col("technology") == selection.technology
-    if selection.operator:
-        tests["operator"] = F.col("operator_name") == selection.operator
-    if selection.band:
-        tests["band"] = _listed(band_is(selection.band), ":" in selection.band)
-    if selection.pci:
-        tests["pci"] = F.col("pci").cast("string") == selection.pci
-    if selection.ssb:
-        tests["ssb"] = (
-            ssb_is(selection.ssb)
-            if selection.ssb == S.NULL_CHOICE
-            else F.col("ssb_index").cast("string") == selection.ssb
-        )
-    return {level: F.coalesce(test, F.lit(False)) for level, test in tests.items()}
-
-
-def _listed(test: Column, qualified: bool) -> Column:
-    # Choices are technology-qualified, so a bare number is never among them.
-    return test if qualified else F.lit(False)
+    """The condition of every chosen level: its value as it is listed as a choice."""
+    listed = {
+        "technology": (selection.technology, F.col("technology")),
+        "operator": (selection.operator, F.col("operator_name")),
+        "band": (selection.band, L.band_choice(F.col("technology"), F.col("band_number"))),
+        "pci": (selection.pci, F.col("pci").cast("string")),
+        "ssb": (selection.ssb, L.null_choice(F.col("ssb_index"))),
+    }
+    return {
+        level: F.coalesce(choice == value, F.lit(False))
+        for level, (value, choice) in listed.items()
+        if value
+    }
 
 
 def current_choices(counts: DataFrame, selection: Selection) -> dict[str, Column]:
@@ -213,3 +204,15 @@ def cascade_of(counts: DataFrame, category: str, valid: dict[str, Column]) -> Da
         .alias("label"),
         "n",
     )
+
+
+def ordered_choices(choices: DataFrame) -> DataFrame:
+    """Choices level by level; numbers by size, the choice for NULL last."""
+    number = F.regexp_extract("value", r"^(?:\w+:)?(\d+)$", 1).try_cast("bigint")
+    return choices.orderBy(
+        F.array_position(F.array(*[F.lit(x) for x in (*LEVELS, "metric")]), F.col("level")),
+        F.col("value") == S.NULL_CHOICE,
+        F.when(F.col("level") == "band", F.substring_index("value", ":", 1)),
+        number.asc_nulls_first(),
+        "value",
+    )

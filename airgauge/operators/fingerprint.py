@@ -48,13 +48,13 @@ def partition_summaries(
     )
 
 
-def fingerprint(kind: Column, columns: Sequence[str]) -> Column:
+def fingerprint(kind: Column, columns: Column) -> Column:
     """SHA-256 over schema version, kind, columns and a partition summary."""
     parts = F.concat_ws(
         "|",
         F.lit(str(S.SCHEMA_VERSION)),
         kind,
-        F.lit(",".join(columns)),
+        columns,
         *[
             F.coalesce(F.col(c).cast("string"), F.lit("-"))
             for c in (

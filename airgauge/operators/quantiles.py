@@ -144,6 +144,7 @@ def metric_summary(
     rows: DataFrame,
     value: str = "metric_value",
     groups: Sequence[str] = (),
+    more: Sequence[Column] = (),
 ) -> DataFrame:
     """Count, extremes and time span of the rows that have a value, in one pass."""
     present = rows.where(F.col(value).isNotNull())
@@ -153,6 +154,7 @@ def metric_summary(
         F.max(value).alias("maximum"),
         F.min("measured_at").alias("start"),
         F.max("measured_at").alias("end"),
+        *more,
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgauge import schema as S
+from airgauge.functions.names import lookup
 from airgauge.operators.fingerprint import fingerprint, partition_summaries, row_text
 from airgauge.session import settle
 from airgauge.sources import exports, store
@@ -53,20 +54,36 @@ def snapshot_actions(incoming: DataFrame, current: DataFrame, force: bool = Fals
     return incoming.join(known, list(S.PARTITION_KEY), "left").withColumn("action", action)
 
 
-def file_summaries(rows: DataFrame, kind: str) -> DataFrame:
-    """Summary, fingerprint and invalid rows of each partition in each file of a kind."""
-    columns = S.measurement_struct(kind).names
-    keys = ["database_name", "collection_name", SOURCE]
+def file_summaries(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """Summary, fingerprint and invalid rows of each partition in each file.
+
+    Each kind turns its rows into text over its own columns; the texts of all
+    kinds then go through one aggregation.
+    """
+    keys = ["measurement_type", "database_name", "collection_name", SOURCE]
+    texts = store.union_kinds(
+        [
+            rows.select(
+                F.lit(kind).alias("measurement_type"),
+                *keys[1:],
+                "measured_at",
+                row_text(S.measurement_struct(kind).names).alias("text"),
+            )
+            for kind, rows in frames
+        ]
+    )
     lacking = F.count_if(
         F.col("measured_at").isNull()
         | F.col("database_name").isNull()
         | F.col("collection_name").isNull()
     )
-    summaries = partition_summaries(rows, keys, row_text(columns), lacking.alias("invalid"))
-    return summaries.select(
-        "*",
-        F.lit(kind).alias("measurement_type"),
-        fingerprint(F.lit(kind), columns).alias("content_hash"),
+    summaries = partition_summaries(texts, keys, F.col("text"), lacking.alias("invalid"))
+    columns = lookup(
+        F.col("measurement_type"),
+        {kind: ",".join(S.measurement_struct(kind).names) for kind in S.KINDS},
+    )
+    return summaries.withColumn(
+        "content_hash", fingerprint(F.col("measurement_type"), columns)
     )
 
 
@@ -94,7 +111,7 @@ def ingest(
         return _actions(spark, None)
 
     frames = [(g.kind, exports.read_canonical(spark, g)) for g in groups]
-    summaries = settle(store.union_kinds([file_summaries(rows, kind) for kind, rows in frames]))
+    summaries = settle(file_summaries(frames))
     _require_valid(summaries)
 
     about = files.select(F.col("path").alias(SOURCE), "path", "exported_at", "file_hash")
@@ -102,16 +119,11 @@ def ingest(
     current = store.partitions_table(spark, root).read()
     plan = settle(snapshot_actions(latest_snapshots(deliveries), current, force))
 
-    changed = plan.where(F.col("action").isin("ADD", "REPLACE")).select(*S.PARTITION_KEY, SOURCE)
+    changed = plan.where(F.col("action").isin("ADD", "REPLACE"))
     if not changed.isEmpty():
-        rows = store.union_kinds(
-            [frame.withColumn("measurement_type", F.lit(kind)) for kind, frame in frames]
-        )
-        chosen = rows.join(changed, [*S.PARTITION_KEY, SOURCE], "left_semi").drop(SOURCE)
-        store.write_snapshots(
-            store.union_kinds([spark.createDataFrame([], S.store_struct()), chosen]),
-            measurements_root(root),
-        )
+        rows = store.union_kinds([store.widened(frame, kind, SOURCE) for kind, frame in frames])
+        wanted = changed.select(*S.PARTITION_KEY, SOURCE, "row_count")
+        store.write_snapshots(rows, measurements_root(root), wanted)
     store.partitions_table(spark, root).upsert(_catalog_rows(plan))
     store.files_table(spark, root).upsert(_file_rows(files))
     return _actions(spark, plan)

@@ -38,9 +38,11 @@ def selected_metric(measurements: DataFrame, arguments: Mapping[str, object]):
 def summary_row(rows: DataFrame) -> dict[str, object]:
     """Summary of one metric with exact P5, median and P95, as a driver-side row.
 
-    Counts come first: they decide how the quantiles are computed.
+    Counts come first: they decide how the quantiles are computed. ``located`` is
+    the number of rows that can be put on a map.
     """
-    counted = quantiles.metric_summary(rows).withColumn(
+    on_map = F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    counted = quantiles.metric_summary(rows, more=[on_map.alias("located")]).withColumn(
         "seconds", series.seconds_between(F.col("start"), F.col("end"))
     ).first().asDict()
     if not counted["count"]:
@@ -59,13 +61,14 @@ def measurements(rows: DataFrame, arguments: Mapping[str, object]) -> Measuremen
     if not summary["count"]:
         return MeasurementResult(metric, label, unit, summary, None, None)
     located = points.point_records(filtered, selection.category)
+    thinned = points.thin_by_time(located, total=summary["located"])
     over_time = None
     if selection.operator:
         over_time = series.time_series(
             filtered, series.bucket_width(summary["seconds"])
         ).orderBy("bucket")
     return MeasurementResult(
-        metric, label, unit, summary, points.thin_by_time(located), over_time
+        metric, label, unit, summary, thinned, over_time
     )
 
 
@@ -77,7 +80,8 @@ def cdf(rows: DataFrame, arguments: Mapping[str, object]) -> DataFrame:
 
 def options(rows: DataFrame, arguments: Mapping[str, object]) -> DataFrame:
     """Choices of all filter levels for a selection."""
-    return facets.facet_cascade(rows, Selection.of(arguments))
+    selection = Selection.of(arguments, stale=True)
+    return facets.ordered_choices(facets.facet_cascade(rows, selection))
 
 
 def compare_cdfs(

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from airgauge import schema as S
 from airgauge.functions import names
-from airgauge.functions.casts import canonical_value
+from airgauge.functions.casts import canonical_value, quoted
 from airgauge.operators.filters import keep_test_rows
 
 if TYPE_CHECKING:
@@ -228,17 +228,18 @@ def canonicalize(
         return next((columns[t] for t in tokens if t in columns), None)
 
     missing: list[str] = []
-    selected: list[Column] = []
+    selected: list[str] = []
     for column in S.COLUMNS[category]:
         source = column.source(technology)
         if isinstance(source, S.Constant):
-            selected.append(F.lit(source.value).cast(column.type).alias(column.name))
+            value = "NULL" if source.value is None else quoted(str(source.value))
+            selected.append(f"CAST({value} AS {column.type}) AS {column.name}")
             continue
         found = find(source.names)
         if found is None:
             missing.append(f"{column.name} ({' / '.join(source.names)})")
             continue
-        selected.append(canonical_value(F.col(f"`{found}`"), column).alias(column.name))
+        selected.append(f"{canonical_value(f'`{found}`', column)} AS {column.name}")
 
     filter_columns: dict[str, str] = {}
     for name, _ in S.ROW_FILTERS.get(category, ()):
@@ -251,7 +252,7 @@ def canonicalize(
         raise ValueError(f"{kind}: missing canonical columns: {', '.join(missing)}")
 
     kept = keep_test_rows(rows, category, filter_columns)
-    return kept.select(*selected, *carry)
+    return kept.selectExpr(*selected, *carry)
 
 
 def read_canonical(spark: SparkSession, layout: Layout) -> DataFrame:

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgauge import schema as S
+from airgauge.operators.filters import Selection
+from airgauge.session import broadcast_if_small
+
+_STORE_KEYS = ("measurement_type", "database_name", "collection_name")
+ROWS_PER_FILE = 4_000_000
 
 # Characters Spark escapes in partition folder names.
 _ESCAPED = '%"#\'*/:=?\\{[]^'
@@ -22,22 +27,52 @@ def union_kinds(frames: Sequence[DataFrame]) -> DataFrame:
     return union
 
 
-def write_snapshots(rows: DataFrame, root: str, time: str = "measured_at") -> None:
+def widened(rows: DataFrame, kind: str, *more: str) -> DataFrame:
+    """Rows of one kind with the columns of the whole store; lacking ones are NULL."""
+    own = S.measurement_struct(kind).names
+    lacking = {
+        f.name: f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in S.store_struct().fields
+        if f.name not in own
+    }
+    lacking["measurement_type"] = f"'{kind}' AS measurement_type"
+    return rows.selectExpr(*[lacking.get(n, n) for n in S.store_struct().names], *more)
+
+
+def write_snapshots(
+    rows: DataFrame,
+    root: str,
+    wanted: DataFrame | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
     """Replace the partitions found in ``rows``; other partitions stay.
 
-    Rows are range-partitioned by key and time, so a large partition becomes
-    several files that each cover a stretch of time. The input split breaks ties:
-    copies of one row need not share a task either.
+    ``wanted`` holds the ``row_count`` of each partition, and may restrict the rows
+    by further columns it shares with them. It is counted when not given. A large
+    partition becomes several files, each sorted by time: rows are spread over them
+    by the input split they come from, which copies of one row, or rows at one time,
+    do not share. Nothing has to be sampled for this.
     """
-    keys = ["measurement_type", "database_name", "collection_name"]
-    ordered = (
+    keys = list(_STORE_KEYS)
+    if wanted is None:
+        wanted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    shared = [c for c in wanted.columns if c != "row_count"]
+    files = F.ceil(F.col("row_count") / F.lit(rows_per_file)).cast("int")
+    sizes = wanted.select(*shared, files.alias("_files"))
+    placed = (
         rows.withColumn("_split", F.spark_partition_id())
-        .repartitionByRange(*keys, time, "_split")
-        .drop("_split")
-        .sortWithinPartitions(*keys, time)
+        .join(broadcast_if_small(sizes), shared)
+        .withColumn("_file", F.pmod("_split", "_files"))
+    )
+    # A given number of tasks keeps adaptive execution from merging small ones,
+    # which would write all files of a small import one after the other.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.repartition(tasks, *keys, "_file").sortWithinPartitions(
+        *keys, "_file", "measured_at"
     )
     (
-        ordered.write.mode("overwrite")
+        ordered.select(*[c for c in rows.columns if c not in shared or c in keys])
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*keys)
@@ -55,6 +90,27 @@ def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return rows.select(*S.measurement_struct(kind).names)
 
 
+def read_selection(spark: SparkSession, root: str, selection: Selection) -> DataFrame:
+    """Stored rows in the scope of a selection, after a look into the catalog.
+
+    A cataloged partition whose folder is gone is an error; a selection without
+    partitions is an empty result. The lookup gives at most two partitions for
+    each requested collection.
+    """
+    listed = partitions_table(spark, root).read().where(selection.scope())
+    for row in listed.select("parquet_path").collect():
+        if not _exists(spark, f"{root}/{row.parquet_path}"):
+            raise FileNotFoundError(f"Cataloged partition is unavailable: {row.parquet_path}")
+    if listed.isEmpty():
+        return spark.createDataFrame([], S.store_struct())
+    return read_snapshots(spark, f"{root}/measurements").where(selection.scope())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def partition_folder() -> Column:
     """Folder of a partition below the store root, as the writer names it."""
 
@@ -63,8 +119,7 @@ def partition_folder() -> Column:
             c = F.replace(c, F.lit(ch), F.lit(f"%{ord(ch):02X}"))
         return c
 
-    keys = ("measurement_type", "database_name", "collection_name")
-    return F.concat_ws("/", *[F.concat(F.lit(f"{k}="), escaped(F.col(k))) for k in keys])
+    return F.concat_ws("/", *[F.concat(F.lit(f"{k}="), escaped(F.col(k))) for k in _STORE_KEYS])
 
 
 class VersionedTable:

@@ -187,7 +187,7 @@ def content_hash(spark, folder):
         view(spark, folder, "m"), S.PARTITION_KEY, F.concat_ws("|", *[text(c) for c in columns])
     )
     hashed = summaries.withColumn(
-        "content_hash", fingerprint.fingerprint(F.col("measurement_type"), columns)
+        "content_hash", fingerprint.fingerprint(F.col("measurement_type"), F.lit(",".join(columns)))
     )
     return hashed.withColumns({c: F.col(c).cast("string") for c in _SUMS[3:]})
 
@@ -206,7 +206,7 @@ def content_hash_of_all_columns(spark, folder):
         summaries = fingerprint.partition_summaries(
             frame, S.PARTITION_KEY, fingerprint.row_text(columns)
         )
-        value = fingerprint.fingerprint(F.col("measurement_type"), columns)
+        value = fingerprint.fingerprint(F.col("measurement_type"), F.lit(",".join(columns)))
         return summaries.select(*S.PARTITION_KEY, value.alias(name))
 
     mixed = hashes(rows.repartition(5, "event_id"), "mixed")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from airgauge import schema as S
 from airgauge.functions import casts
+from airgauge.functions.names import lookup
 from airgauge.operators.filters import keep_test_rows
 from airgauge.plans import ingest
 from airgauge.session import fresh_folder
@@ -25,28 +26,26 @@ def header(alias: str) -> str:
     return alias.replace("_", " ").title()
 
 
-def vendor_columns(kind: str):
-    """Text columns of an export of ``kind``, under vendor headers, from M."""
+def vendor_columns(kind: str) -> dict[str, str]:
+    """Vendor headers of an export of ``kind`` with the text each holds, from M."""
     category, technology = S.KINDS[kind]
-    columns = []
+    columns = {}
     for column in S.COLUMNS[category]:
         source = column.source(technology)
         if isinstance(source, S.Headers):
-            columns.append(F.col(column.name).cast("string").alias(header(source.names[0])))
+            columns[header(source.names[0])] = f"CAST({column.name} AS STRING)"
     if category in S.ROW_FILTERS:
         right, wrong = ("downlink ", "Uplink") if category == "pdsch" else ("UPLINK", "Downlink")
-        direction = F.when(F.col("event_id") % 3 == 0, wrong).otherwise(right)
-        columns += [
-            F.expr(TESTS_SQL).alias("Test Name"),
-            direction.alias("Direction"),
-            F.expr(STATUS_SQL).alias("Test Status"),
-        ]
+        columns["Test Name"] = TESTS_SQL
+        columns["Direction"] = f"CASE WHEN event_id % 3 = 0 THEN '{wrong}' ELSE '{right}' END"
+        columns["Test Status"] = STATUS_SQL
     return columns
 
 
 def vendor_rows(spark, folder, kind: str):
     rows = view(spark, folder, "m").where(F.col("measurement_type") == kind)
-    return rows.select("event_id", *vendor_columns(kind))
+    columns = [f"{text} AS `{name}`" for name, text in vendor_columns(kind).items()]
+    return rows.selectExpr("event_id", *columns)
 
 
 def expected_columns(kind: str) -> str:
@@ -104,9 +103,9 @@ def ingest_row_filter(spark, folder):
 def validate_rows(spark, folder):
     rows = view(spark, folder, "raw").select(
         F.col("database_text").alias("source_path"),
-        casts.to_time(F.col("time_text")).alias("measured_at"),
-        casts.clean_text(F.col("database_text")).alias("database_name"),
-        casts.clean_text(F.col("collection_text")).alias("collection_name"),
+        F.expr(casts.time("time_text")).alias("measured_at"),
+        F.expr(casts.clean_text("database_text")).alias("database_name"),
+        F.expr(casts.clean_text("collection_text")).alias("collection_name"),
     )
     return exports.invalid_rows(rows)
 
@@ -132,7 +131,7 @@ def csv_scan(spark, folder):
     ).csv(target)
     rows = exports.read_strings(spark, [target], RAW_COLUMNS)
     return rows.select(
-        *[casts.clean_text(F.col(f"_c{i}")).alias(c) for i, c in enumerate(RAW_COLUMNS)]
+        *[F.expr(casts.clean_text(f"_c{i}")).alias(c) for i, c in enumerate(RAW_COLUMNS)]
     )
 
 
@@ -218,36 +217,31 @@ def snapshot_merge(spark, folder):
     return store.read_snapshots(spark, root).select(*STORED)
 
 
-def csv_line(columns):
+def csv_line(texts) -> str:
     """A CSV line; texts with a comma or a quote are quoted."""
-
-    def field(c):
-        text = F.coalesce(c, F.lit(""))
-        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-        return F.when(text.rlike('[,"]'), quoted).otherwise(text)
-
-    return F.concat_ws(",", *[field(c) for c in columns])
+    fields = [
+        f"""CASE WHEN {t} RLIKE '[,"]' THEN concat('"', replace({t}, '"', '""'), '"') ELSE coalesce({t}, '') END"""
+        for t in texts
+    ]
+    return f"concat_ws(',', {', '.join(fields)})"
 
 
 def write_exports(spark, rows, folder: str, export: str, kinds) -> None:
     """Rows of M as archived export files: <folder>/<collection>/<export>/<kind>.csv."""
-    parts = []
-    for kind in kinds:
-        columns = vendor_columns(kind)
-        chosen = rows.where(F.col("measurement_type") == kind)
-        headers = [c for c in chosen.select(*columns).columns]
-        home = F.concat_ws("-", "database_name", "collection_name").alias("home")
-        lines = chosen.select(
-            home, F.lit(kind).alias("stem"), F.col("event_id").alias("place"),
-            csv_line(columns).alias("line"),
-        )
-        head = chosen.select(home).distinct().select(
-            "home", F.lit(kind).alias("stem"), F.lit(-1).alias("place"),
-            F.lit(",".join(headers)).alias("line"),
-        )
-        parts += [lines, head]
+    columns = {kind: vendor_columns(kind) for kind in kinds}
+    kind = F.col("measurement_type")
+    chosen = rows.where(kind.isin(*kinds)).withColumns(
+        {"home": F.concat_ws("-", "database_name", "collection_name"), "stem": kind}
+    )
+    cases = " ".join(f"WHEN '{k}' THEN {csv_line(c.values())}" for k, c in columns.items())
+    line = F.expr(f"CASE measurement_type {cases} END")
+    headers = {k: ",".join(c) for k, c in columns.items()}
+    lines = chosen.select("home", "stem", F.col("event_id").alias("place"), line.alias("line"))
+    heads = chosen.select("home", "stem").distinct().select(
+        "home", "stem", F.lit(-1).alias("place"), lookup(F.col("stem"), headers).alias("line")
+    )
     staged = fresh_folder(spark, "export")
-    ordered = store.union_kinds(parts).repartition("home", "stem").sortWithinPartitions(
+    ordered = lines.unionByName(heads).repartition(8, "home", "stem").sortWithinPartitions(
         "home", "stem", "place"
     )
     ordered.select("home", "stem", "line").write.partitionBy("home", "stem").text(staged)

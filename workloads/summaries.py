@@ -310,8 +310,8 @@ def json_payload(spark, folder):
 def clean_strings(spark, folder):
     return view(spark, folder, "raw").select(
         "event_id",
-        casts.clean_text(F.col("database_text")).alias("database_name"),
-        casts.clean_text(F.col("collection_text")).alias("collection_name"),
+        F.expr(casts.clean_text("database_text")).alias("database_name"),
+        F.expr(casts.clean_text("collection_text")).alias("collection_name"),
     )
 
 
@@ -324,10 +324,10 @@ def clean_strings(spark, folder):
 def safe_casts(spark, folder):
     return view(spark, folder, "raw").select(
         "event_id",
-        casts.to_bigint(F.col("pci_text")).alias("pci"),
-        casts.to_double(F.col("throughput_kbps_text")).alias("throughput"),
-        casts.to_flag(F.col("beam_text")).alias("beam"),
-        casts.to_time(F.col("time_text")).alias("measured_at"),
+        F.expr(casts.bigint("pci_text")).alias("pci"),
+        F.expr(casts.double("throughput_kbps_text")).alias("throughput"),
+        F.expr(casts.flag("beam_text")).alias("beam"),
+        F.expr(casts.time("time_text")).alias("measured_at"),
     )
 
 
@@ -342,5 +342,5 @@ def unit_convert(spark, folder):
     column = next(c for c in S.COLUMNS["pdsch"] if c.name == "throughput_mbps")
     return view(spark, folder, "raw").select(
         "event_id",
-        casts.canonical_value(F.col("throughput_kbps_text"), column).alias("throughput_mbps"),
+        F.expr(casts.canonical_value("throughput_kbps_text", column)).alias("throughput_mbps"),
     )
