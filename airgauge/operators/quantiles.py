@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from airgauge.operators.running import ONE_TASK_ROWS, running_totals
 
 CDF_STEPS = 400
+BUILT_IN_ROWS = 50_000
 
 
 def quantiles(
@@ -26,16 +27,18 @@ def quantiles(
     without values have no rows.
 
     ``row_bound`` is a number of rows that ``rows`` is known not to exceed; it is
-    counted when not given. Few rows go through the built-in ``percentile``, which
-    holds the values of a group in one task. More go through counts of equal
-    values and running totals over a range-partitioned order.
+    counted when not given. Few rows go through the built-in ``percentile``, whose
+    work for one group is values times quantiles in one task. More go through
+    counts of equal values and running totals, and many through totals over a
+    range-partitioned order.
     """
     present = rows.where(F.col(value).isNotNull())
     if row_bound is None:
         row_bound = present.count()
-    if row_bound <= ONE_TASK_ROWS:
+    if row_bound <= BUILT_IN_ROWS:
         return built_in_quantiles(present, value, groups, steps, weight)
-    return ranked_quantiles(present, value, groups, steps, weight=weight)
+    sliced = row_bound > ONE_TASK_ROWS
+    return ranked_quantiles(present, value, groups, steps, sliced=sliced, weight=weight)
 
 
 def built_in_quantiles(
@@ -74,54 +77,39 @@ def ranked_quantiles(
     """
     copies = F.sum(weight) if weight else F.count(F.lit(1))
     counts = rows.groupBy(*groups, F.col(value).alias("v")).agg(copies.alias("n"))
-    ranked = running_totals(counts, ["v"], "n", groups, sliced=sliced)
-
-    last = F.greatest(F.col("total") - 1, F.lit(1))
-    top = F.lit(steps).cast("bigint")
-
-    def down(a: Column, b: Column) -> Column:
-        return (a - F.pmod(a, b)) / b
-
-    def whole(c: Column) -> Column:
-        return c.cast("bigint")
-
-    first_rank, end_rank = F.col("before"), F.col("before") + F.col("n")
-    # Lower rank of i is floor(i*last/steps), upper rank is its ceiling.
-    low_from = whole(-down(-(first_rank * top), last))
-    low_to = whole(-down(-(end_rank * top), last)) - 1
-    high_from = whole(down((first_rank - 1) * top, last)) + 1
-    high_to = whole(down((end_rank - 1) * top, last))
-    single = F.col("total") == 1
-
-    def span(lo: Column, hi: Column) -> Column:
-        lo = F.when(single, F.lit(0).cast("bigint")).otherwise(F.greatest(lo, F.lit(0)))
-        hi = F.when(single, top).otherwise(F.least(hi, top))
-        return F.when(lo <= hi, F.sequence(lo, hi))
+    ranked = running_totals(counts, ["v"], "n", groups, sliced=sliced).withColumn(
+        "last", F.expr("greatest(total - 1, 1)")
+    )
 
-    owned = ranked.select(
+    # Lower rank of i is floor(i*last/steps), upper rank is its ceiling. A first
+    # filter on whole numbers leaves the few values that own a wanted rank.
+    bounds = ranked.selectExpr(
         *groups,
-        "total",
         "v",
-        span(low_from, low_to).alias("lows"),
-        span(high_from, high_to).alias("highs"),
-    ).where(F.col("lows").isNotNull() | F.col("highs").isNotNull())
-    sides = owned.select(
-        *groups,
         "total",
+        f"(before * {steps}L + last - 1) div last AS low_from",
+        f"if(total = 1, {steps}L, ((before + n) * {steps}L + last - 1) div last - 1) AS low_to",
+        f"if(before = 0, 0L, ((before - 1) * {steps}L) div last + 1) AS high_from",
+        f"if(total = 1, {steps}L, ((before + n - 1) * {steps}L) div last) AS high_to",
+    ).where("low_from <= low_to OR high_from <= high_to")
+
+    def owned(side: str, low: bool) -> str:
+        places = f"sequence({side}_from, least({side}_to, {steps}L))"
+        tagged = f"transform({places}, i -> named_struct('i', i, 'low', {str(low).lower()}))"
+        return f"if({side}_from <= least({side}_to, {steps}L), {tagged}, array())"
+
+    sides = bounds.selectExpr(
+        *groups,
         "v",
-        F.explode(
-            F.concat(
-                _tag(F.col("lows"), True),
-                _tag(F.col("highs"), False),
-            )
-        ).alias("t"),
+        "total",
+        f"explode(concat({owned('low', True)}, {owned('high', False)})) AS t",
     )
     ends = sides.groupBy(*groups, F.col("t.i").alias("position")).agg(
         F.max("total").alias("total"),
         F.max(F.when(F.col("t.low"), F.col("v"))).alias("low"),
         F.max(F.when(~F.col("t.low"), F.col("v"))).alias("high"),
     )
-    share = F.pmod(F.col("position") * (F.col("total") - 1), top) / top
+    share = F.pmod(F.col("position") * (F.col("total") - 1), F.lit(steps)) / F.lit(steps)
     between = F.col("low") + (F.col("high") - F.col("low")) * share
     return ends.select(
         *groups,
@@ -131,11 +119,6 @@ def ranked_quantiles(
     )
 
 
-def _tag(positions: Column, low: bool) -> Column:
-    some = F.coalesce(positions, F.array().cast("array<bigint>"))
-    return F.transform(some, lambda i: F.struct(i.alias("i"), F.lit(low).alias("low")))
-
-
 def _probability(steps: int) -> Column:
     return F.col("position") / F.lit(float(steps))
 
