@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgauge.session import settle
+from airgauge.session import broadcast_if_small, settle
 
 # Above this many rows a global order is cut into slices over all executors.
 # Below it the (narrow) rows of one group are ordered in one task.
@@ -28,7 +28,8 @@ def running_totals(
     tasks. The slice number is written down with the rows before it is used: a
     lost executor can then not lead to a second, different slicing. Only one
     total for each (slice, group) is shared between tasks. Slices are contiguous,
-    so there are fewer of these than slices plus groups.
+    so there are fewer of these than slices plus groups: without groups no more
+    than shuffle partitions, with groups they are counted before a broadcast.
     """
     keys = [*groups, *order]
     if not sliced:
@@ -53,6 +54,7 @@ def running_totals(
         F.sum("slice_weight").over(group).alias("total"),
     )
     inside = Window.partitionBy("slice", *groups).orderBy(*order)
+    starts = broadcast_if_small(starts) if groups else F.broadcast(starts)
     joined = _join_null_safe(slices, starts, ["slice", *groups])
     return joined.withColumn(
         "before", F.col("slice_before") + _earlier(weight, inside)
@@ -65,9 +67,6 @@ def _earlier(weight: str, window):
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     condition = [left[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
-    return left.join(F.broadcast(renamed), condition).drop(*[f"_{k}" for k in keys])
+    return left.join(renamed, condition).drop(*[f"_{k}" for k in keys])

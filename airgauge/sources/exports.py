@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ DELIMITERS = (",", ";", "\t", "|")
 SOURCE_PATH = "source_path"
 
 # Larger files are not loaded whole; Spark itself stops at 2 GB for one value.
-WHOLE_FILE_BYTES = 256 << 20
+WHOLE_FILE_BYTES = 64 << 20
 
 _CONTENTS = "path string, file_hash string, header string, multi_line boolean"
 
@@ -96,7 +97,7 @@ def contents(spark: SparkSession, files: DataFrame, whole_limit: int = WHOLE_FIL
         parts.append(_whole_contents(spark, small))
     if large:
         paths = spark.createDataFrame([(p,) for p in large], "path string")
-        parts.append(paths.repartition(len(large), "path").mapInPandas(_block_contents, _CONTENTS))
+        parts.append(paths.repartition(len(large)).mapInPandas(_block_contents, _CONTENTS))
     if not parts:
         return spark.createDataFrame([], _CONTENTS)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -127,7 +128,8 @@ def _block_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for path in batch["path"]:
-            system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            uri = re.sub(r"^file:/+", "file:///", path)
+            system, name = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
             digest, head, tail, odd = hashlib.sha256(), b"", 0, False
             with system.open_input_stream(name) as stream:
                 while block := stream.read(8 << 20):

@@ -75,6 +75,7 @@ def write_snapshots(
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*keys)
         .parquet(root)
     )
