@@ -6,9 +6,6 @@ them at once. ``c`` is the text of an expression, usually a column name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from airgauge import schema as S
 
 
@@ -60,8 +57,3 @@ def canonical_value(c: str, column: S.Column) -> str:
     """Export text turned into the stored type and unit of ``column``."""
     value = _CASTS[column.type](c)
     return f"({value}) / 1000" if column.name in S.KILO_COLUMNS else value
-
-
-def time_bound(text: str) -> Column:
-    """Time given in a request, NULL when the text is none."""
-    return F.expr(time(quoted(text)))

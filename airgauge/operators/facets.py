@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airgauge import schema as S
 from airgauge.functions import labels as L
+from airgauge.functions.casts import quoted
 from airgauge.operators.filters import Selection
 from airgauge.session import settle
 
@@ -100,39 +101,50 @@ def attach_metric_labels(rows: DataFrame, category: Column, metric: str = "value
     )
 
 
-def level_tests(selection: Selection) -> dict[str, Column]:
-    """The condition of every chosen level: its value as it is listed as a choice."""
-    listed = {
-        "technology": (selection.technology, F.col("technology")),
-        "operator": (selection.operator, F.col("operator_name")),
-        "band": (selection.band, L.band_choice(F.col("technology"), F.col("band_number"))),
-        "pci": (selection.pci, F.col("pci").cast("string")),
-        "ssb": (selection.ssb, L.null_choice(F.col("ssb_index"))),
+# A facet value as it is listed as a choice.
+_CHOICES = {
+    "technology": "technology",
+    "operator": "operator_name",
+    "band": "concat(technology, ':', band_number)",
+    "pci": "CAST(pci AS STRING)",
+    "ssb": f"coalesce(CAST(ssb_index AS STRING), '{S.NULL_CHOICE}')",
+}
+
+# The text a choice is shown with, before its count.
+_TEXTS = {
+    **_CHOICES,
+    "band": "concat(if(technology = 'LTE', 'b', 'n'), band_number)",
+    "ssb": "coalesce(CAST(ssb_index AS STRING), 'NaN')",
+}
+
+
+def level_tests(selection: Selection) -> dict[str, str]:
+    """The condition of every chosen level."""
+    chosen = {
+        "technology": selection.technology,
+        "operator": selection.operator,
+        "band": selection.band,
+        "pci": selection.pci,
+        "ssb": selection.ssb,
     }
     return {
-        level: F.coalesce(choice == value, F.lit(False))
-        for level, (value, choice) in listed.items()
+        level: f"coalesce({_CHOICES[level]} = {quoted(value)}, false)"
+        for level, value in chosen.items()
         if value
     }
 
 
-def current_choices(counts: DataFrame, selection: Selection) -> dict[str, Column]:
-    """Chosen levels whose value still exists under the levels above.
+def current_choices(counts: DataFrame, selection: Selection) -> dict[str, str]:
+    """Conditions of the chosen levels whose value exists under the levels above.
 
     Groups the combinations by which tests they pass: at most 2**5 rows reach
     the driver.
     """
     tests = level_tests(selection)
-    if not tests:
-        return {}
-    patterns = [
-        row.asDict() for row in counts.select(*[t.alias(k) for k, t in tests.items()])
-        .distinct().collect()
-    ]
-    valid: dict[str, Column] = {}
-    for level in LEVELS:
-        if level not in tests:
-            continue
+    passed = counts.selectExpr(*[f"{test} AS {level}" for level, test in tests.items()])
+    patterns = [row.asDict() for row in passed.distinct().collect()]
+    valid: dict[str, str] = {}
+    for level in tests:
         if any(p[level] and all(p[above] for above in valid) for p in patterns):
             valid[level] = tests[level]
     return valid
@@ -152,56 +164,31 @@ def facet_cascade(measurements: DataFrame, selection: Selection) -> DataFrame:
     return cascade_of(counts, selection.category, current_choices(counts, selection))
 
 
-def cascade_of(counts: DataFrame, category: str, valid: dict[str, Column]) -> DataFrame:
-    def above(level: str) -> Column:
-        passing = F.lit(True)
-        for upper in LEVELS[: LEVELS.index(level)] if level in LEVELS else LEVELS:
-            passing = passing & valid.get(upper, F.lit(True))
-        return passing
-
-    technology, band = F.col("technology"), F.col("band_number")
-    entries = [
-        ("technology", technology.isNotNull(), technology, technology),
-        ("operator", F.col("operator_name").isNotNull(), F.col("operator_name"), F.col("operator_name")),
-        ("band", band.isNotNull(), L.band_choice(technology, band), L.band_text(technology, band)),
-        ("pci", F.col("pci").isNotNull(), F.col("pci").cast("string"), F.col("pci").cast("string")),
-        ("ssb", F.lit(True), L.null_choice(F.col("ssb_index")), L.nan_text(F.col("ssb_index"))),
-    ]
+def cascade_of(counts: DataFrame, category: str, valid: dict[str, str]) -> DataFrame:
+    def tag(level: str, shown: str, value: str, text: str, n: str) -> str:
+        above = LEVELS[: LEVELS.index(level)] if level in LEVELS else LEVELS
+        passing = [valid[upper] for upper in above if upper in valid]
+        condition = " AND ".join([shown, *passing])
+        fields = f"'level', '{level}', 'value', {value}, 'text', {text}, 'n', {n}"
+        return f"if({condition}, named_struct({fields}), NULL)"
+
     tags = [
-        F.when(
-            above(level) & shown,
-            F.struct(
-                F.lit(level).alias("level"),
-                value.alias("value"),
-                text.alias("text"),
-                F.col("n").alias("n"),
-            ),
-        )
-        for level, shown, value, text in entries
+        tag(level, f"{_CHOICES[level]} IS NOT NULL", _CHOICES[level], _TEXTS[level], "n")
+        for level in LEVELS
     ]
-    metric_tags = [
-        F.when(
-            above("metric") & (F.col(m) > 0),
-            F.struct(
-                F.lit("metric").alias("level"),
-                F.lit(m).alias("value"),
-                F.lit(label).alias("text"),
-                F.col(m).alias("n"),
-            ),
-        )
+    tags += [
+        tag("metric", f"{m} > 0", quoted(m), quoted(label), m)
         for m, (label, _) in S.METRICS[category].items()
     ]
-    tagged = counts.select(
-        F.explode(F.filter(F.array(*tags, *metric_tags), lambda t: t.isNotNull())).alias("t")
+    tagged = counts.selectExpr(
+        f"explode(filter(array({', '.join(tags)}), t -> t IS NOT NULL)) AS t"
     ).select("t.*")
     summed = tagged.groupBy("level", "value", "text").agg(F.sum("n").alias("n"))
-    with_number = F.col("level").isin("band", "pci", "ssb")
-    return summed.select(
+    return summed.selectExpr(
         "level",
         "value",
-        F.when(with_number, L.counted(F.col("text"), F.col("n")))
-        .otherwise(F.col("text"))
-        .alias("label"),
+        "if(level IN ('band', 'pci', 'ssb'), concat(text, ' (#', format_number(n, 0), ')'), text)"
+        " AS label",
         "n",
     )
 

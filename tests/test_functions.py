@@ -58,8 +58,10 @@ def test_clean_text(spark):
     assert values(spark, ["  a b ", "   ", "", None], casts.clean_text("t")) == ["a b", None, None, None]
 
 
-def test_time_bound_with_quotes_is_no_time(spark):
-    assert spark.range(1).select(casts.time_bound("it's \\ late")).first()[0] is None
+def test_quoted_text_stays_text(spark):
+    text = "it's \\ \"late\" \\n"
+    row = spark.range(1).selectExpr(casts.quoted(text), casts.time(casts.quoted(text))).first()
+    assert tuple(row) == (text, None)
 
 
 @pytest.mark.parametrize(

@@ -264,13 +264,23 @@ def _give_names(spark, staged: str, folder: str, export: str) -> None:
 
 LTE_KINDS = [k for k in S.KINDS if k.startswith("lte_")]
 
-# The newer export has no NR files and covers the second half of the month.
+# The newer export has no NR files and covers the second half of the month. A
+# collection without rows in that half is not part of it and keeps the older ones.
+NEWER_SQL = "TIMESTAMP '2024-01-15'"
+
+
+def kept(kind: str) -> str:
+    if kind not in LTE_KINDS:
+        return ""
+    newest = "max(measured_at) OVER (PARTITION BY database_name, collection_name)"
+    return f"QUALIFY measured_at >= {NEWER_SQL} OR {newest} < {NEWER_SQL}"
+
+
 IMPORTED_SQL = " UNION ALL ".join(
     f"""SELECT '{kind}' AS measurement_type, database_name, collection_name, measured_at, pci, band_number, model,
   {'throughput_mbps / 1000' if S.KINDS[kind][0] in S.ROW_FILTERS else 'NULL'} AS throughput_mbps,
   {'NULL' if S.KINDS[kind][0] in S.ROW_FILTERS else 'rsrp_dbm'} AS rsrp_dbm
-  FROM m WHERE measurement_type = '{kind}' AND {passing(kind)}
-  AND {"measured_at >= TIMESTAMP '2024-01-15'" if kind in LTE_KINDS else "TRUE"}"""
+  FROM m WHERE measurement_type = '{kind}' AND {passing(kind)} {kept(kind)}"""
     for kind in S.KINDS
 )
 
@@ -322,7 +332,8 @@ def stream_ingest(spark, folder):
     "ingest_catalog",
     """SELECT measurement_type, database_name, collection_name, count(*) AS row_count,
   min(measured_at) AS start_time, max(measured_at) AS end_time,
-  CASE WHEN measurement_type LIKE 'lte%' THEN TIMESTAMP '2026-06-12 10:30:00' ELSE TIMESTAMP '2026-06-10' END AS exported_at
+  CASE WHEN measurement_type LIKE 'lte%' AND max(measured_at) >= """ + NEWER_SQL + """
+    THEN TIMESTAMP '2026-06-12 10:30:00' ELSE TIMESTAMP '2026-06-10' END AS exported_at
   FROM (""" + IMPORTED_SQL + ") GROUP BY measurement_type, database_name, collection_name",
 )
 def ingest_catalog(spark, folder):
