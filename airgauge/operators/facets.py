@@ -193,13 +193,17 @@ def cascade_of(counts: DataFrame, category: str, valid: dict[str, str]) -> DataF
     )
 
 
+def choice_number() -> Column:
+    """Number in a choice, such as the band in ``LTE:48``."""
+    return F.regexp_extract("value", r"^(?:\w+:)?(\d+)$", 1).try_cast("bigint")
+
+
 def ordered_choices(choices: DataFrame) -> DataFrame:
     """Choices level by level; numbers by size, the choice for NULL last."""
-    number = F.regexp_extract("value", r"^(?:\w+:)?(\d+)$", 1).try_cast("bigint")
     return choices.orderBy(
         F.array_position(F.array(*[F.lit(x) for x in (*LEVELS, "metric")]), F.col("level")),
         F.col("value") == S.NULL_CHOICE,
         F.when(F.col("level") == "band", F.substring_index("value", ":", 1)),
-        number.asc_nulls_first(),
+        choice_number().asc_nulls_first(),
         "value",
     )
