@@ -18,6 +18,8 @@ def build_session(app: str = "airgauge", master: str | None = None, **settings:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # Checkpoint files go once nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python line of every expression doubles the time to build a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

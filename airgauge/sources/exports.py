@@ -17,6 +17,7 @@ from airgauge import schema as S
 from airgauge.functions import names
 from airgauge.functions.casts import canonical_value, quoted
 from airgauge.operators.filters import keep_test_rows
+from airgauge.session import broadcast_if_small
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -335,4 +336,4 @@ def unprocessed(files: DataFrame, processed: DataFrame) -> DataFrame:
     done = processed.where(F.col("schema_version") == S.SCHEMA_VERSION).select(
         "file_hash", F.col("measurement_type").alias("kind")
     )
-    return files.join(done, ["file_hash", "kind"], "left_anti")
+    return files.join(broadcast_if_small(done), ["file_hash", "kind"], "left_anti")

@@ -8,6 +8,7 @@ from airgauge.functions import casts
 from airgauge.operators import filters, points, quantiles, series
 from airgauge.operators.filters import Selection
 from airgauge.plans import measurements as requests
+from airgauge.plans import payloads
 from workloads.fixtures import view
 from workloads.registry import query, rounded
 
@@ -152,6 +153,15 @@ def cdf_all_rows_ranked(spark, folder):
     return rounded(quantiles.ranked_quantiles(rows, "metric_value"), "probability", "value")
 
 
+@query("json_cdf", CDF_SQL)
+def json_cdf(spark, folder):
+    """The points as they are read back from a JSON record."""
+    record = payloads.as_json(payloads.cdf_payload(view(spark, folder, "m"), RADIO))
+    parsed = F.from_json("payload", "points ARRAY<STRUCT<value: DOUBLE, probability: DOUBLE>>")
+    listed = record.select(F.posexplode(parsed["points"]).alias("position", "p"))
+    return rounded(listed.select("position", "p.probability", "p.value"), "probability", "value")
+
+
 @query(
     "curve_percentiles",
     f"""SELECT round(quantile_cont(rsrp_dbm, 0.05), 6) AS p5, round(quantile_cont(rsrp_dbm, 0.5), 6) AS median,
