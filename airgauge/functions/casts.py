@@ -20,13 +20,21 @@ def clean_text(c: str) -> str:
 
 
 def bigint(c: str) -> str:
-    """Whole number; fractions round half away from zero, overflow is NULL."""
-    return f"try_cast(round(try_cast({c} AS DECIMAL(38, 10)), 0) AS BIGINT)"
+    """Whole number; fractions round half away from zero, overflow is NULL.
+
+    Plain digits take the short way.
+    """
+    rounded = f"try_cast(round(try_cast({c} AS DECIMAL(38, 10)), 0) AS BIGINT)"
+    return f"coalesce(try_cast({c} AS BIGINT), {rounded})"
 
 
 def double(c: str) -> str:
-    """Double; a Java-style suffix (``1d``, ``1f``) is not a number."""
-    return rf"CASE WHEN NOT {c} RLIKE r'[0-9.][dDfF]\s*$' THEN try_cast({c} AS DOUBLE) END"
+    """Double; a Java-style suffix (``1d``, ``1f``) is not a number.
+
+    Text that ends in a digit has no suffix, so only the rest is matched.
+    """
+    suffix = rf"NOT right({c}, 1) BETWEEN '0' AND '9' AND {c} RLIKE r'[0-9.][dDfF]\s*$'"
+    return f"CASE WHEN {suffix} THEN NULL ELSE try_cast({c} AS DOUBLE) END"
 
 
 def flag(c: str) -> str:
@@ -40,13 +48,20 @@ def time(c: str) -> str:
     ``/`` may separate the date parts, an offset in the text is ignored, and
     24:00:00 is the next midnight.
     """
-    dashed = rf"regexp_replace({c}, r'^(\s*\d{{4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
     late = r"r'^\s*(\d{4}-\d{1,2}-\d{1,2})[ T]24:00:00(\.0+)?\s*$'"
-    midnight = f"nullif(regexp_extract({dashed}, {late}, 1), '')"
+
+    def parsed(text: str) -> str:
+        midnight = f"nullif(regexp_extract({text}, {late}, 1), '')"
+        return (
+            f"coalesce(try_cast({text} AS TIMESTAMP_NTZ), "
+            f"try_cast({midnight} AS TIMESTAMP_NTZ) + INTERVAL 1 DAY)"
+        )
+
+    slashed = r"r'^(\s*\d{4})/(\d{1,2})/(\d{1,2})'"
     return (
-        rf"CASE WHEN {c} RLIKE r'^\s*\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}' THEN coalesce("
-        f"try_cast({dashed} AS TIMESTAMP_NTZ), "
-        f"try_cast({midnight} AS TIMESTAMP_NTZ) + INTERVAL 1 DAY) END"
+        rf"CASE WHEN {c} RLIKE r'^\s*\d{{4}}-\d{{1,2}}-\d{{1,2}}' THEN {parsed(c)}"
+        f" WHEN {c} RLIKE {slashed}"
+        f" THEN {parsed(f"regexp_replace({c}, {slashed}, '$1-$2-$3')")} END"
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airgauge import schema as S
 from airgauge.operators.running import ONE_TASK_ROWS, running_totals
+from airgauge.session import settle
 
 POINT_LIMIT = 6_000
 
@@ -42,9 +43,9 @@ def thin_by_time(
     Only counts are ordered globally. First rows are counted for each time, and
     running totals tell which times hold a wanted rank: at most ``limit`` times,
     so these are broadcast and the rows at them fetched by a second, filtered
-    read. Rows of such a time are then ranked among themselves. Copies of one
-    row share a count, so a time or a row that makes up most of the data still
-    spreads over tasks.
+    read. Rows of such a time are then ranked among themselves. When these are
+    many, copies of one row share a count and the order is sliced again, so a time
+    or a row that makes up most of the data still spreads over tasks.
     """
     if total is None:
         total = points.count()
@@ -53,21 +54,26 @@ def thin_by_time(
         return points.orderBy(time, *_ties(points, time, ties)).limit(limit)
 
     by_time = points.groupBy(time).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(by_time, [time], "n", sliced=total > one_task_rows)
+    sliced = total > one_task_rows
+    ranked = running_totals(by_time, [time], "n", sliced=sliced)
     wanted = ranked.where(_hits(stride) > 0).select(
-        F.col(time).alias("_at"), F.col("before").alias("_before")
+        F.col(time).alias("_at"), F.col("before").alias("_before"), F.col("n").alias("_n")
     )
-    near = points.join(F.broadcast(wanted), points[time] == wanted["_at"]).drop("_at")
-    chosen = _rank_within_time(near, time, ties, stride, total > one_task_rows)
+    crowded = False
+    if sliced:
+        wanted = settle(wanted)
+        crowded = wanted.agg(F.sum("_n")).first()[0] > one_task_rows
+    near = points.join(F.broadcast(wanted.drop("_n")), points[time] == F.col("_at")).drop("_at")
+    chosen = _rank_within_time(near, time, ties, stride, crowded)
     return chosen.select(*points.columns).orderBy(time, *_ties(points, time, ties)).limit(limit)
 
 
 def _rank_within_time(
-    near: DataFrame, time: str, ties: Sequence[str] | None, stride: int, large: bool
+    near: DataFrame, time: str, ties: Sequence[str] | None, stride: int, crowded: bool
 ) -> DataFrame:
     data = [c for c in near.columns if c != "_before"]
     order = _ties(near.drop("_before"), time, ties)
-    if not large:
+    if not crowded:
         w = Window.partitionBy(time).orderBy(*order)
         ranked = near.withColumn("_rank", F.col("_before") + F.row_number().over(w) - 1)
         return ranked.where(F.col("_rank") % stride == 0)

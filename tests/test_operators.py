@@ -286,3 +286,11 @@ def test_compare_line_text(spark):
         "No matching rows",
         "2 samples | Median 1 (P5 1 | P95 1)",
     ]
+
+
+def test_thinning_of_many_times_with_few_rows_each(spark):
+    """Sliced totals, but the rows at the wanted times fit one task."""
+    data = [(DAY + dt.timedelta(seconds=i // 3), i % 3, i / 7) for i in range(3000)]
+    rows = spark.createDataFrame(data, "measured_at timestamp_ntz, a int, b double").repartition(6)
+    got = points.thin_by_time(rows, 50, one_task_rows=200).collect()
+    assert [tuple(r) for r in got] == brute_thin(data, 50)
