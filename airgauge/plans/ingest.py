@@ -114,7 +114,7 @@ def ingest(
     summaries = settle(file_summaries(frames))
     _require_valid(summaries)
 
-    about = files.select(F.col("path").alias(SOURCE), "path", "exported_at", "file_hash")
+    about = files.select(F.col("uri").alias(SOURCE), "path", "exported_at", "file_hash")
     deliveries = summaries.join(about, SOURCE)
     current = store.partitions_table(spark, root).read()
     plan = settle(snapshot_actions(latest_snapshots(deliveries), current, force))

@@ -57,12 +57,15 @@ def glob_safe(path: str) -> str:
 
 
 def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """All files below the roots; contents are not read."""
+    """All files below the roots; contents are not read.
+
+    ``uri`` is the path in the form that the rows of a file carry.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(list(roots))
-        .select("path", "length")
+        .select("path", "length", F.col("_metadata.file_path").alias("uri"))
     )
 
 
@@ -177,7 +180,8 @@ def read_strings(
     """Rows of files with the same headers; every value is text, columns go by place.
 
     Column ``_c0`` is the first header and so on, so repeated headers do no harm.
-    Short rows end in NULLs. ``source_path`` tells the file of a row.
+    Short rows end in NULLs. ``source_path`` tells the file of a row, in the
+    URL-encoded form of the reader, which costs nothing per row.
     """
     struct = T.StructType(
         [T.StructField(f"_c{i}", T.StringType(), True) for i in range(len(headers))]
@@ -192,7 +196,7 @@ def read_strings(
         .option("mode", "PERMISSIVE")
         .csv([glob_safe(p) for p in paths])
     )
-    return rows.withColumn(SOURCE_PATH, plain_path(F.col("_metadata.file_path")))
+    return rows.withColumn(SOURCE_PATH, F.col("_metadata.file_path"))
 
 
 def plain_path(encoded: Column) -> Column:
@@ -302,7 +306,8 @@ def first_databases(
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return first_values(rows, f"_c{place}", SOURCE_PATH, ["block", "line"])
+    found = first_values(rows, f"_c{place}", SOURCE_PATH, ["block", "line"])
+    return found.withColumn(SOURCE_PATH, plain_path(F.col(SOURCE_PATH)))
 
 
 def staging_plan(incoming: DataFrame, archived: DataFrame, force: bool = False) -> DataFrame:
