@@ -205,7 +205,9 @@ def snapshot_write(spark, folder):
     "snapshot_merge",
     f"""SELECT {', '.join(STORED)} FROM m WHERE technology = 'LTE' OR database_name = 'db_b'
   UNION ALL SELECT {', '.join(c if c != 'rsrp_dbm' else '-rsrp_dbm AS rsrp_dbm' for c in STORED)} FROM m
-  WHERE technology = 'NR' AND database_name = 'db_a' AND operator_name = 'op_1'""",
+  WHERE technology = 'NR' AND database_name = 'db_a' AND operator_name = 'op_1'
+  UNION ALL SELECT {', '.join(STORED)} FROM m WHERE technology = 'NR' AND database_name = 'db_a'
+  QUALIFY NOT bool_or(operator_name = 'op_1') OVER (PARTITION BY measurement_type, collection_name)""",
 )
 def snapshot_merge(spark, folder):
     """A second write replaces the partitions it holds and leaves the others."""
