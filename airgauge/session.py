@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ARCHIVE = "airgauge-package.zip"
+
 
 def build_session(app: str = "airgauge", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings the library is written for."""
@@ -72,3 +76,23 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give all Python workers this package, wherever they run; once for each context.
+
+    Spark hands the archive out from the driver, so nothing needs to be installed on
+    the executors and the working folder does not matter.
+    """
+    context = spark.sparkContext
+    if any(os.path.basename(path) == _ARCHIVE for path in context._python_includes):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="airgauge-"), _ARCHIVE)
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
