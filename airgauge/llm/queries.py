@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgauge.llm import blocks, packing
+from airgauge.llm import blocks, decontaminate, language, packing
 from airgauge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,43 @@ def packing_query(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_token_files")
 def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.token_digests(_table(spark, folder, "documents"), tokenizer_path())
+
+
+@_query(
+    "op5_decontamination",
+    """
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+          FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    p AS (SELECT item, least(len(w), 10) AS size, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+          FROM b WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM p),
+    places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    hits AS (SELECT doc_id, i, s.size, item FROM places JOIN (SELECT DISTINCT size FROM windows) s ON i + s.size - 1 <= len(w)
+             JOIN windows x ON x.size = s.size AND x.phrase = array_to_string(w[i : i + s.size - 1], ' ')),
+    hit_words AS (SELECT doc_id, count(DISTINCT k) AS n FROM
+                  (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+    hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(a.n, 0) AS n_hit, coalesce(c.n, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(a.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit_words a ON d.doc_id = a.doc_id LEFT JOIN hit_items c ON d.doc_id = c.doc_id
+    """,
+)
+def decontamination_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_query("op6_language")
+def language_query(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
