@@ -13,13 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgauge.llm.bytewise import batches_by_bytes
-from airgauge.llm.tables import summed_blocks
+from airgauge.llm.tables import COUNTERS, collected, counter_rows, summed
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -111,33 +110,24 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 total = sums.setdefault(name, np.zeros(BUCKETS + 1024, np.int64))
                 total[:BUCKETS] += np.bincount(buckets[code[owners] == i], minlength=BUCKETS)
                 total[BUCKETS] += int((letters[code == i] > 0).sum())
-        salt = TaskContext.get().partitionId() % 64
         for name, total in sums.items():
-            for block, counts in enumerate(total.reshape(-1, 1024)):
-                if counts.any():
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "key": pa.array([name]),
-                            "block": pa.array([block], pa.int32()),
-                            "salt": pa.array([salt], pa.int32()),
-                            "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary()),
-                        }
-                    )
+            yield from counter_rows(name, total, 1024)
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
     )
-    blocks = summed_blocks(rows.mapInArrow(count, "key string, block int, salt int, counts binary"))
-    names = sorted(r.key for r in blocks.select("key").distinct().limit(MATRIX_BYTES // (4 * BUCKETS) + 1).collect())
-    if len(names) * BUCKETS * 4 > MATRIX_BYTES:
+    most = MATRIX_BYTES // (4 * BUCKETS)
+    names = sorted(r.lang for r in rows.select("lang").distinct().limit(most + 1).collect())
+    if len(names) > most:
         raise ValueError("too many languages for a broadcast matrix")
-    table = np.zeros((BUCKETS + 1024, len(names)))
-    place = {name: i for i, name in enumerate(names)}
-    for row in blocks.collect():
-        table[row.block * 1024 : (row.block + 1) * 1024, place[row.key]] = np.frombuffer(row.counts, "<i8")
+    tables = collected(summed(rows.mapInArrow(count, COUNTERS)), BUCKETS + 1024)
+    names = [name for name in names if name in tables]
+    table = np.array([tables[name] for name in names], float).reshape(len(names), -1).T
+    if not names:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     texts, table = table[BUCKETS], table[:BUCKETS]
     matrix = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * BUCKETS))
-    prior = np.log((texts + 1) / (texts.sum() + len(names))) if names else np.zeros(0)
+    prior = np.log((texts + 1) / (texts.sum() + len(names)))
     return Model(names, np.asfortranarray(matrix, np.float32), prior)
 
 

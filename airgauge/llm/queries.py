@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgauge.llm import blocks, decontaminate, language, packing
+from airgauge.llm import blocks, decontaminate, language, ngram_join, packing
 from airgauge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,29 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.token_digests(_table(spark, folder, "documents"), tokenizer_path())
 
 
+@_query(
+    "op4_ngram_join",
+    """
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (shingle)
+              WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * common >= 90 * (x.n + y.n - common)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+    JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+    """,
+)
+def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.linked_documents(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @_query(
     "op5_decontamination",
     """
