@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgauge.llm import blocks, decontaminate, language, ngram_join, packing
+from airgauge.llm import blocks, decontaminate, language, ngram_join, packing, suffix_tree
 from airgauge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def decontamination_query(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op6_language")
 def language_query(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
+
+
+@_query("op9_suffix_tree")
+def suffix_tree_query(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.suffix_scores(_table(spark, folder, "documents"))
