@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgauge.llm import blocks, decontaminate, language, ngram_join, packing, suffix_tree
+from airgauge.llm import blocks, decontaminate, language, ngram_join, packing, suffix_tree, warc
 from airgauge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,25 @@ def language_query(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_suffix_tree")
 def suffix_tree_query(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.suffix_scores(_table(spark, folder, "documents"))
+
+
+@_query(
+    "op10_warc",
+    """
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, s.payload_digest,
+           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+    FROM (SELECT page_id, html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+          FROM pages) p
+    JOIN (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0b' || substr(bits, 5 * k + 1, 5) AS INT) AS INT) + 1, 1), '' ORDER BY k) AS payload_digest
+          FROM (SELECT hex, bits, unnest(range(32)) AS k FROM
+                (SELECT hex, string_agg(substr('0000000100100011010001010110011110001001101010111100110111101111',
+                        4 * (position(substr(hex, i, 1) IN '0123456789abcdef') - 1) + 1, 4), '' ORDER BY i) AS bits
+                 FROM (SELECT hex, unnest(range(1, 41)) AS i FROM (SELECT DISTINCT sha1(coalesce(html, '')) AS hex FROM pages))
+                 GROUP BY hex))
+          GROUP BY hex) s ON s.hex = p.hex
+    """,
+)
+def warc_query(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archived(_table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
