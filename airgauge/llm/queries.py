@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgauge.llm import blocks, decontaminate, language, ngram_join, packing, suffix_tree, warc
+from airgauge.llm import (
+    blocks,
+    cover_tree,
+    decontaminate,
+    hilbert,
+    language,
+    licenses,
+    ngram_join,
+    packing,
+    suffix_tree,
+    warc,
+)
 from airgauge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,11 +53,76 @@ def packing_query(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@_query(
+    "op7_cover_tree",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score
+          FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+                 vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 5
+    """,
+)
+def cover_tree_query(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.top_inner_products(_table(spark, folder, "embeddings"))
+
+
 @_query("op8_token_files")
 def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.token_digests(_table(spark, folder, "documents"), tokenizer_path())
 
 
+@_query("op2_hilbert_shards")
+def hilbert_query(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert.shard_documents(_table(spark, folder, "documents")).withColumn(
+        "grown_shard", F.lit(None).cast("int")
+    )
+
+
+_TEMPLATE_ROWS = ", ".join(
+    "('{}', '{}')".format(name.replace("'", "''"), text.replace("'", "''")) for name, text in licenses.TEMPLATES.items()
+)
+_WORDS = (
+    "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@_query(
+    "op3_license_scan",
+    f"""
+    WITH line_rows AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part,
+            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+    runs AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM line_rows WHERE part <> ''),
+    units AS (SELECT doc_id, 0 AS line, coalesce(text, '') AS part FROM documents
+        UNION ALL SELECT doc_id, min(line), string_agg(part, chr(10) ORDER BY line) FROM runs GROUP BY doc_id, run HAVING count(*) > 1
+        UNION ALL SELECT doc_id, line, part FROM line_rows),
+    numbered AS (SELECT row_number() OVER () AS unit, doc_id, line, {_WORDS.format("part")} AS w FROM units),
+    grams AS (SELECT DISTINCT unit, doc_id, line, w[i] || ' ' || w[i + 1] AS gram
+        FROM (SELECT unit, doc_id, line, w, unnest(range(1, len(w))) AS i FROM numbered)),
+    sizes AS (SELECT unit, doc_id, line, count(*) AS a FROM grams GROUP BY ALL),
+    templates AS (SELECT name, {_WORDS.format("wording")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(name, wording)),
+    template_grams AS (SELECT DISTINCT name, w[i] || ' ' || w[i + 1] AS gram
+        FROM (SELECT name, w, unnest(range(1, len(w))) AS i FROM templates)),
+    template_sizes AS (SELECT name, count(*) AS b FROM template_grams GROUP BY name),
+    candidates AS (SELECT unit, doc_id, line, name, a, b FROM sizes JOIN template_sizes
+        ON least(a, b) * 12 >= 8 * greatest(a, b)),
+    shared AS (SELECT unit, name, count(*) AS common FROM grams JOIN template_grams USING (gram) GROUP BY ALL),
+    good AS (SELECT doc_id, name, common, a + b AS total, line,
+            row_number() OVER (PARTITION BY doc_id ORDER BY common / (a + b) DESC, name, line) AS rank
+        FROM candidates JOIN shared USING (unit, name) WHERE 20 * common >= 8 * (a + b)),
+    compared AS (SELECT doc_id, count(*) AS n FROM candidates GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS compared, name AS license, common, total, CAST(g.line AS BIGINT) AS line
+    FROM documents d LEFT JOIN compared c ON c.doc_id = d.doc_id LEFT JOIN good g ON g.doc_id = d.doc_id AND rank = 1
+    """,
+)
+def license_query(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, folder, "documents"))
+
+
 @_query(
     "op4_ngram_join",
     """
