@@ -357,7 +357,7 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one document of each component: the one of smallest doc_id, then of smallest place."""
     found = linked_documents(docs, shingle, similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
