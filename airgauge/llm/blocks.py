@@ -97,11 +97,11 @@ def decode_blocks(payload: np.ndarray, starts: np.ndarray, block: int = BLOCK) -
     for width in np.unique(widths[widths > 0]).tolist():
         rows = np.flatnonzero(widths == width)
         size = -(-block * width // 8)
-        weights = np.uint32(1) << np.arange(width, dtype=np.uint32)
+        weights = 2.0 ** np.arange(width)  # whole numbers below 2**32 are exact as doubles
         for part in np.array_split(rows, -(-len(rows) // 512)):
             packed = payload[starts[part][:, None] + 7 + np.arange(size)]
             flags = np.unpackbits(packed, axis=1, count=block * width, bitorder="little")
-            table[part] = flags.reshape(len(part), block, width).astype(np.float32) @ weights.astype(np.float32)
+            table[part] = flags.reshape(len(part), block, width) @ weights
     at = starts + 7 + -(-block * widths // 8)
     row = np.repeat(np.arange(len(starts)), counts)
     rank = ragged(np.zeros(len(starts), np.int64), counts)
