@@ -6,9 +6,10 @@ from a table of counters of fixed size. Documents of equal sets are one class, a
 of equal size and prefix one group. Groups that share a prefix shingle meet in its bucket.
 
 First each bucket ties its groups to the one that has the shingle earliest (for each range
-of sizes), which needs one pair for each row of the bucket. Pairs are verified on whole
-sets, and their components are found. Then every bucket is looked at again for pairs whose
-components still differ, all of which are expanded into members and verified. So no pair of
+of sizes), which needs two pairs at most for each row of the bucket. Pairs that sizes,
+positions and signatures do not rule out are verified on whole sets, and their components
+are found. Then every bucket is looked at again for pairs whose components still differ,
+all of which are expanded into members, filtered alike and verified. So no pair of
 different components is left out, and large groups of near copies are never paired out.
 """
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from airgauge.llm.bytewise import NOT_SPACE, batches_by_bytes, mixed, ragged, word_hashes
 from airgauge.llm.components import connected
 from airgauge.llm.tables import COUNTERS, collected, counter_rows, sketch, summed
-from airgauge.session import settle
+from airgauge.session import fresh_folder, settle
 
 SHINGLE = 3
 SIMILARITY = (90, 100)
-BITS = 20  # of the counter tables
+COUNTER_BITS = 22  # of the table of shingle counters
+FILTER_BITS = 20  # of the filter of documents to verify
+SIGNATURE = 512  # bits
 _BATCH = 1 << 20
 
 
@@ -60,18 +63,22 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
     """A class of frequency (a quarter of a power of two) for each bucket of shingle hashes."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches_by_bytes(batches, "text", _BATCH):
             found = np.concatenate([*shingle_sets(batch.column("text"), size), np.zeros(0, np.uint64)])
-            counts += np.bincount((found >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        yield from counter_rows("", counts, 1 << (BITS - 6))
+            counts += np.bincount((found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+        yield from counter_rows("", counts, 1 << (COUNTER_BITS - 6))
 
-    counts = collected(summed(docs.select("text").mapInArrow(count, COUNTERS)), 1 << BITS).get("", np.zeros(1 << BITS))
+    counts = collected(summed(docs.select("text").mapInArrow(count, COUNTERS)), 1 << COUNTER_BITS).get("", np.zeros(1 << COUNTER_BITS))
     return np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
 def _profiles(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """(place, doc_id, n, cls, prefix) of each document; ``cls`` digests its whole set."""
+    """(place, doc_id, n, cls, prefix, sign) of each document; ``cls`` digests its whole set.
+
+    ``sign`` holds, for each of SIGNATURE parts of the hash range, whether an odd number of
+    shingles fall in it. Where two signs differ, the sets differ too, once for each bit.
+    """
     num, den = similarity
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
 
@@ -79,31 +86,36 @@ def _profiles(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFr
         for batch in batches_by_bytes(batches, "text", _BATCH):
             sets = shingle_sets(batch.column("text"), size)
             digests, prefixes = [], []
-            for found in sets:
+            signs = np.zeros((len(sets), SIGNATURE), np.uint8)
+            for i, found in enumerate(sets):
                 n = len(found)
                 if not n:
                     digests.append(None)
                     prefixes.append(None)
                     continue
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                often = shared.value[(found >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64)
+                often = shared.value[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64)
                 key = (often << np.uint64(56)) | (found >> np.uint64(8))
                 length = n - -(-num * n // den) + 1
                 prefixes.append(found[np.argsort(key, kind="stable")[:length]].tobytes())
+                signs[i] = np.bincount((found & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+            packed = np.packbits(signs, axis=1).view(np.int64)
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * packed.shape[1])
             columns = [
                 batch.column("place"),
                 batch.column("doc_id"),
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(prefixes, pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(packed.ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "doc_id", "n", "cls", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["place", "doc_id", "n", "cls", "prefix", "sign"])
 
-    return docs.mapInArrow(run, "place bigint, doc_id bigint, n bigint, cls binary, prefix binary")
+    return docs.mapInArrow(run, "place bigint, doc_id bigint, n bigint, cls binary, prefix binary, sign array<bigint>")
 
 
-def _buckets(groups: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (token, pos, *keep) for each prefix shingle of each group."""
+def _buckets(groups: DataFrame) -> DataFrame:
+    """A row (token, pos, n, head) for each prefix shingle of each group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,14 +123,13 @@ def _buckets(groups: DataFrame, keep: list[str]) -> DataFrame:
                 part = batch.slice(low, 1024)
                 raw = [x.as_buffer() for x in part.column("prefix")]
                 lengths = np.array([x.size // 8 for x in raw], np.int64)
-                owner = np.repeat(np.arange(len(raw)), lengths)
+                owner = pa.array(np.repeat(np.arange(len(raw)), lengths))
                 tokens = np.frombuffer(b"".join(raw), np.int64)
                 columns = [pa.array(tokens), pa.array(ragged(np.zeros(len(raw), np.int64), lengths))]
-                columns += [part.column(name).take(pa.array(owner)) for name in keep]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "pos", *keep])
+                columns += [part.column(name).take(owner) for name in ("n", "head")]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "pos", "n", "head"])
 
-    kept = ", ".join(f"{name} bigint" for name in keep)
-    return groups.select("prefix", *keep).mapInArrow(run, f"token bigint, pos bigint, {kept}")
+    return groups.select("prefix", "n", "head").mapInArrow(run, "token bigint, pos bigint, n bigint, head bigint")
 
 
 def _may_match(n1, pos1, n2, pos2, similarity: tuple[int, int]) -> np.ndarray:
@@ -128,104 +139,130 @@ def _may_match(n1, pos1, n2, pos2, similarity: tuple[int, int]) -> np.ndarray:
     return (np.minimum(n1, n2) * den >= num * np.maximum(n1, n2)) & (np.minimum(n1 - pos1, n2 - pos2) >= need)
 
 
-def _stars(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of each bucket's groups with the earliest one of their or the next smaller size range.
+_SHARED = ("token", "pos", "n", "head", "leader", "former")
+
+
+def _shared_buckets(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The rows of all buckets that several groups share, with the groups that each is first compared to.
 
-    ``a`` = ``b`` tells that a group shares a bucket but has no such pair there. Buckets are
-    streamed in order, with two leaders remembered, so a bucket of any size fits.
+    ``leader`` has the shingle earliest among the bucket's groups of the same range of
+    sizes, ``former`` among those of the next smaller one; null where there is none or it
+    cannot be similar. Buckets are streamed in order and two leaders are remembered, so a
+    bucket of any size fits.
     """
     num, den = similarity
-    scale = np.log(den / num)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = np.zeros((0, 5), np.int64)  # the last leaders: token, range, pos, n, head
+        carried, told = np.zeros((0, 5), np.int64), np.zeros(0, bool)  # the last leaders, and whether given out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.stack(
-                [batch.column(k).to_numpy() for k in ("token", "range", "pos", "n", "head")], axis=1
-            )
-            old = len(carried)
+            table = np.stack([batch.column(k).to_numpy() for k in ("token", "pos", "n", "head", "range")], axis=1)
             table = np.concatenate([carried, table])
-            token, size_range = table[:, 0], table[:, 1]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (size_range[1:] != size_range[:-1])])
+            token, size_range = table[:, 0], table[:, 4]
+            same = np.concatenate([[False], token[1:] == token[:-1]])
+            new = ~same
+            new[1:] |= size_range[1:] != size_range[:-1]
             begins = np.flatnonzero(new)
-            own = begins[np.cumsum(new) - 1]
-            before = np.concatenate([[0], begins[:-1]])[np.cumsum(new) - 1]
+            run_of = np.cumsum(new) - 1
+            own, before = begins[run_of], np.concatenate([[0], begins[:-1]])[run_of]
             linked = (token[before] == token) & (size_range[before] == size_range - 1)
-            found = []
+            leaders = []
             for leader, ok in ((own, own != np.arange(len(table))), (before, linked)):
-                at = np.flatnonzero(ok)
-                at = at[at >= old]
-                first, second = table[leader[at]], table[at]
-                fits = _may_match(first[:, 3], first[:, 2], second[:, 3], second[:, 2], similarity)
-                found.append(np.stack([first[fits, 4], second[fits, 4]], axis=1))
-            # Groups in buckets of more than one row, for the second look.
-            same = np.concatenate([[False], token[1:] == token[:-1]])
+                first = table[leader]
+                ok = ok & _may_match(first[:, 2], first[:, 1], table[:, 2], table[:, 1], similarity)
+                leaders.append(pa.array(first[:, 3], mask=~ok))
             near = same | np.concatenate([same[1:], [False]])
-            crowd = table[near, 4]
-            found.append(np.stack([crowd, crowd], axis=1))
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            carried = table[[*({int(before[-1]), int(own[-1])} if linked[-1] else {int(own[-1])})]]
-            carried = carried[np.argsort(carried[:, 1])]
-
-    ranged = rows.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(scale))).cast("bigint"))
+            fresh = near.copy()
+            fresh[: len(told)] &= ~told
+            columns = [*map(pa.array, table[:, :4].T), *leaders]
+            yield pa.RecordBatch.from_arrays(columns, _SHARED).filter(pa.array(fresh))
+            kept = [int(before[-1]), int(own[-1])] if linked[-1] else [int(own[-1])]
+            carried, told = table[kept], near[kept]
+
+    scale = float(np.log(den / num))
+    ranged = rows.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / F.lit(scale)).cast("bigint"))
     dealt = ranged.repartition(F.col("token")).sortWithinPartitions("token", "range", "pos", "n", "head")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, ", ".join(f"{name} bigint" for name in _SHARED))
 
 
 def _cross_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs of a bucket's groups that can be similar and whose ``comp`` differs."""
     num, den = similarity
+    small = 64
+
+    def checked(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        _, pos, n, comp, head = table.T
+        i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
+        ok = _may_match(n[i], pos[i], n[j], pos[j], similarity)
+        return np.unique(np.sort(np.stack([head[i[ok]], head[j[ok]]], axis=1), axis=1), axis=0)
 
-    def pairs(table: np.ndarray) -> Iterator[np.ndarray]:
-        pos, n, comp, head = (table[:, k] for k in (1, 2, 3, 4))
-        names, counts = np.unique(comp, return_counts=True)
+    def of_large(table: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs but those inside the largest component: those of each other row with all rows."""
+        names, counts = np.unique(table[:, 3], return_counts=True)
         if len(names) < 2:
             return
-        order = np.argsort(n, kind="stable")
-        pos, n, comp, head = pos[order], n[order], comp[order], head[order]
-        main = names[np.argmax(counts)]
-        # All pairs but those inside the largest component: those of each other row with all rows.
-        others = np.flatnonzero(comp != main)
+        table = table[np.argsort(table[:, 2], kind="stable")]
+        n = table[:, 2]
+        others = np.flatnonzero(table[:, 3] != names[np.argmax(counts)])
         low = np.searchsorted(n, -(-num * n[others] // den), "left")
-        high = np.searchsorted(n, den * n[others] // num, "right")
-        ends = np.cumsum(high - low)
-        start = 0
-        while start < len(others):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20), "right")))
-            i = np.repeat(others[start:stop], (high - low)[start:stop])
-            j = ragged(low[start:stop], (high - low)[start:stop])
-            ok = (comp[i] != comp[j]) & _may_match(n[i], pos[i], n[j], pos[j], similarity)
-            if ok.any():
-                yield np.unique(np.sort(np.stack([head[i[ok]], head[j[ok]]], axis=1), axis=1), axis=0)
-            start = stop
+        sizes = np.searchsorted(n, den * n[others] // num, "right") - low
+        part = np.cumsum(sizes) // (1 << 20)
+        for k in np.unique(part).tolist():
+            use = part == k
+            yield checked(table, np.repeat(others[use], sizes[use]), ragged(low[use], sizes[use]))
+
+    def of_buckets(table: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
+        sizes = np.diff(np.append(begins, len(table)))
+        ends = np.repeat(begins + sizes, sizes)
+        at = np.arange(len(table))
+        rest = np.where(np.repeat(sizes, sizes) <= small, ends - at - 1, 0)
+        yield checked(table, np.repeat(at, rest), ragged(at + 1, rest))
+        for k in np.flatnonzero(sizes > small).tolist():
+            yield from of_large(table[begins[k] : begins[k] + sizes[k]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         names = ("token", "pos", "n", "comp", "head")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
-            if held and held[0][0, 0] == table[0, 0] == table[-1, 0]:
+        for batch in _and_none(batches):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                table = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
+                if held and held[0][0, 0] == table[0, 0] == table[-1, 0]:
+                    held.append(table)
+                    continue
                 held.append(table)
-                continue
-            table = np.concatenate([*held, table])
-            cuts = np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1
-            bounds = [0, *cuts.tolist()]
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                if high - low > 1:
-                    for found in pairs(table[low:high]):
+            if not held:
+                break
+            table = np.concatenate(held)
+            begins = np.concatenate([[0], np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1])
+            last = len(table) if batch is None else int(begins[-1])
+            held = [table[last:]]
+            if last:
+                for found in of_buckets(table[:last], begins[begins < last]):
+                    if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-            held = [table[bounds[-1] :]]
-        if held:
-            for found in pairs(np.concatenate(held)):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     dealt = rows.repartition(F.col("token")).sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select(*("token", "pos", "n", "comp", "head")).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _and_none(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then a None that tells their end."""
+    yield from batches
+    yield None
+
+
+def _close(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) of places whose signs do not show that they differ too much."""
+    num, den = similarity
+    one = classes.select(F.col("place").alias("a"), F.col("n").alias("n1"), F.col("sign").alias("s1"))
+    two = classes.select(F.col("place").alias("b"), F.col("n").alias("n2"), F.col("sign").alias("s2"))
+    differ = sum(F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(SIGNATURE // 64))
+    need = F.expr(f"({num} * (n1 + n2) + {num + den - 1}) div {num + den}")
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(differ <= F.col("n1") + F.col("n2") - 2 * need).select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
@@ -236,12 +273,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: tuple[in
     """
     num, den = similarity
     ends = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
-    wanted = sketch(ends.select(F.xxhash64("place").alias("key")), "key", BITS) > 0
+    wanted = sketch(ends.select(F.xxhash64("place").alias("key")), "key", FILTER_BITS) > 0
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted, bitorder="little"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text", _BATCH):
-            key = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            key = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             ask = (shared.value[(key >> np.uint64(3)).astype(np.int64)] >> (key & np.uint64(7)).astype(np.uint8)) & 1
             part = batch.filter(pa.array(ask.astype(bool)))
             if part.num_rows:
@@ -266,6 +303,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: tuple[in
     return both.select("a", "b", "items", "other").mapInArrow(check, "a bigint, b bigint")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs, the smaller place first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(place, doc_id, n_shingles, component_id, head) of every document (``doc_id``, ``text``).
 
@@ -276,7 +318,7 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[
     white space, have no shingles and link with nothing. Other columns are ignored. ``docs``
     must be a stored table, which gives the same rows in the same place each time it is read.
     """
-    num, den = similarity
+    spark = docs.sparkSession
     docs = docs.select(
         F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("place")
     )
@@ -287,54 +329,43 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[
         .agg(
             F.min("place").alias("place"),
             F.min("doc_id").alias("least"),
-            F.first("n").alias("n"),
-            F.first("prefix").alias("prefix"),
+            *[F.first(name).alias(name) for name in ("n", "prefix", "sign")],
         )
     )
-    groups = settle(
-        classes.groupBy("n", "prefix").agg(F.min("place").alias("head"), F.count("*").alias("members"))
-    )
+    groups = settle(classes.groupBy("n", "prefix").agg(F.min("place").alias("head"), F.count("*").alias("members")))
     shared = groups.where("members > 1").select("n", "prefix", "head")
     inner = settle(classes.join(shared, ["n", "prefix"]).select("place", "head"))  # of groups with several members
 
-    stars = settle(_stars(_buckets(groups, ["n", "head"]), similarity))
-    first = stars.where("a <> b").unionAll(
-        inner.where("place <> head").select(F.least("head", "place").alias("a"), F.greatest("head", "place").alias("b"))
-    )
-    first = settle(_verified(docs, settle(first.distinct()), shingle, similarity))
-    labels = settle(connected(first))
-
-    # The second look: groups in shared buckets, each with its component or, if its members differ, one of its own.
-    members = inner.join(labels.withColumnRenamed("node", "place"), "place", "left").select(
-        "head", "place", F.coalesce("root", "place").alias("comp")
-    )
-    members = settle(members)
-    mixed_groups = members.groupBy("head").agg((F.min("comp") != F.max("comp")).alias("mixed"))
-    crowd = stars.select(F.explode(F.array("a", "b")).alias("head")).distinct()
-    labelled = (
-        groups.join(crowd, "head", "left_semi")
-        .join(labels.withColumnRenamed("node", "head"), "head", "left")
-        .join(mixed_groups, "head", "left")
-        .select(
-            "n",
-            "prefix",
-            "head",
-            F.when(F.col("mixed"), -F.col("head") - 1).otherwise(F.coalesce("root", "head")).alias("comp"),
+    folder = fresh_folder(spark, "buckets")
+    _shared_buckets(_buckets(groups), similarity).write.parquet(folder)
+    buckets = spark.read.parquet(folder)
+    stars = buckets.select(F.col("head").alias("a"), F.explode(F.array("leader", "former")).alias("b")).where("b is not null")
+    stars = stars.unionAll(inner.where("place <> head").select(F.col("head").alias("a"), F.col("place").alias("b")))
+    first = settle(_close(_ordered(stars), classes, similarity))
+    labels = settle(connected(_verified(docs, first, shingle, similarity)))
+
+    # The second look: each group with its component or, if its members differ, one of its own.
+    members = settle(
+        inner.join(labels.withColumnRenamed("node", "place"), "place", "left").select(
+            "head", "place", F.coalesce("root", "place").alias("comp")
         )
     )
-    crossing = _cross_pairs(_buckets(labelled, ["n", "comp", "head"]), similarity)
+    mixed_groups = members.groupBy("head").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
+    own = labels.withColumnRenamed("node", "head").join(mixed_groups, "head", "full")
+    comp = F.when(F.col("mixed"), -F.col("head") - 1).otherwise(F.coalesce("root", "head")).alias("comp")
+    labelled = buckets.select("token", "pos", "n", "head").join(own, "head", "left").select("token", "pos", "n", "head", comp)
+    crossing = _cross_pairs(labelled, similarity)
+    one = members.select(F.col("head").alias("a"), F.col("place").alias("a1"), F.col("comp").alias("c1"))
+    two = members.select(F.col("head").alias("b"), F.col("place").alias("b1"), F.col("comp").alias("c2"))
     expanded = (
-        crossing.join(members.select(F.col("head").alias("a"), F.col("place").alias("a1"), F.col("comp").alias("ca")), "a", "left")
-        .join(members.select(F.col("head").alias("b"), F.col("place").alias("b1"), F.col("comp").alias("cb")), "b", "left")
-        .where(F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb")))
+        crossing.join(one, "a", "left")
+        .join(two, "b", "left")
+        .where(F.col("c1").isNull() | F.col("c2").isNull() | (F.col("c1") != F.col("c2")))
         .select(F.coalesce("a1", "a").alias("a"), F.coalesce("b1", "b").alias("b"))
     )
-    one, two = members.alias("one"), members.alias("two")
-    within = one.join(two, F.col("one.head") == F.col("two.head")).where(
-        (F.col("one.place") < F.col("two.place")) & (F.col("one.comp") != F.col("two.comp"))
-    )
-    rest = expanded.unionAll(within.select(F.col("one.place").alias("a"), F.col("two.place").alias("b")))
-    rest = settle(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    within = one.join(two, F.col("a") == F.col("b")).where((F.col("a1") < F.col("b1")) & (F.col("c1") != F.col("c2")))
+    rest = _ordered(expanded.unionAll(within.select(F.col("a1").alias("a"), F.col("b1").alias("b"))))
+    rest = settle(_close(rest, classes, similarity))
     if not rest.isEmpty():
         more = _verified(docs, rest, shingle, similarity)
         labels = settle(connected(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)))
@@ -361,6 +392,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (8
     """``docs`` with one document of each component: the one of smallest doc_id, then of smallest place."""
     found = linked_documents(docs, shingle, similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
-    kept = found.groupBy("head").agg(F.min(order).alias("best")).select(F.col("best.place").alias("_place"))
-    rows = docs.withColumn("_place", F.monotonically_increasing_id())
-    return rows.join(kept, "_place", "left_semi").drop("_place")
+    row = "_place"
+    while row in docs.columns:
+        row += "_"
+    kept = found.groupBy("head").agg(F.min(order).alias("best")).select(F.col("best.place").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
