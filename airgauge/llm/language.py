@@ -21,7 +21,7 @@ from airgauge.llm.bytewise import batches_by_bytes
 from airgauge.llm.tables import COUNTERS, collected, counter_rows, summed
 
 BUCKETS = 1 << 16
-ORDERS = (1, 2, 3)
+ORDERS = (1, 2, 3)  # up to 3, for which the spaces around texts are enough
 SMOOTHING = 0.5
 MATRIX_BYTES = 256 << 20
 UNKNOWN = "und"
@@ -37,23 +37,21 @@ def _letters() -> np.ndarray:
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams, the text of each, and the number of letters of each text.
 
-    Texts are lower-cased, everything but letters becomes a space, and spaces stand
-    around each text. An n-gram of spaces only is none.
+    Texts are lower-cased, everything but letters becomes a space, and two spaces stand
+    before and one after each text. An n-gram of spaces only is none, so none runs from
+    one text into the next.
     """
     parts = [(x or "").lower() for x in texts.to_pylist()]
-    whole = "  " + "  ".join(parts) + "    "
+    whole = "".join(f"  {x} " for x in parts) + "   "
     codes = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    starts = 2 + np.cumsum(lengths + 2) - (lengths + 2)
+    starts = 2 + np.cumsum(lengths + 3) - (lengths + 3)
     letter = _letters()[codes]
     codes = np.where(letter, codes, _SPACE).astype(np.uint64)
     before = np.concatenate([[0], np.cumsum(letter)])
     letters = before[starts + lengths] - before[starts]
-    # A gram belongs to the text before whose two closing spaces it starts.
-    used = len(codes) - 4
-    text = np.repeat(np.arange(len(parts)), lengths + 2) if len(parts) else np.zeros(0, np.int64)
-    text = np.concatenate([np.zeros(min(len(parts), 1), np.int64), text])[:used] if len(parts) else text
-    codes, letter = codes[1:], letter[1:]
+    used = len(codes) - 3
+    text = np.repeat(np.arange(len(parts)), lengths + 3)
     buckets, owners = [], []
     key, some = np.zeros(used, np.uint64), np.zeros(used, bool)
     for n in range(max(ORDERS)):
@@ -122,9 +120,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         raise ValueError("too many languages for a broadcast matrix")
     tables = collected(summed(rows.mapInArrow(count, COUNTERS)), BUCKETS + 1024)
     names = [name for name in names if name in tables]
-    table = np.array([tables[name] for name in names], float).reshape(len(names), -1).T
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    table = np.stack([tables[name] for name in names], axis=1).astype(float)
     texts, table = table[BUCKETS], table[:BUCKETS]
     matrix = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * BUCKETS))
     prior = np.log((texts + 1) / (texts.sum() + len(names)))
