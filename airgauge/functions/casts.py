@@ -29,12 +29,12 @@ def bigint(c: str) -> str:
 
 
 def double(c: str) -> str:
-    """Double; a Java-style suffix (``1d``, ``1f``) is not a number.
+    """Double; a Java-style suffix (``1d``, ``1f``) or hexadecimal text is not a number.
 
     Text that ends in a digit has no suffix, so only the rest is matched.
     """
     suffix = rf"NOT right({c}, 1) BETWEEN '0' AND '9' AND {c} RLIKE r'[0-9.][dDfF]\s*$'"
-    return f"CASE WHEN {suffix} THEN NULL ELSE try_cast({c} AS DOUBLE) END"
+    return f"CASE WHEN contains(lower({c}), 'x') OR {suffix} THEN NULL ELSE try_cast({c} AS DOUBLE) END"
 
 
 def flag(c: str) -> str:

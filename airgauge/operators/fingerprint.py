@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 
 
+# Part of every fingerprint; raised when the text of a row changes.
+TEXT_VERSION = 2
+
+
 def row_text(columns: Sequence[str]) -> Column:
-    """A row as JSON text with NULL fields kept."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    """A row as JSON text with NULL fields kept and times in full, to the microsecond."""
+    full = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"ignoreNullFields": "false", "timestampNTZFormat": full, "timestampFormat": full + "XXX"}
+    return F.to_json(F.struct(*columns), options)
 
 
 def md5_halves(text: Column) -> tuple[Column, Column]:
@@ -49,10 +55,10 @@ def partition_summaries(
 
 
 def fingerprint(kind: Column, columns: Column) -> Column:
-    """SHA-256 over schema version, kind, columns and a partition summary."""
+    """SHA-256 over schema and text version, kind, columns and a partition summary."""
     parts = F.concat_ws(
         "|",
-        F.lit(str(S.SCHEMA_VERSION)),
+        F.lit(f"{S.SCHEMA_VERSION}.{TEXT_VERSION}"),
         kind,
         columns,
         *[

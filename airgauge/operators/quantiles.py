@@ -110,12 +110,13 @@ def ranked_quantiles(
         F.max(F.when(~F.col("t.low"), F.col("v"))).alias("high"),
     )
     share = F.pmod(F.col("position") * (F.col("total") - 1), F.lit(steps)) / F.lit(steps)
-    between = F.col("low") + (F.col("high") - F.col("low")) * share
+    # Weights of both ends, so that an infinite end does not turn the other into NaN.
+    between = F.col("low") * (1 - share) + F.col("high") * share
     return ends.select(
         *groups,
         F.col("position").cast("int").alias("position"),
         _probability(steps).alias("probability"),
-        F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value"),
+        F.when((F.col("low") == F.col("high")) | (share == 0), F.col("low")).otherwise(between).alias("value"),
     )
 
 

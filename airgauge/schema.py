@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# The schema's version, the choice that stands for NULL, and the technologies.
 SCHEMA_VERSION = 2
 NULL_CHOICE = "__null__"
 TECHNOLOGIES = ("LTE", "NR")

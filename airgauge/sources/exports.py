@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from typing import TYPE_CHECKING
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from airgauge import schema as S
 from airgauge.functions import names
 from airgauge.functions.casts import canonical_value, quoted
 from airgauge.operators.filters import keep_test_rows
-from airgauge.session import broadcast_if_small
+from airgauge.session import broadcast_if_small, ship_package
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -30,9 +30,8 @@ WHOLE_FILE_BYTES = 64 << 20
 
 _CONTENTS = "path string, file_hash string, header string, multi_line boolean"
 
-# The first line of a file is looked for in this many bytes.
-_HEADER_BYTES = 1 << 20
-_ODD_QUOTES = r'(?m)^[^"\n]*+"(?:[^"\n]*+"[^"\n]*+")*+[^"\n]*+$'
+# A line, which line feeds and carriage returns end, with an odd number of quotes.
+_ODD_QUOTES = r'(?m)^[^"\r\n]*+"(?:[^"\r\n]*+"[^"\r\n]*+")*+[^"\r\n]*+$'
 
 
 @dataclass(frozen=True)
@@ -100,6 +99,7 @@ def contents(spark: SparkSession, files: DataFrame, whole_limit: int = WHOLE_FIL
     if small:
         parts.append(_whole_contents(spark, small))
     if large:
+        ship_package(spark)
         paths = spark.createDataFrame([(p,) for p in large], "path string")
         parts.append(paths.repartition(len(large)).mapInPandas(_block_contents, _CONTENTS))
     if not parts:
@@ -109,8 +109,7 @@ def contents(spark: SparkSession, files: DataFrame, whole_limit: int = WHOLE_FIL
 
 def _whole_contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     text = F.col("content").cast("string")
-    head = F.substring("content", 1, _HEADER_BYTES).cast("string")
-    first_line = F.regexp_replace(F.substring_index(head, "\n", 1), "^\ufeff|\r$", "")
+    first_line = F.regexp_replace(F.substring_index(text, "\n", 1), "^\ufeff|\r$", "")
     return (
         spark.read.format("binaryFile")
         .load([glob_safe(p) for p in paths])
@@ -124,7 +123,10 @@ def _whole_contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _block_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same facts about files of any size, one 8 MiB block in memory at a time."""
+    """The same facts about files of any size, one 8 MiB block in memory at a time.
+
+    Only the header line is kept, however long it is.
+    """
     import hashlib
 
     import pandas as pd
@@ -138,9 +140,9 @@ def _block_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with system.open_input_stream(name) as stream:
                 while block := stream.read(8 << 20):
                     digest.update(block)
-                    if len(head) < _HEADER_BYTES:
-                        head += block[: _HEADER_BYTES - len(head)]
-                    lines = block.split(b"\n")
+                    if b"\n" not in head:
+                        head += block
+                    lines = block.replace(b"\r", b"\n").split(b"\n")
                     quotes = [line.count(b'"') for line in lines]
                     quotes[0] += tail
                     odd = odd or any(n % 2 for n in quotes[:-1])
@@ -212,6 +214,52 @@ def resolve(headers: Sequence[str]) -> dict[str, int]:
     return places
 
 
+@dataclass(frozen=True)
+class Projection:
+    """What a header line gives for a kind: an expression of each canonical column.
+
+    ``unmet`` lists the columns, and test columns of the row filter, that no header
+    stands for; a projection with any cannot be applied.
+    """
+
+    kind: str
+    outputs: tuple[str, ...]
+    tests: tuple[tuple[str, str], ...]
+    unmet: tuple[str, ...]
+
+    @classmethod
+    def plan(cls, kind: str, sources: Mapping[str, str]) -> Projection:
+        """Match the schema of ``kind`` with ``sources``, header tokens and their input columns."""
+        category, technology = S.KINDS[kind]
+
+        def match(accepted: Sequence[str]) -> str | None:
+            return next(filter(None, (sources.get(names.header_token(x)) for x in accepted)), None)
+
+        wanted = {column: column.source(technology) for column in S.COLUMNS[category]}
+        given = {c: match(x.names) for c, x in wanted.items() if not isinstance(x, S.Constant)}
+        tests = {name: match((name,)) for name, _ in S.ROW_FILTERS.get(category, ())}
+        unmet = [f"{c.name} ({' / '.join(wanted[c].names)})" for c, found in given.items() if found is None]
+        unmet += [f"row filter ({name})" for name, found in tests.items() if found is None]
+
+        def output(column) -> str:
+            if column in given:
+                text = canonical_value(f"`{given[column]}`", column)
+            else:
+                fixed = wanted[column].value
+                text = f"CAST({'NULL' if fixed is None else quoted(str(fixed))} AS {column.type})"
+            return f"{text} AS {column.name}"
+
+        outputs = () if unmet else tuple(map(output, wanted))
+        return cls(kind, outputs, tuple(tests.items()), tuple(unmet))
+
+    def apply(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """The canonical rows, with the columns ``carry`` as they are."""
+        if self.unmet:
+            raise ValueError(f"no header of this {self.kind} export gives {', '.join(self.unmet)}")
+        passing = keep_test_rows(rows, S.KINDS[self.kind][0], dict(self.tests))
+        return passing.selectExpr(*self.outputs, *carry)
+
+
 def canonicalize(
     rows: DataFrame,
     kind: str,
@@ -221,56 +269,23 @@ def canonicalize(
     """Rows of a raw export in the canonical columns of ``kind``.
 
     ``headers`` maps header text to input column; by default the input columns
-    are the headers. All missing columns are reported at once.
+    are the headers. Of headers with equal tokens the first counts.
     """
-    category, technology = S.KINDS[kind]
-    if headers is None:
-        headers = {c: c for c in rows.columns if c not in carry}
-    columns: dict[str, str] = {}
-    for header, column in headers.items():
-        columns.setdefault(names.header_token(header), column)
-
-    def find(wanted: Sequence[str]) -> str | None:
-        tokens = (names.header_token(w) for w in wanted)
-        return next((columns[t] for t in tokens if t in columns), None)
-
-    missing: list[str] = []
-    selected: list[str] = []
-    for column in S.COLUMNS[category]:
-        source = column.source(technology)
-        if isinstance(source, S.Constant):
-            value = "NULL" if source.value is None else quoted(str(source.value))
-            selected.append(f"CAST({value} AS {column.type}) AS {column.name}")
-            continue
-        found = find(source.names)
-        if found is None:
-            missing.append(f"{column.name} ({' / '.join(source.names)})")
-            continue
-        selected.append(f"{canonical_value(f'`{found}`', column)} AS {column.name}")
-
-    filter_columns: dict[str, str] = {}
-    for name, _ in S.ROW_FILTERS.get(category, ()):
-        found = find((name,))
-        if found is None:
-            missing.append(f"row filter ({name})")
-        else:
-            filter_columns[name] = found
-    if missing:
-        raise ValueError(f"{kind}: missing canonical columns: {', '.join(missing)}")
-
-    kept = keep_test_rows(rows, category, filter_columns)
-    return kept.selectExpr(*selected, *carry)
+    inputs = headers or {c: c for c in rows.columns if c not in carry}
+    texts, columns = list(inputs), list(inputs.values())
+    sources = {token: columns[place] for token, place in resolve(texts).items()}
+    return Projection.plan(kind, sources).apply(rows, carry)
 
 
 def read_canonical(spark: SparkSession, layout: Layout) -> DataFrame:
     """Canonical rows of the files of a layout, with ``source_path``."""
     headers = layout.headers()
+    sources = {token: f"_c{place}" for token, place in resolve(headers).items()}
+    projection = Projection.plan(layout.kind, sources)
+    if projection.unmet:
+        raise ValueError(f"{', '.join(layout.paths)}: {layout.kind} lacks {', '.join(projection.unmet)}")
     rows = read_strings(spark, layout.paths, headers, layout.delimiter(), layout.multi_line)
-    first = {headers[place]: f"_c{place}" for place in resolve(headers).values()}
-    try:
-        return canonicalize(rows, layout.kind, first, carry=[SOURCE_PATH])
-    except ValueError as error:
-        raise ValueError(f"{', '.join(layout.paths)}: {error}") from None
+    return projection.apply(rows, carry=[SOURCE_PATH])
 
 
 def invalid_rows(rows: DataFrame, by: Sequence[str] = (SOURCE_PATH,)) -> DataFrame:
@@ -285,45 +300,65 @@ def invalid_rows(rows: DataFrame, by: Sequence[str] = (SOURCE_PATH,)) -> DataFra
 
 def first_values(rows: DataFrame, value: str, group: str, order: Sequence[str]) -> DataFrame:
     """First non-blank value of each group; combined before the shuffle."""
-    filled = rows.withColumn("_v", F.trim(F.col(value))).where(F.col("_v") != "")
+    filled = rows.withColumn("_v", F.trim(F.col(value), F.lit(" \t\n\r\f\x0b"))).where(F.col("_v") != "")
     return filled.groupBy(group).agg(F.min_by("_v", F.struct(*order)).alias("value"))
 
 
 def first_databases(
-    spark: SparkSession, paths: Sequence[str], headers: Sequence[str], delimiter: str = ","
+    spark: SparkSession,
+    paths: Sequence[str],
+    headers: Sequence[str],
+    delimiter: str = ",",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """First non-blank Database value of each file, by place in the file.
+    """First non-blank Database value of each file, by place in the file; null if it has none.
 
-    A file is read in blocks; rows are ordered by block and, inside a block, in
-    the order they are read.
+    A file is read in blocks (in one, if values hold line ends); rows are ordered by
+    block and, inside a block, in the order they are read.
     """
     place = resolve(headers).get("database")
     if place is None:
-        raise ValueError(f"{', '.join(paths)}: missing Database column")
-    rows = read_strings(spark, paths, headers, delimiter).select(
+        raise ValueError(f"no Database header in {', '.join(paths)}")
+    rows = read_strings(spark, paths, headers, delimiter, multi_line).select(
         SOURCE_PATH,
         f"_c{place}",
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
     found = first_values(rows, f"_c{place}", SOURCE_PATH, ["block", "line"])
-    return found.withColumn(SOURCE_PATH, plain_path(F.col(SOURCE_PATH)))
+    read = list_files(spark, [glob_safe(p) for p in paths]).select(F.col("uri").alias(SOURCE_PATH))
+    every = read.join(found, SOURCE_PATH, "left")
+    return every.withColumn(SOURCE_PATH, plain_path(F.col(SOURCE_PATH)))
 
 
 def staging_plan(incoming: DataFrame, archived: DataFrame, force: bool = False) -> DataFrame:
-    """What to do with dropped files: incoming (target, file_hash) against archived.
+    """What to do with dropped files: incoming (target, path, file_hash) against archived.
 
-    A file whose archived twin has the same bytes is skipped; one with other
-    bytes is a conflict unless forced.
+    Files count in the order of their paths. The first for a free target is staged; a
+    file with the bytes that its target already has is skipped; one with other bytes is
+    a conflict, or takes the target's place if forced.
     """
     before = archived.select("target", F.col("file_hash").alias("archived_hash"))
-    clash = F.lit("STAGE" if force else "CONFLICT")
+    if force:  # a target has the bytes of the file before, whatever became of that file
+        order = Window.partitionBy("target").orderBy("path")
+        seen = incoming.join(before, "target", "left").withColumn(
+            "present", F.coalesce(F.lag("file_hash").over(order), "archived_hash")
+        )
+    else:  # without force a target never changes once it is taken
+        first = incoming.groupBy("target").agg(F.min_by(F.struct("path", "file_hash"), "path").alias("first"))
+        taken = F.when(F.col("path") != F.col("first.path"), F.col("first.file_hash"))
+        seen = (
+            incoming.join(before, "target", "left")
+            .join(first, "target")
+            .withColumn("present", F.coalesce("archived_hash", taken))
+            .drop("first")
+        )
     action = (
-        F.when(F.col("archived_hash").isNull(), F.lit("STAGE"))
-        .when(F.col("archived_hash") == F.col("file_hash"), F.lit("SKIP"))
-        .otherwise(clash)
+        F.when(F.col("present").isNull(), F.lit("STAGE"))
+        .when(F.col("present") == F.col("file_hash"), F.lit("SKIP"))
+        .otherwise(F.lit("STAGE" if force else "CONFLICT"))
     )
-    return incoming.join(before, "target", "left").withColumn("action", action)
+    return seen.withColumn("action", action).drop("present")
 
 
 def newest_copies(files: DataFrame) -> DataFrame:

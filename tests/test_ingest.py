@@ -236,17 +236,28 @@ def test_first_database_of_files(spark, tmp_path):
     assert {r.source_path.removeprefix("file:").lstrip("/"): r.value for r in got.collect()} == {
         one.lstrip("/"): "First", two.lstrip("/"): "D0",
     }
-    with pytest.raises(ValueError, match="missing Database column"):
+    blank = put(tmp_path, "d", [line(1, database=" ")])
+    quoted = put(tmp_path, "e", [line(1, database='"\n"'), line(2, database='" Right\nname"')])
+    got = exports.first_databases(spark, [blank, quoted], HEADERS.split(","), multi_line=True)
+    assert sorted((r.value or "" for r in got.collect())) == ["", "Right\nname"]
+    with pytest.raises(ValueError, match="no Database header"):
         exports.first_databases(spark, [one], ["Time"])
 
 
 def test_staging_force(spark):
-    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "target string, file_hash string")
+    files = [
+        ("a", "1", "1"), ("b", "2", "2"), ("c", "3", "3"), ("c", "4", "5"), ("c", "5", "3"), ("b", "6", "x"), ("a", "7", "9"),
+    ]
+    new = spark.createDataFrame(files, "target string, path string, file_hash string")
     old = spark.createDataFrame([("a", "1"), ("b", "x")], "target string, file_hash string")
-    plan = {r.target: r.action for r in exports.staging_plan(new, old).collect()}
-    assert plan == {"a": "SKIP", "b": "CONFLICT", "c": "STAGE"}
-    forced = {r.target: r.action for r in exports.staging_plan(new, old, force=True).collect()}
-    assert forced == {"a": "SKIP", "b": "STAGE", "c": "STAGE"}
+    plan = {r.path: r.action for r in exports.staging_plan(new, old).collect()}
+    assert plan == {
+        "1": "SKIP", "2": "CONFLICT", "3": "STAGE", "4": "CONFLICT", "5": "SKIP", "6": "SKIP", "7": "CONFLICT",
+    }
+    forced = {r.path: r.action for r in exports.staging_plan(new, old, force=True).collect()}
+    assert forced == {
+        "1": "SKIP", "2": "STAGE", "3": "STAGE", "4": "STAGE", "5": "STAGE", "6": "STAGE", "7": "STAGE",
+    }
 
 
 def test_hot_partition_becomes_several_sorted_files(spark, tmp_path):

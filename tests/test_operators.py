@@ -152,6 +152,7 @@ def test_fingerprint_sees_every_cell(spark):
     assert mark(list(reversed(data))) == base
     assert mark(data[:50] + [(DAY, 50, None)] + data[51:]) != base
     assert mark(data[:50] + [(DAY, 51, 50.0)] + data[51:]) != base
+    assert mark(data[:50] + [(DAY + dt.timedelta(microseconds=1), 50, 50.0)] + data[51:]) != base
     assert mark(data + [data[1]]) != base
     assert mark(data + [data[1], data[1]]) != base
 

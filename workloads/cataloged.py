@@ -162,36 +162,67 @@ def partition_summary(spark, folder):
     )
 
 
+HASHED = ["event_id", "measured_at", "pci", "band_number"]
+
+
+def row_json(time: str) -> str:
+    """SQL of the text that stands for a row in a fingerprint."""
+    fields = f"""'{{"event_id":', event_id, ',"measured_at":"', strftime({time}, '%Y-%m-%dT%H:%M:%S.%f'), '","pci":', pci"""
+    return f"""concat({fields}, ',"band_number":', coalesce(CAST(band_number AS VARCHAR), 'null'), '}}')"""
+
+
 _SUMS = ("row_count", "start_time", "end_time", "lower_sum", "lower_xor", "upper_sum", "upper_xor")
 
 
 @query(
     "content_hash",
-    f"""SELECT *, sha256(concat_ws('|', '2', measurement_type, 'event_id,pci,band_number', {", ".join(
+    f"""SELECT *, sha256(concat_ws('|', '2.2', measurement_type, 'event_id,measured_at,pci,band_number', {", ".join(
       f"CAST({c} AS VARCHAR)" for c in _SUMS)})) AS content_hash FROM (
   SELECT database_name, collection_name, measurement_type, count(*) AS row_count,
     min(measured_at) AS start_time, max(measured_at) AS end_time,
     CAST(sum(a) AS VARCHAR) AS lower_sum, CAST(bit_xor(a) AS VARCHAR) AS lower_xor,
     CAST(sum(b) AS VARCHAR) AS upper_sum, CAST(bit_xor(b) AS VARCHAR) AS upper_xor
   FROM (SELECT *, CAST(concat('0x', substr(h, 1, 15)) AS BIGINT) AS a, CAST(concat('0x', substr(h, 16, 15)) AS BIGINT) AS b
-    FROM (SELECT *, md5(concat_ws('|', CAST(event_id AS VARCHAR), CAST(pci AS VARCHAR),
-      coalesce(CAST(band_number AS VARCHAR), '~'))) AS h FROM m))
+    FROM (SELECT *, md5({row_json('measured_at')}) AS h FROM m))
   GROUP BY database_name, collection_name, measurement_type)""",
 )
 def content_hash(spark, folder):
-    def text(c):
-        return F.coalesce(F.col(c).cast("string"), F.lit("~"))
-
-    columns = ["event_id", "pci", "band_number"]
     summaries = fingerprint.partition_summaries(
-        view(spark, folder, "m"), S.PARTITION_KEY, F.concat_ws("|", *[text(c) for c in columns])
+        view(spark, folder, "m"), S.PARTITION_KEY, fingerprint.row_text(HASHED)
     )
     hashed = summaries.withColumn(
-        "content_hash", fingerprint.fingerprint(F.col("measurement_type"), F.lit(",".join(columns)))
+        "content_hash", fingerprint.fingerprint(F.col("measurement_type"), F.lit(",".join(HASHED)))
     )
     return hashed.withColumns({c: F.col(c).cast("string") for c in _SUMS[3:]})
 
 
+@query(
+    "fingerprint_microseconds",
+    f"""SELECT database_name, collection_name, measurement_type, CASE WHEN bool_or(event_id % 64 = 0) THEN 'REPLACE'
+  ELSE 'SKIP unchanged' END AS action FROM m GROUP BY database_name, collection_name, measurement_type""",
+)
+def fingerprint_microseconds(spark, folder):
+    """A newer export in which some times differ by one microsecond, against the stored one."""
+    rows = view(spark, folder, "m")
+    later = F.when(F.col("event_id") % 64 == 0, F.col("measured_at") + F.expr("INTERVAL '0.000001' SECOND"))
+    moved = rows.withColumn("measured_at", F.coalesce(later, "measured_at"))
+
+    def snapshot(frame, exported_at):
+        summaries = fingerprint.partition_summaries(frame, S.PARTITION_KEY, fingerprint.row_text(HASHED))
+        # The span of times would tell most changes by itself.
+        spanless = summaries.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("start_time", "end_time")})
+        mark = fingerprint.fingerprint(F.col("measurement_type"), F.lit(",".join(HASHED)))
+        return spanless.select(
+            *S.PARTITION_KEY,
+            mark.alias("content_hash"),
+            F.lit(exported_at).cast("timestamp_ntz").alias("exported_at"),
+            F.lit(S.SCHEMA_VERSION).alias("schema_version"),
+        )
+
+    plan = ingest.snapshot_actions(snapshot(moved, "2026-06-12"), snapshot(rows, "2026-06-10"))
+    return plan.select(*S.PARTITION_KEY, "action")
+
+
 @query(
     "content_hash_of_all_columns",
     """SELECT measurement_type, CAST(count(*) AS BIGINT) AS partitions, TRUE AS same FROM (
@@ -332,17 +363,17 @@ def latest_snapshot(spark, folder):
     return ingest.latest_snapshots(deliveries(spark, folder))
 
 
-NEW_SQL = LATEST_SQL.format(source=f"SELECT * FROM ({KEYED_SQL}) WHERE right(path, 1) IN ('1', '2', '4', '5', '7')")
-OLD_SQL = LATEST_SQL.format(source=f"SELECT * FROM ({KEYED_SQL}) WHERE right(path, 1) IN ('1', '3', '6', '8') AND collection_name <> 'col_3'")
+NEW_SQL = LATEST_SQL.format(source=f"SELECT * FROM ({KEYED_SQL}) WHERE right(path, 1) IN ('0', '1', '2', '4', '5', '7')")
+OLD_SQL = LATEST_SQL.format(source=f"SELECT * FROM ({KEYED_SQL}) WHERE right(path, 1) IN ('1', '3', '6', '8', '9') AND collection_name <> 'col_3'")
 
 
 def old_and_new(spark, folder):
     """Two deliveries that share some files, as catalog rows and incoming snapshots."""
     all_ = deliveries(spark, folder).withColumnRenamed("file_hash", "content_hash")
     last = F.right("path", F.lit(1))
-    new = ingest.latest_snapshots(all_.where(last.isin("1", "2", "4", "5", "7")))
+    new = ingest.latest_snapshots(all_.where(last.isin("0", "1", "2", "4", "5", "7")))
     old = ingest.latest_snapshots(
-        all_.where(last.isin("1", "3", "6", "8") & (F.col("collection_name") != "col_3"))
+        all_.where(last.isin("1", "3", "6", "8", "9") & (F.col("collection_name") != "col_3"))
     ).withColumn("schema_version", F.lit(S.SCHEMA_VERSION))
     return old, new
 
@@ -362,17 +393,25 @@ def snapshot_plan(spark, folder):
 
 @query(
     "staging_plan",
-    f"""SELECT n.path, CASE WHEN o.file_hash IS NULL THEN 'STAGE' WHEN o.file_hash = n.file_hash THEN 'SKIP'
-  ELSE 'CONFLICT' END AS action FROM ({NEW_SQL}) n LEFT JOIN ({OLD_SQL}) o USING (database_name, collection_name, measurement_type)""",
+    f"""SELECT path, CASE WHEN hash IS NULL THEN CASE WHEN place = 1 THEN 'STAGE' WHEN file_hash = first_hash THEN 'SKIP'
+    ELSE 'CONFLICT' END WHEN hash = file_hash THEN 'SKIP' ELSE 'CONFLICT' END AS action FROM (
+  SELECT n.path, n.file_hash, o.file_hash AS hash, row_number() OVER w AS place, first_value(n.file_hash) OVER w AS first_hash
+  FROM (SELECT * FROM ({KEYED_SQL}) WHERE right(path, 1) IN ('0', '1', '2', '4', '5', '7')) n
+  LEFT JOIN ({OLD_SQL}) o USING (database_name, collection_name, measurement_type)
+  WINDOW w AS (PARTITION BY database_name, collection_name, measurement_type ORDER BY n.path))""",
     views=("exports",),
 )
 def staging_plan(spark, folder):
+    """Many dropped files for one target, against one archived file at most."""
+
     def targets(frame):
         key = F.concat_ws("/", *S.PARTITION_KEY)
-        return frame.select(key.alias("target"), "path", F.col("content_hash").alias("file_hash"))
+        return frame.select(key.alias("target"), "path", "file_hash")
 
-    old, new = old_and_new(spark, folder)
-    return exports.staging_plan(targets(new), targets(old)).select("path", "action")
+    old, _ = old_and_new(spark, folder)
+    dropped = deliveries(spark, folder).where(F.right("path", F.lit(1)).isin("0", "1", "2", "4", "5", "7"))
+    archived = targets(old.withColumnRenamed("content_hash", "file_hash"))
+    return exports.staging_plan(targets(dropped), archived).select("path", "action")
 
 
 @query(
