@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF = 32
+BASE = 1.3  # by which the cover shrinks from a node to its children
 BLOCK = 4096
 QUERIES_PER_BLOCK = 2048
 SCALE = 256
@@ -27,8 +28,10 @@ class CoverTree:
     """A cover tree over the rows of ``points``, as arrays.
 
     A node covers its points within ``radius`` of its centre, one of them. Its children's
-    centres, of which its own is the first, are more than half its cover apart, and each
-    child covers what lies within that half. Nodes of few points are leaves.
+    centres, of which its own is the first, are more than radius / BASE apart, and each
+    child covers what lies within that. A node is a leaf if it has few points, or if that
+    takes so many children that they would hold little more than their centres; its points
+    are then compared at once.
     """
 
     def __init__(self, points: np.ndarray):
@@ -44,18 +47,26 @@ class CoverTree:
         while todo:
             node, distance = todo.pop()
             members = self.members[node]
-            if len(members) <= LEAF or self.radius[node] == 0:
-                continue
-            cover, center = self.radius[node] / 2, self.centers[node]
-            while len(members):
-                inside = distance <= cover
-                child = self._add(center, members[inside], distance[inside])
-                self.children[node].append(child)
-                todo.append((child, distance[inside]))
-                members = members[~inside]
-                if len(members):
-                    center = int(members[0])
-                    distance = np.linalg.norm(points[members] - points[center], axis=1)
+            if len(members) > LEAF and self.radius[node] > 0:
+                for parts in self._split(points, node, distance):
+                    child = self._add(*parts)
+                    self.children[node].append(child)
+                    todo.append((child, parts[2]))
+
+    def _split(self, points: np.ndarray, node: int, distance: np.ndarray) -> list[tuple]:
+        """(centre, members, distances) of the children; none if they would be too many."""
+        members, center = self.members[node], self.centers[node]
+        cover, most, found = self.radius[node] / BASE, int(2 * np.sqrt(len(members))), []
+        while len(members):
+            if len(found) == most:
+                return []
+            inside = distance <= cover
+            found.append((center, members[inside], distance[inside]))
+            members = members[~inside]
+            if len(members):
+                center = int(members[0])
+                distance = np.linalg.norm(points[members] - points[center], axis=1)
+        return found
 
     def _add(self, center: int, members: np.ndarray, distance: np.ndarray) -> int:
         self.centers.append(center)
@@ -105,20 +116,31 @@ class Search:
             todo += sorted(pairs)  # the most promising pair is taken first
 
     def _leaf(self, queries: np.ndarray, data: np.ndarray, ids: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
-        scores = self.q[queries] @ data[rows].T
-        scores[self.own[queries][:, None] == places[rows][None, :]] = -np.inf
-        use = np.flatnonzero((scores >= self.scores[queries, -1][:, None]).any(axis=1))
-        if not len(use):
+        step = max(1, (1 << 20) // len(rows))
+        for low in range(0, len(queries), step):
+            self._compare(queries[low : low + step], data[rows], ids[rows], places[rows])
+
+    def _compare(self, queries: np.ndarray, data: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
+        """Merge all rows of ``data`` with the best rows of the queries so far."""
+        scores = self.q[queries] @ data.T
+        scores[self.own[queries][:, None] == places[None, :]] = -np.inf
+        least = self.scores[queries, -1]
+        if len(data) > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        query, row = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        if not len(query):
             return
-        queries, scores = queries[use], scores[use]
-        shape = scores.shape
-        every = np.concatenate([self.scores[queries], scores], axis=1)
-        id_ = np.concatenate([self.ids[queries], np.broadcast_to(ids[rows], shape)], axis=1)
-        place = np.concatenate([self.places[queries], np.broadcast_to(places[rows], shape)], axis=1)
-        order = np.lexsort((place, id_, -every), axis=1)[:, : self.k]
-        self.scores[queries] = np.take_along_axis(every, order, axis=1)
-        self.ids[queries] = np.take_along_axis(id_, order, axis=1)
-        self.places[queries] = np.take_along_axis(place, order, axis=1)
+        use, query = np.unique(query, return_inverse=True)
+        every = queries[use]
+        before = np.repeat(np.arange(len(use)), self.k)
+        owner = np.concatenate([before, query])
+        score = np.concatenate([self.scores[every].ravel(), scores[use[query], row]])
+        id_ = np.concatenate([self.ids[every].ravel(), ids[row]])
+        place = np.concatenate([self.places[every].ravel(), places[row]])
+        order = np.lexsort((place, id_, -score, owner))
+        first = np.searchsorted(owner[order], np.arange(len(use)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.scores[every], self.ids[every], self.places[every] = score[best], id_[best], place[best]
 
 
 def _packed(batch: pa.Table | pa.RecordBatch) -> bytes:

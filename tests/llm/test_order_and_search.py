@@ -116,7 +116,7 @@ def test_cover_tree_covers():
             assert sorted(np.concatenate([tree.members[c] for c in children]).tolist()) == sorted(members.tolist())
             centers = points[[tree.centers[c] for c in children]]
             gaps = np.linalg.norm(centers[:, None] - centers[None], axis=2)[np.triu_indices(len(children), 1)]
-            assert (gaps > tree.radius[node] / 2).all()
+            assert (gaps > tree.radius[node] / cover_tree.BASE).all()
 
 
 def test_search_prunes():
