@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ SHINGLE = 3
 SIMILARITY = (90, 100)
 COUNTER_BITS = 22  # of the table of shingle counters
 FILTER_BITS = 20  # of the filter of documents to verify
-SIGNATURE = 512  # bits
+SIGNATURE = 512  # bits, at least
 _BATCH = 1 << 20
 
 
@@ -76,8 +77,10 @@ def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
 def _profiles(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """(place, doc_id, n, cls, prefix, sign) of each document; ``cls`` digests its whole set.
 
-    ``sign`` holds, for each of SIGNATURE parts of the hash range, whether an odd number of
-    shingles fall in it. Where two signs differ, the sets differ too, once for each bit.
+    ``sign`` holds, for each part of the hash range, whether an odd number of shingles fall
+    in it. Where two signs differ, the sets differ too, once for each bit. The number of
+    parts is a power of two and grows with the set, half a bit for each shingle or more,
+    so that the signs of long texts tell as much as those of short ones.
     """
     num, den = similarity
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, size))
@@ -86,32 +89,33 @@ def _profiles(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFr
         for batch in batches_by_bytes(batches, "text", _BATCH):
             sets = shingle_sets(batch.column("text"), size)
             digests, prefixes = [], []
-            signs = np.zeros((len(sets), SIGNATURE), np.uint8)
-            for i, found in enumerate(sets):
+            signs = []
+            for found in sets:
                 n = len(found)
                 if not n:
                     digests.append(None)
                     prefixes.append(None)
+                    signs.append(None)
                     continue
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 often = shared.value[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64)
                 key = (often << np.uint64(56)) | (found >> np.uint64(8))
                 length = n - -(-num * n // den) + 1
                 prefixes.append(found[np.argsort(key, kind="stable")[:length]].tobytes())
-                signs[i] = np.bincount((found & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
-            packed = np.packbits(signs, axis=1).view(np.int64)
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * packed.shape[1])
+                parts = max(SIGNATURE, 1 << (n // 2).bit_length())
+                odd = np.bincount((found & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+                signs.append(np.packbits(odd.astype(np.uint8)).tobytes())
             columns = [
                 batch.column("place"),
                 batch.column("doc_id"),
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(prefixes, pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(packed.ravel())),
+                pa.array(signs, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["place", "doc_id", "n", "cls", "prefix", "sign"])
 
-    return docs.mapInArrow(run, "place bigint, doc_id bigint, n bigint, cls binary, prefix binary, sign array<bigint>")
+    return docs.mapInArrow(run, "place bigint, doc_id bigint, n bigint, cls binary, prefix binary, sign binary")
 
 
 def _buckets(groups: DataFrame) -> DataFrame:
@@ -259,10 +263,32 @@ def _close(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) ->
     num, den = similarity
     one = classes.select(F.col("place").alias("a"), F.col("n").alias("n1"), F.col("sign").alias("s1"))
     two = classes.select(F.col("place").alias("b"), F.col("n").alias("n2"), F.col("sign").alias("s2"))
-    differ = sum(F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(SIGNATURE // 64))
-    need = F.expr(f"({num} * (n1 + n2) + {num + den - 1}) div {num + den}")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
+            differ = np.zeros(len(n), np.int64)
+            sizes = np.stack([pc.binary_length(batch.column(s)).to_numpy() for s in ("s1", "s2")], axis=1)
+            for shape in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == shape).all(axis=1))
+                x, y = (_rows_of(batch.column(s).take(pa.array(at)), k) for s, k in zip(("s1", "s2"), shape.tolist()))
+                width = int(shape.min())
+                differ[at] = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=1, dtype=np.int64)
+            need = -(-num * n // (num + den))
+            yield batch.select(["a", "b"]).filter(pa.array(differ <= n - 2 * need))
+
     both = pairs.join(one, "a").join(two, "b")
-    return both.where(differ <= F.col("n1") + F.col("n2") - 2 * need).select("a", "b")
+    return both.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(check, "a bigint, b bigint")
+
+
+def _rows_of(values: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width as the rows of a table of bytes."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in values), np.uint8).reshape(-1, width)
+
+
+def _folded(signs: np.ndarray, width: int) -> np.ndarray:
+    """Signs of fewer parts, which hold whether the parts that fall together are odd in sum."""
+    return np.bitwise_xor.reduce(signs.reshape(len(signs), -1, width), axis=1)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:

@@ -102,3 +102,18 @@ def test_components_of_any_graph(spark):
     got = {r.node: r.root for r in components.connected(frame).collect()}
     assert got == {x: r for x, r in root.items() if sum(v == r for v in root.values()) > 1}
     assert components.connected(frame.limit(0)).count() == 0
+
+
+def test_signs_of_different_width_fold_to_lower_bounds():
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+
+    def sign(found, parts):
+        odd = np.bincount((found & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+        return np.packbits(odd.astype(np.uint8)).reshape(1, -1)
+
+    wide, narrow = sign(whole, 2048), sign(whole, 1024)
+    assert (ngram_join._folded(wide, 128) == narrow).all()
+    other = sign(whole[50:], 1024)
+    differ = int(np.bitwise_count(ngram_join._folded(wide, 128) ^ other).sum())
+    assert 0 < differ <= 50
