@@ -1,7 +1,7 @@
 """Exact top-k by inner product: dual-tree search over cover trees of queries and data.
 
 Queries and data are cut into blocks of bounded size, each indexed by a cover tree. Every
-query block meets every data block; pairs of nodes are pruned when their centres and
+query block meets every data block, a few of them in each task; pairs of nodes are pruned when their centres and
 covering radii bound all scores below the worst k-th score of the node's queries.
 """
 
@@ -20,6 +20,8 @@ LEAF = 32
 BASE = 1.3  # by which the cover shrinks from a node to its children
 BLOCK = 4096
 QUERIES_PER_BLOCK = 2048
+BLOCKS_PER_TASK = 4  # of data, for one block of queries; about
+MOST_TASKS = 1 << 16
 SCALE = 256
 _EXACT = 1 << 20  # numbers below it multiply and add up exactly as doubles
 
@@ -169,8 +171,12 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
         .select(F.col("vec_id").cast("bigint"), "place", F.size("embedding").alias("dim"), whole.alias("vector"))
     )
-    asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
+    is_query = F.col("vec_id") % every == 0
+    asked = rows.where(is_query)
+    seen = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_query).alias("asked")).first()
+    blocks = max(1, -(-seen["asked"] // QUERIES_PER_BLOCK))
+    parts = max(1, -(-seen["all"] // (BLOCK * BLOCKS_PER_TASK)))
+    tasks = min(blocks * parts, MOST_TASKS)
 
     def pack_queries(table: pa.Table) -> pa.Table:
         first = table.slice(0, 1)
@@ -180,8 +186,9 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
         held: dict[int, list[pa.RecordBatch]] = {}
 
         def row(dim: int) -> pa.RecordBatch:
-            data = _packed(pa.Table.from_batches(held.pop(dim)))
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "data": pa.array([data], pa.binary())})
+            table = pa.Table.from_batches(held.pop(dim))
+            columns = [pa.array([dim], pa.int32()), table["place"].slice(0, 1).combine_chunks(), pa.array([_packed(table)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["dim", "first", "data"])
 
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK):
@@ -210,8 +217,12 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
 
     block = F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")
     queries = asked.withColumn("block", block).groupBy("dim", "block").applyInArrow(pack_queries, "dim int, block int, queries binary")
-    data = rows.mapInArrow(pack_data, "dim int, data binary")
-    met = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, ["dim", "block"])
+    data = rows.mapInArrow(pack_data, "dim int, first bigint, data binary")
+    data = data.withColumn("part", F.pmod(F.xxhash64("first"), F.lit(parts)).cast("int"))
+    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["dim", "block", "part"]
+    met = data.repartition(tasks, *keys).join(queries.repartition(tasks, *keys), keys)
     found = met.select("queries", "data").mapInArrow(
         search, "query bigint, query_id bigint, vec_id bigint, place bigint, score bigint"
     )
