@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.functions import labels as L
 from airgauge.operators.filters import Selection
-from airgauge.session import broadcast_if_small
+from airgauge.session import broadcast_if_small, settle
 
 COLLECTION = ("database_name", "collection_name")
 
@@ -60,36 +60,20 @@ def summary_report(partitions: DataFrame, database: str | None = None) -> DataFr
     return collections.join(databases, "database_name")
 
 
-def kind_dimension(spark) -> DataFrame:
-    """The fixed eight kinds with category and technology."""
-    return spark.createDataFrame(
-        [(kind, category, technology) for kind, (category, technology) in S.KINDS.items()],
-        "measurement_type string, category string, technology string",
-    )
+def _of_kind(place: int) -> Column:
+    """Category (0) or technology (1) of the row's kind; null for an unknown one."""
+    pairs = [F.lit(x) for kind, parts in S.KINDS.items() for x in (kind, parts[place])]
+    return F.try_element_at(F.create_map(*pairs), F.col("measurement_type"))
 
 
 def collection_entries(partitions: DataFrame) -> DataFrame:
     """Collections with time range and the categories and technologies they have."""
-    kinds = kind_dimension(partitions.sparkSession)
-    present = (
-        partitions.select(*S.PARTITION_KEY)
-        .join(F.broadcast(kinds), "measurement_type")
-        .groupBy(*COLLECTION)
-        .agg(
-            F.collect_set("category").alias("present"),
-            F.sort_array(F.collect_set("technology")).alias("technologies"),
-        )
-    )
     order = F.array(*[F.lit(c) for c in S.CATEGORIES])
-    spans = collections_view(partitions).select(*COLLECTION, "start_time", "end_time")
-    return spans.join(present, list(COLLECTION), "left").select(
-        *COLLECTION,
-        F.col("start_time").alias("start"),
-        F.col("end_time").alias("end"),
-        F.array_intersect(order, F.coalesce("present", F.array().cast("array<string>"))).alias(
-            "categories"
-        ),
-        F.coalesce("technologies", F.array().cast("array<string>")).alias("technologies"),
+    return partitions.groupBy(*COLLECTION).agg(
+        F.min("start_time").alias("start"),
+        F.max("end_time").alias("end"),
+        F.array_intersect(order, F.collect_set(_of_kind(0))).alias("categories"),
+        F.sort_array(F.collect_set(_of_kind(1))).alias("technologies"),
     )
 
 
@@ -126,7 +110,7 @@ def key_filter(measurements: DataFrame, keys: DataFrame) -> DataFrame:
 
     Keys of a checked size are broadcast, so that only listed partitions are read.
     """
-    listed = broadcast_if_small(keys.select(*S.PARTITION_KEY))
+    listed = broadcast_if_small(settle(keys.select(*S.PARTITION_KEY)))
     return measurements.join(listed, list(S.PARTITION_KEY), "left_semi")
 
 

@@ -63,13 +63,15 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast when a count shows that it is small.
+def broadcast_if_small(df: DataFrame, rows: int = 200_000, size: int = 64 << 20) -> DataFrame:
+    """Mark ``df`` for broadcast when its rows and their length as text show that it is small.
 
-    Beyond the limit the join is left to shuffles, where adaptive execution
-    splits skewed keys.
+    Beyond either limit the join is left to shuffles, where adaptive execution splits
+    skewed keys. ``df`` is computed for this, so a long plan should be settled before.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    length = F.sum(F.length(F.to_json(F.struct(*df.columns))))
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(length, F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if seen.rows <= rows and seen.size <= size else df
 
 
 def settle(df: DataFrame) -> DataFrame:

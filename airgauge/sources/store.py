@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from airgauge import schema as S
 from airgauge.operators.filters import Selection
-from airgauge.session import broadcast_if_small
+from airgauge.session import broadcast_if_small, settle
 
 _STORE_KEYS = ("measurement_type", "database_name", "collection_name")
 ROWS_PER_FILE = 4_000_000
+MOST_TASKS = 100_000  # of one write; beyond it a task writes several files
 
 # Characters Spark escapes in partition folder names.
 _ESCAPED = '%"#\'*/:=?\\{[]^'
@@ -50,26 +51,26 @@ def write_snapshots(
     ``wanted`` holds the ``row_count`` of each partition, and may restrict the rows
     by further columns it shares with them. It is counted when not given. A large
     partition becomes several files, each sorted by time: rows are spread over them
-    by the input split they come from, which copies of one row, or rows at one time,
-    do not share. Nothing has to be sampled for this.
+    by a hash of the input split and all cells, so neither a single split nor rows at
+    one time meet in one task. Nothing has to be sampled for this.
     """
     keys = list(_STORE_KEYS)
     if wanted is None:
         wanted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
     shared = [c for c in wanted.columns if c != "row_count"]
     files = F.ceil(F.col("row_count") / F.lit(rows_per_file)).cast("int")
-    sizes = wanted.select(*shared, files.alias("_files"))
+    sizes = settle(wanted.select(*shared, files.alias("_files")))
     placed = (
-        rows.withColumn("_split", F.spark_partition_id())
+        rows.withColumn("_place", F.xxhash64(F.spark_partition_id(), *rows.columns))
         .join(broadcast_if_small(sizes), shared)
-        .withColumn("_file", F.pmod("_split", "_files"))
+        .withColumn("_file", F.pmod("_place", F.col("_files").cast("bigint")))
     )
     # A given number of tasks keeps adaptive execution from merging small ones,
-    # which would write all files of a small import one after the other.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartition(tasks, *keys, "_file").sortWithinPartitions(
-        *keys, "_file", "measured_at"
-    )
+    # which would write all files of a small import one after the other; a large
+    # import has about one for each file.
+    total = sizes.agg(F.sum("_files")).first()[0] or 1
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(total, MOST_TASKS))
+    ordered = placed.repartition(tasks, *keys, "_file").sortWithinPartitions(*keys, "measured_at")
     (
         ordered.select(*[c for c in rows.columns if c not in shared or c in keys])
         .write.mode("overwrite")
