@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from airgauge.llm import (
     blocks,
+    centroids,
+    compression,
     cover_tree,
     decontaminate,
     hilbert,
@@ -18,6 +20,7 @@ from airgauge.llm import (
     packing,
     suffix_tree,
     warc,
+    whitening,
 )
 from airgauge.session import ship_package
 
@@ -211,3 +214,48 @@ def suffix_tree_query(spark: SparkSession, folder: str) -> DataFrame:
 def warc_query(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archived(_table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op11_whitening")
+def whitening_query(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whitened(_table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@_query("op12_compression")
+def compression_query(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def _clusters_sql() -> str:
+    """One step a round: the nearest centroid of every vector, then the floors of the means."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS place, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT k, e FROM (SELECT e, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM v)
+        WHERE k < 8)""",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (SELECT place, vec_id, e, k, d FROM (SELECT place, vec_id, v.e, k,
+            list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS d FROM v CROSS JOIN c{i} c)
+            QUALIFY row_number() OVER (PARTITION BY place ORDER BY d, k) = 1)"""
+        )
+        if i < centroids.ROUNDS:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN
+                (SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM
+                (SELECT k, i, CAST(sum(x) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM
+                (SELECT k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{i}) GROUP BY k, i) GROUP BY k) m ON m.k = c.k)"""
+            )
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, CAST(a.k AS INT) AS cluster, CAST(d AS BIGINT) AS distance,
+        CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a{centroids.ROUNDS} a JOIN c{centroids.ROUNDS} c ON c.k = a.k"""
+
+
+@_query("op13_centroids", _clusters_sql())
+def centroids_query(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clustered(_table(spark, folder, "embeddings"))

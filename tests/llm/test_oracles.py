@@ -19,7 +19,7 @@ def con():
 
 def test_names():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.ORACLE_SQL is None
 
 
