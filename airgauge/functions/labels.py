@@ -51,15 +51,15 @@ def or_dash(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key that ignores case and compares digit runs as numbers."""
-    parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
+    """Sort key that compares digit runs as numbers and letters without case and accents."""
+    parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def padded(part: Column) -> Column:
         digits = F.regexp_replace(part, "^0+(?=.)", "")
         width = F.lpad(F.length(digits).cast("string"), 6, "0")
         return F.when(part.rlike(r"^\d"), F.concat(width, digits)).otherwise(part)
 
-    return F.array_join(F.transform(parts, padded), "")
+    return F.collate(F.array_join(F.transform(parts, padded), ""), "UNICODE_CI_AI")
 
 
 def number_text(c: Column, digits: int = 1) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.functions import labels as L
 from airgauge.operators.filters import Selection
-from airgauge.session import broadcast_if_small
+from airgauge.session import broadcast_if_small, settle
 
 COLLECTION = ("database_name", "collection_name")
 
@@ -108,10 +108,13 @@ def selection_categories(collections: DataFrame) -> DataFrame:
 def key_filter(measurements: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose partition is listed in ``keys``.
 
-    Keys of a checked size are broadcast, so that only listed partitions are read.
+    The keys are written down first, so that their plan runs once. Keys of a checked size
+    are broadcast, so that only listed partitions are read. The condition on them holds
+    for every key; Spark prunes by the keys of a join only where these are filtered.
     """
-    listed = broadcast_if_small(keys.select(*S.PARTITION_KEY))
-    return measurements.join(listed, list(S.PARTITION_KEY), "left_semi")
+    listed = settle(keys.select(*S.PARTITION_KEY).distinct())
+    filtered = listed.where(F.length("measurement_type") >= 0)
+    return measurements.join(broadcast_if_small(filtered), list(S.PARTITION_KEY), "left_semi")
 
 
 def catalog_keys(partitions: DataFrame, selection: Selection) -> DataFrame:

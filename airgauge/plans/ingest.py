@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.functions.names import lookup
 from airgauge.operators.fingerprint import fingerprint, partition_summaries, row_text
-from airgauge.session import settle
+from airgauge.session import fresh_folder, settle
 from airgauge.sources import exports, store
 
 SOURCE = exports.SOURCE_PATH
@@ -33,11 +33,14 @@ def latest_snapshots(deliveries: DataFrame, key: Sequence[str] = S.PARTITION_KEY
 
 def snapshot_actions(incoming: DataFrame, current: DataFrame, force: bool = False) -> DataFrame:
     """Decide for each incoming snapshot: ADD, REPLACE or one of two SKIPs."""
+    renamed = {
+        "content_hash": "current_hash",
+        "exported_at": "current_exported_at",
+        "schema_version": "current_version",
+        "parquet_path": "current_path",
+    }
     known = current.select(
-        *S.PARTITION_KEY,
-        F.col("content_hash").alias("current_hash"),
-        F.col("exported_at").alias("current_exported_at"),
-        F.col("schema_version").alias("current_version"),
+        *S.PARTITION_KEY, *[F.col(old).alias(new) for old, new in renamed.items() if old in current.columns]
     )
     older = F.col("exported_at") < F.col("current_exported_at")
     unchanged = (
@@ -54,65 +57,53 @@ def snapshot_actions(incoming: DataFrame, current: DataFrame, force: bool = Fals
     return incoming.join(known, list(S.PARTITION_KEY), "left").withColumn("action", action)
 
 
-def file_summaries(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+def file_summaries(rows: DataFrame) -> DataFrame:
     """Summary, fingerprint and invalid rows of each partition in each file.
 
-    Each kind turns its rows into text over its own columns; the texts of all
-    kinds then go through one aggregation.
+    ``rows`` are canonical rows of all kinds; the text that is hashed holds the columns of
+    the row's own kind.
     """
-    keys = ["measurement_type", "database_name", "collection_name", SOURCE]
-    texts = store.union_kinds(
-        [
-            rows.select(
-                F.lit(kind).alias("measurement_type"),
-                *keys[1:],
-                "measured_at",
-                row_text(S.measurement_struct(kind).names).alias("text"),
-            )
-            for kind, rows in frames
-        ]
-    )
+    kind = F.col("measurement_type")
+    columns = {name: S.measurement_struct(name).names for name in S.KINDS}
+    text = F.coalesce(*[F.when(kind == name, row_text(own)) for name, own in columns.items()])
     lacking = F.count_if(
-        F.col("measured_at").isNull()
-        | F.col("database_name").isNull()
-        | F.col("collection_name").isNull()
-    )
-    summaries = partition_summaries(texts, keys, F.col("text"), lacking.alias("invalid"))
-    columns = lookup(
-        F.col("measurement_type"),
-        {kind: ",".join(S.measurement_struct(kind).names) for kind in S.KINDS},
-    )
-    return summaries.withColumn(
-        "content_hash", fingerprint(F.col("measurement_type"), columns)
+        F.col("measured_at").isNull() | F.col("database_name").isNull() | F.col("collection_name").isNull()
     )
+    keys = ["measurement_type", "database_name", "collection_name", SOURCE]
+    summaries = partition_summaries(rows, keys, text, lacking.alias("invalid"))
+    listed = lookup(kind, {name: ",".join(own) for name, own in columns.items()})
+    return summaries.withColumn("content_hash", fingerprint(kind, listed))
 
 
 def ingest(
-    spark: SparkSession, paths: Sequence[str], root: str, force: bool = False
+    spark: SparkSession, paths: Sequence[str], root: str, force: bool = False, set_aside: bool = False
 ) -> DataFrame:
     """Import export files or folders into the store at ``root``.
 
-    Returns the action taken for each partition. Files are checked before
-    anything is written. Data is written first, then the partition catalog, then
-    the list of processed files: a run that breaks off can simply be repeated.
+    Returns the action taken for each partition. All files are checked before anything is
+    written; one that cannot be imported is an error and stops the import, or, with
+    ``set_aside``, is listed in a table of its own (``store.set_aside_table``) while the
+    others go in. The new rows are written to folders that nothing reads yet. Then the
+    partition catalog names them, in one step, and then the processed files are listed: a
+    run that breaks off can simply be repeated. Each raw file is read twice, for its hash and for
+    its rows, which are written down once in canonical form.
     """
-    found = exports.discover(exports.list_files(spark, paths))
-    bad = [r.path for r in found.where(F.col("exported_at").isNull()).collect()]
-    if bad:
-        raise ValueError(
-            f"{', '.join(sorted(bad))}: export folder must be YYYYMMDD or YYYYMMDD-HHMM"
-        )
-    files = settle(found.join(exports.contents(spark, found), "path"))
+    described = settle(exports.described(spark, paths))
+    good = described.where(F.col("problem").isNull())
     if not force:
         processed = store.files_table(spark, root).read()
-        files = exports.newest_copies(exports.unprocessed(files, processed))
-    groups = exports.layouts(files)
-    if not groups:
-        return _actions(spark, None)
-
-    frames = [(g.kind, exports.read_canonical(spark, g)) for g in groups]
-    summaries = settle(file_summaries(frames))
-    _require_valid(summaries)
+        good = exports.newest_copies(exports.unprocessed(good, processed))
+    files = settle(good)
+
+    folder = fresh_folder(spark, "canonical")
+    canonical = exports.read_canonical(spark, files)
+    canonical.write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema(canonical.schema).parquet(folder)
+    summaries = settle(file_summaries(rows))
+    bad = settle(_problems(described, summaries))
+    if not set_aside:
+        _require_none(bad)
+    files = files.join(F.broadcast(bad.select("path")), "path", "left_anti")
 
     about = files.select(F.col("uri").alias(SOURCE), "path", "exported_at", "file_hash")
     deliveries = summaries.join(about, SOURCE)
@@ -120,32 +111,74 @@ def ingest(
     plan = settle(snapshot_actions(latest_snapshots(deliveries), current, force))
 
     changed = plan.where(F.col("action").isin("ADD", "REPLACE"))
+    run = "none"
     if not changed.isEmpty():
-        rows = store.union_kinds([store.widened(frame, kind, SOURCE) for kind, frame in frames])
-        wanted = changed.select(*S.PARTITION_KEY, SOURCE, "row_count")
-        store.write_snapshots(rows, measurements_root(root), wanted)
-    store.partitions_table(spark, root).upsert(_catalog_rows(plan))
-    store.files_table(spark, root).upsert(_file_rows(files))
-    return _actions(spark, plan)
-
-
-def measurements_root(root: str) -> str:
-    return f"{root}/measurements"
+        run = store.write_snapshots(rows, root, changed.select(*S.PARTITION_KEY, SOURCE, "row_count"))
+    if not plan.isEmpty():
+        store.partitions_table(spark, root).upsert(_catalog_rows(plan, run), newest="exported_at")
+    if not files.isEmpty():
+        store.files_table(spark, root).upsert(_file_rows(files))
+    if set_aside:
+        _list_set_aside(spark, root, described, bad)
+    return plan.select(*S.PARTITION_KEY, "action", "row_count", "exported_at")
 
 
-def _require_valid(summaries: DataFrame) -> None:
-    failed = (
-        summaries.groupBy(SOURCE).agg(F.sum("invalid").alias("invalid")).where("invalid > 0")
+def _problems(described: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Files (path, problem) that cannot be imported."""
+    invalid = summaries.groupBy(F.col(SOURCE).alias("uri")).agg(F.sum("invalid").alias("invalid")).where("invalid > 0")
+    incomplete = F.concat(F.col("invalid").cast("string"), F.lit(" rows without a time, database or collection"))
+    unreadable = described.where(F.col("problem").isNotNull()).select("path", "problem")
+    return unreadable.unionByName(described.join(invalid, "uri").select("path", incomplete.alias("problem")))
+
+
+def _require_none(bad: DataFrame, shown: int = 20) -> None:
+    first = bad.orderBy("path").limit(shown + 1).collect()
+    if first:
+        texts = [f"{r.path}: {r.problem}" for r in first[:shown]]
+        raise ValueError("; ".join(texts) + ("; and more" if len(first) > shown else ""))
+
+
+def _list_set_aside(spark: SparkSession, root: str, described: DataFrame, bad: DataFrame) -> None:
+    """Files of this import leave the table of files set aside, or enter it again."""
+    table = store.set_aside_table(spark, root)
+    if bad.isEmpty() and table.read().isEmpty():
+        return
+    rows = settle(
+        described.drop("problem")
+        .join(bad, "path")
+        .select(
+            "path", F.col("kind").alias("measurement_type"), "file_hash", "problem", "length", "modified_at",
+            F.current_timestamp().alias("processed_at"),
+        )
     )
-    texts = [
-        f"{r[SOURCE]}: {r['invalid']} rows lack time, database, or collection"
-        for r in failed.orderBy(SOURCE).collect()
-    ]
-    if texts:
-        raise ValueError("; ".join(texts))
+    table.change(lambda before: before.join(described.select("path"), "path", "left_anti").unionByName(rows))
 
 
-def _catalog_rows(plan: DataFrame) -> DataFrame:
+def retry_set_aside(spark: SparkSession, root: str) -> DataFrame | None:
+    """Import the files set aside that were changed since; None if there are none.
+
+    Files that are gone leave the table. The driver gets the paths of the files set aside.
+    """
+    table = store.set_aside_table(spark, root)
+    before = {r.path: (r.length, r.modified_at) for r in table.read().collect()}
+    folders = sorted({path.rsplit("/", 1)[0] for path in before})
+    there = [folder for folder in folders if store.exists(spark, folder)]
+    if not before:
+        return None
+    now = {}
+    if there:
+        listed = exports.list_files(spark, there).where(F.col("path").isin(*before))
+        now = {r.path: (r.length, r.modified_at) for r in listed.collect()}
+    gone = sorted(set(before) - set(now))
+    if gone:
+        table.change(lambda rows: rows.where(~F.col("path").isin(*gone)))
+    mended = [path for path, state in now.items() if state != before[path]]
+    return ingest(spark, mended, root, set_aside=True) if mended else None
+
+
+def _catalog_rows(plan: DataFrame, run: str) -> DataFrame:
+    """Catalog rows of a plan; a partition that did not change keeps its folder."""
+    path = F.when(F.col("action") == "SKIP unchanged", F.col("current_path")).otherwise(store.snapshot_path(run))
     return plan.where(F.col("action") != "SKIP older").select(
         *S.PARTITION_KEY,
         F.lit(S.SCHEMA_VERSION).alias("schema_version"),
@@ -156,7 +189,7 @@ def _catalog_rows(plan: DataFrame) -> DataFrame:
         "end_time",
         "content_hash",
         F.col("file_hash").alias("source_file_hash"),
-        F.concat(F.lit("measurements/"), store.partition_folder()).alias("parquet_path"),
+        path.alias("parquet_path"),
         F.current_timestamp().alias("processed_at"),
     )
 
@@ -175,13 +208,3 @@ def _file_rows(files: DataFrame) -> DataFrame:
         "export_date",
         F.current_timestamp().alias("processed_at"),
     )
-
-
-def _actions(spark: SparkSession, plan: DataFrame | None) -> DataFrame:
-    if plan is None:
-        return spark.createDataFrame(
-            [],
-            "database_name string, collection_name string, measurement_type string, "
-            "action string, row_count bigint, exported_at timestamp_ntz",
-        )
-    return plan.select(*S.PARTITION_KEY, "action", "row_count", "exported_at")

@@ -350,3 +350,15 @@ FILES_STRUCT = T.StructType(
         T.StructField("processed_at", T.TimestampType(), True),
     ]
 )
+
+SET_ASIDE_STRUCT = T.StructType(
+    [
+        T.StructField("path", T.StringType(), False),
+        T.StructField("measurement_type", T.StringType(), True),
+        T.StructField("file_hash", T.StringType(), True),
+        T.StructField("problem", T.StringType(), False),
+        T.StructField("length", T.LongType(), True),
+        T.StructField("modified_at", T.TimestampType(), True),
+        T.StructField("processed_at", T.TimestampType(), True),
+    ]
+)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import re
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from typing import TYPE_CHECKING
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,54 +13,32 @@ from airgauge import schema as S
 from airgauge.functions import names
 from airgauge.functions.casts import canonical_value, quoted
 from airgauge.operators.filters import keep_test_rows
-from airgauge.session import broadcast_if_small, ship_package
-
-if TYPE_CHECKING:
-    import pandas as pd
+from airgauge.session import broadcast_if_small, settle
+from airgauge.sources.paths import glob_safe, plain_path
 
 DELIMITERS = (",", ";", "\t", "|")
 SOURCE_PATH = "source_path"
 
-# Larger files are not loaded whole; Spark itself stops at 2 GB for one value.
-WHOLE_FILE_BYTES = 64 << 20
-
-_CONTENTS = "path string, file_hash string, header string, multi_line boolean"
+# A file's content is one value of a row while it is hashed, and Spark keeps about three
+# copies of it in a task. Larger files are reported, not read.
+MOST_BYTES = 512 << 20
 
 # A line, which line feeds and carriage returns end, with an odd number of quotes.
 _ODD_QUOTES = r'(?m)^[^"\r\n]*+"(?:[^"\r\n]*+"[^"\r\n]*+")*+[^"\r\n]*+$'
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Files that share kind, header line and quoting can be read together."""
-
-    kind: str
-    header: str
-    multi_line: bool
-    paths: tuple[str, ...]
-
-    def delimiter(self) -> str:
-        return max(DELIMITERS, key=self.header.count)
-
-    def headers(self) -> list[str]:
-        return next(csv.reader([self.header], delimiter=self.delimiter()))
-
-
-def glob_safe(path: str) -> str:
-    """Path with the characters escaped that a reader would take as a pattern."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+def _files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return reader.load([glob_safe(r) for r in roots])
 
 
 def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """All files below the roots; contents are not read.
+    """All files at or below the given paths; contents are not read.
 
     ``uri`` is the path in the form that the rows of a file carry.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(list(roots))
-        .select("path", "length", F.col("_metadata.file_path").alias("uri"))
+    return _files(spark, roots).select(
+        "path", "length", F.col("modificationTime").alias("modified_at"), F.col("_metadata.file_path").alias("uri")
     )
 
 
@@ -85,91 +59,191 @@ def discover(files: DataFrame) -> DataFrame:
     )
 
 
-def contents(spark: SparkSession, files: DataFrame, whole_limit: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """SHA-256, header line and quoting of each listed file (path, length).
+def archived_export(path: Column) -> Column:
+    """Whether a path is that of an archived export."""
+    return names.is_csv(path) & ~names.in_drop_folder(path) & names.kind_from_path(path).isNotNull()
 
-    Files up to ``whole_limit`` bytes are handled by built-in functions on their
-    content. Larger ones, which a row cannot hold, are read block by block.
+
+def contents(
+    spark: SparkSession,
+    roots: Sequence[str],
+    wanted: Callable[[Column], Column] | None = None,
+    most_bytes: int = MOST_BYTES,
+) -> DataFrame:
+    """SHA-256, header line and quoting of the files at or below ``roots``.
+
+    ``wanted`` is a condition on the path. It is applied to the listing, so other files are
+    not opened, nor are files of more than ``most_bytes``, which have no row.
     """
-    listed = files.select("path", "length")
-    sizes = {r.path: r.length for r in listed.collect()}
-    small = [p for p, n in sizes.items() if n <= whole_limit]
-    large = [p for p, n in sizes.items() if n > whole_limit]
-    parts = []
-    if small:
-        parts.append(_whole_contents(spark, small))
-    if large:
-        ship_package(spark)
-        paths = spark.createDataFrame([(p,) for p in large], "path string")
-        parts.append(paths.repartition(len(large)).mapInPandas(_block_contents, _CONTENTS))
-    if not parts:
-        return spark.createDataFrame([], _CONTENTS)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _whole_contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    files = _files(spark, roots)
+    if wanted is not None:
+        files = files.where(wanted(plain_path(F.col("_metadata.file_path"))))
     text = F.col("content").cast("string")
     first_line = F.regexp_replace(F.substring_index(text, "\n", 1), "^\ufeff|\r$", "")
-    return (
-        spark.read.format("binaryFile")
-        .load([glob_safe(p) for p in paths])
-        .select(
-            "path",
-            F.sha2("content", 256).alias("file_hash"),
-            first_line.alias("header"),
-            (F.contains(text, F.lit('"')) & text.rlike(_ODD_QUOTES)).alias("multi_line"),
-        )
+    return files.where(F.col("length") <= most_bytes).select(
+        "path",
+        "length",
+        F.col("modificationTime").alias("modified_at"),
+        F.col("_metadata.file_path").alias("uri"),
+        F.sha2("content", 256).alias("file_hash"),
+        first_line.alias("header"),
+        (F.contains(text, F.lit('"')) & text.rlike(_ODD_QUOTES)).alias("multi_line"),
     )
 
 
-def _block_contents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same facts about files of any size, one 8 MiB block in memory at a time.
+def described(spark: SparkSession, roots: Sequence[str], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """All archived exports at or below ``roots`` with what is needed to read them.
 
-    Only the header line is kept, however long it is.
+    ``problem`` tells why a file cannot be read; it is null for the others.
     """
-    import hashlib
-
-    import pandas as pd
-    from pyarrow import fs
-
-    for batch in batches:
-        for path in batch["path"]:
-            uri = re.sub(r"^file:/+", "file:///", path)
-            system, name = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
-            digest, head, tail, odd = hashlib.sha256(), b"", 0, False
-            with system.open_input_stream(name) as stream:
-                while block := stream.read(8 << 20):
-                    digest.update(block)
-                    if b"\n" not in head:
-                        head += block
-                    lines = block.replace(b"\r", b"\n").split(b"\n")
-                    quotes = [line.count(b'"') for line in lines]
-                    quotes[0] += tail
-                    odd = odd or any(n % 2 for n in quotes[:-1])
-                    tail = quotes[-1]
-            first = head.split(b"\n", 1)[0].decode("utf-8", "replace")
-            yield pd.DataFrame(
-                {
-                    "path": [path],
-                    "file_hash": [digest.hexdigest()],
-                    "header": [re.sub("^\ufeff|\r$", "", first)],
-                    "multi_line": [odd or tail % 2 == 1],
-                }
+    found = discover(list_files(spark, roots))
+    read = contents(spark, roots, archived_export, most_bytes)
+    files = with_layout(found.join(read.select("path", "file_hash", "header", "multi_line"), "path", "left"))
+    problem = (
+        F.when(F.col("exported_at").isNull(), F.lit("its folder is named neither YYYYMMDD nor YYYYMMDD-HHMM"))
+        .when(F.col("file_hash").isNull(), F.lit(f"larger than {most_bytes} bytes"))
+        .when(F.trim("header") == "", F.lit("no header line"))
+        .when(F.size("unmet") > 0, F.concat(F.lit("no header for "), F.array_join("unmet", ", ")))
+    )
+    return files.withColumn("problem", problem)
+
+
+_STORED = {column.name: column for columns in S.COLUMNS.values() for column in columns}
+_TESTS = max(map(len, S.ROW_FILTERS.values()))
+
+
+def _kinds(spark: SparkSession) -> DataFrame:
+    """What each kind takes from an export: for every stored column the header tokens it accepts
+    or its fixed value, and for the row filter the tokens with the texts that pass."""
+    rows = []
+    for kind, (category, technology) in S.KINDS.items():
+        sources = {c.name: c.source(technology) for c in S.COLUMNS[category]}
+        accepted = [sources[n].names if isinstance(sources.get(n), S.Headers) else () for n in _STORED]
+        fixed = [sources[n].value if isinstance(sources.get(n), S.Constant) else None for n in _STORED]
+        tests = S.ROW_FILTERS.get(category, ())
+        rows.append(
+            (
+                kind,
+                [[names.header_token(x) for x in given] for given in accepted],
+                [f"{n} ({' or '.join(given)})" for n, given in zip(_STORED, accepted)],
+                [None if x is None else str(x) for x in fixed],
+                [names.header_token(name) for name, _ in tests],
+                [[text.lower() for text in texts] for _, texts in tests],
             )
+        )
+    struct = (
+        "kind string, accepted array<array<string>>, wording array<string>, fixed array<string>, "
+        "tests array<string>, passing array<array<string>>"
+    )
+    return spark.createDataFrame(rows, struct)
+
+
+def with_tokens(files: DataFrame) -> DataFrame:
+    """``files`` (header) with the ``delimiter``, the header's ``tokens`` and their number, ``width``."""
+
+    def count(delimiter: str) -> Column:
+        return F.length("header") - F.length(F.replace(F.col("header"), F.lit(delimiter), F.lit("")))
+
+    most = F.greatest(*[count(d) for d in DELIMITERS])
+    delimiter = F.coalesce(*[F.when(count(d) == most, F.lit(d)) for d in DELIMITERS])
+    cells = F.coalesce(
+        *[
+            # A delimiter that an even number of quotes follows is outside of them.
+            F.when(F.col("delimiter") == d, F.split("header", rf'[{d}](?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'))
+            for d in DELIMITERS
+        ]
+    )
+    found = files.withColumn("delimiter", delimiter).withColumn("tokens", F.transform(cells, names.text_token))
+    return found.withColumn("width", F.size("tokens"))
+
+
+def _place(token: Column) -> Column:
+    """Cell of the first header with this token, null if there is none."""
+    return (F.nullif(F.array_position("tokens", token), F.lit(0).cast("bigint")) - 1).cast("int")
+
+
+def with_layout(files: DataFrame) -> DataFrame:
+    """``files`` (kind, header) with the layout of each, as data.
+
+    Added are the ``delimiter``, the number of cells (``width``), the cell of every stored
+    column (``places``; null for one with a fixed value or none), the ``fixed`` values, the
+    cells of the row filter (``test_places``) with the texts that pass, and what no header
+    stands for (``unmet``). Of headers with equal tokens the first counts, of accepted
+    headers the one named first.
+    """
 
+    def first(tokens: Column) -> Column:
+        return F.get(F.filter(F.transform(tokens, _place), lambda p: p.isNotNull()), F.lit(0))
 
-def layouts(files: DataFrame) -> list[Layout]:
-    """Group files (path, kind, header, multi_line) by how they must be read.
+    kinds = F.broadcast(_kinds(files.sparkSession))  # one row for each kind
+    placed = (
+        with_tokens(files)
+        .join(kinds, "kind")
+        .withColumns(
+            {"places": F.transform("accepted", first), "test_places": F.transform("tests", _place)}
+        )
+    )
+    lacking = F.filter(
+        F.arrays_zip("wording", "accepted", "places"),
+        lambda x: (F.size(x["accepted"]) > 0) & x["places"].isNull(),
+    )
+    untested = F.filter(F.arrays_zip("tests", "test_places"), lambda x: x["test_places"].isNull())
+    unmet = F.concat(
+        F.transform(lacking, lambda x: x["wording"]),
+        F.transform(untested, lambda x: F.concat(F.lit("row filter ("), x["tests"], F.lit(")"))),
+    )
+    return placed.withColumn("unmet", unmet).drop("tokens", "accepted", "wording", "tests")
+
+
+_LAYOUT = ("kind", "places", "fixed", "test_places", "passing")
+
+
+def read_cells(
+    spark: SparkSession, paths: Sequence[str], width: int, delimiter: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """Rows of files of any headers, all values as one array of texts.
+
+    ``source_path`` tells the file of a row and ``block`` where in it the row was read.
+    """
+    rows = read_strings(spark, paths, [""] * width, delimiter, multi_line)
+    cells = F.array(*[f"_c{i}" for i in range(width)]).alias("cells")
+    return rows.select(SOURCE_PATH, F.col("_metadata.file_block_start").alias("block"), cells)
+
+
+def _all_cells(spark: SparkSession, files: DataFrame) -> DataFrame | None:
+    """Rows of all ``files`` (path, delimiter, multi_line, width), read in one form for each
+    delimiter and quoting, however many headers there are."""
+    forms = files.groupBy("delimiter", "multi_line").agg(
+        F.max("width").alias("width"), F.sort_array(F.collect_list("path")).alias("paths")
+    )
+    rows = None
+    for form in sorted(forms.collect(), key=lambda r: (r.delimiter, r.multi_line)):
+        cells = read_cells(spark, form.paths, form.width, form.delimiter, form.multi_line)
+        rows = cells if rows is None else rows.unionByName(cells)
+    return rows
 
-    The driver gets paths and header lines, which it needs to plan the reads.
+
+def read_canonical(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Canonical rows of described files that have no problem, of all kinds together.
+
+    Columns are those of the store and ``source_path``. The plan is the same for any
+    number of files and headers: a file's layout is a row that is joined to its cells.
     """
-    grouped = files.groupBy("kind", "header", "multi_line").agg(
-        F.sort_array(F.collect_list("path")).alias("paths")
+    cells = _all_cells(spark, files)
+    if cells is None:
+        return spark.createDataFrame([], T.StructType([*S.store_struct().fields, T.StructField(SOURCE_PATH, T.StringType())]))
+    layouts = files.select(F.col("uri").alias(SOURCE_PATH), *_LAYOUT)
+    rows = cells.join(broadcast_if_small(layouts), SOURCE_PATH)
+    for i in range(_TESTS):
+        rows = rows.where(
+            f"get(test_places, {i}) IS NULL OR array_contains(get(passing, {i}), lower(trim(get(cells, get(test_places, {i})))))"
+        )
+    texts = [f"if(places[{i}] IS NULL, fixed[{i}], get(cells, places[{i}])) AS {n}" for i, n in enumerate(_STORED)]
+    values = {n: f"{canonical_value(n, column)} AS {n}" for n, column in _STORED.items()}
+    values["measurement_type"] = "kind AS measurement_type"
+    return rows.selectExpr(SOURCE_PATH, "kind", *texts).selectExpr(
+        *[values[n] for n in S.store_struct().names], SOURCE_PATH
     )
-    return [
-        Layout(r.kind, r.header, r.multi_line, tuple(r.paths))
-        for r in sorted(grouped.collect(), key=lambda r: (r.kind, r.header, r.multi_line))
-    ]
 
 
 def read_strings(
@@ -201,11 +275,6 @@ def read_strings(
     return rows.withColumn(SOURCE_PATH, F.col("_metadata.file_path"))
 
 
-def plain_path(encoded: Column) -> Column:
-    """Path of a file as listed, from the URL-encoded form of reader metadata."""
-    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
-
-
 def resolve(headers: Sequence[str]) -> dict[str, int]:
     """Place of each header by its token; the first of equal tokens counts."""
     places: dict[str, int] = {}
@@ -277,17 +346,6 @@ def canonicalize(
     return Projection.plan(kind, sources).apply(rows, carry)
 
 
-def read_canonical(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Canonical rows of the files of a layout, with ``source_path``."""
-    headers = layout.headers()
-    sources = {token: f"_c{place}" for token, place in resolve(headers).items()}
-    projection = Projection.plan(layout.kind, sources)
-    if projection.unmet:
-        raise ValueError(f"{', '.join(layout.paths)}: {layout.kind} lacks {', '.join(projection.unmet)}")
-    rows = read_strings(spark, layout.paths, headers, layout.delimiter(), layout.multi_line)
-    return projection.apply(rows, carry=[SOURCE_PATH])
-
-
 def invalid_rows(rows: DataFrame, by: Sequence[str] = (SOURCE_PATH,)) -> DataFrame:
     """Number of rows of each file that lack time, database or collection."""
     lacking = (
@@ -304,31 +362,24 @@ def first_values(rows: DataFrame, value: str, group: str, order: Sequence[str])
     return filled.groupBy(group).agg(F.min_by("_v", F.struct(*order)).alias("value"))
 
 
-def first_databases(
-    spark: SparkSession,
-    paths: Sequence[str],
-    headers: Sequence[str],
-    delimiter: str = ",",
-    multi_line: bool = False,
-) -> DataFrame:
-    """First non-blank Database value of each file, by place in the file; null if it has none.
+def first_databases(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """First non-blank Database value of each file (path, uri, header, multi_line), by its place in the file.
 
-    A file is read in blocks (in one, if values hold line ends); rows are ordered by
-    block and, inside a block, in the order they are read.
+    ``value`` is null for a file that has none and ``has_column`` false for one without
+    that column. A file is read in blocks (in one, if values hold line ends); rows are
+    ordered by block and, inside a block, in the order they are read.
     """
-    place = resolve(headers).get("database")
-    if place is None:
-        raise ValueError(f"no Database header in {', '.join(paths)}")
-    rows = read_strings(spark, paths, headers, delimiter, multi_line).select(
-        SOURCE_PATH,
-        f"_c{place}",
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    found = first_values(rows, f"_c{place}", SOURCE_PATH, ["block", "line"])
-    read = list_files(spark, [glob_safe(p) for p in paths]).select(F.col("uri").alias(SOURCE_PATH))
-    every = read.join(found, SOURCE_PATH, "left")
-    return every.withColumn(SOURCE_PATH, plain_path(F.col(SOURCE_PATH)))
+    headed = settle(with_tokens(files).withColumn("place", _place(F.lit("database"))))
+    every = headed.select("path", "uri", F.col("place").isNotNull().alias("has_column"))
+    usable = headed.where(F.col("place").isNotNull())
+    cells = _all_cells(spark, usable)
+    if cells is None:
+        return every.withColumn("value", F.lit(None).cast("string"))
+    places = broadcast_if_small(usable.select(F.col("uri").alias(SOURCE_PATH), "place"))
+    rows = cells.withColumn("line", F.monotonically_increasing_id()).join(places, SOURCE_PATH)
+    values = rows.withColumn("value", F.expr("get(cells, place)"))
+    found = first_values(values, "value", SOURCE_PATH, ["block", "line"])
+    return every.join(found.withColumnRenamed(SOURCE_PATH, "uri"), "uri", "left")
 
 
 def staging_plan(incoming: DataFrame, archived: DataFrame, force: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from airgauge.plans.ingest import ingest
+from airgauge.plans.ingest import ingest, retry_set_aside
 
 
 def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -30,13 +30,16 @@ def follow(
     The checkpoint remembers files that were handed on; an import that is
     repeated after a failure finds its files processed or writes the same
     snapshots again. An export that arrives late loses to a newer one already
-    stored, so no watermark is needed.
+    stored, so no watermark is needed. A file that cannot be imported is set aside
+    with the reason (``store.set_aside_table``) and holds up no other; once it was
+    changed, the next run takes it again.
     """
+    retry_set_aside(spark, root)
 
     def import_batch(batch: DataFrame, _: int) -> None:
         paths = [row.path for row in batch.collect()]  # at most files_per_batch
         if paths:
-            ingest(spark, paths, root)
+            ingest(spark, paths, root, set_aside=True)
 
     return (
         arriving_files(spark, folder, files_per_batch)

@@ -24,7 +24,7 @@ def plan(df):
 def snapshots(spark, cache={}):
     if "root" not in cache:
         cache["root"] = fresh_folder(spark, "plans")
-        store.write_snapshots(all_kinds(spark, FOLDER), cache["root"])
+        store.replace_partitions(all_kinds(spark, FOLDER), cache["root"], "2026-06-10")
     return store.read_snapshots(spark, cache["root"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airgauge import schema as S
@@ -9,9 +10,11 @@ from airgauge.functions import names
 from airgauge.operators import catalog, fingerprint
 from airgauge.operators.filters import Selection
 from airgauge.plans import ingest
-from airgauge.session import fresh_folder
+from airgauge.plans.staging import staging
+from airgauge.session import fresh_folder, settle
 from airgauge.sources import exports, store
 from workloads.fixtures import partitions, view
+from workloads.ingested import move
 from workloads.registry import query
 from workloads.summaries import COLLECTIONS, by_key, count_by_key
 
@@ -129,22 +132,24 @@ def catalog_semi_join(spark, folder):
     return count_by_key(catalog.key_filter(view(spark, folder, "m"), keys))
 
 
+PREFIXES = ("RUN ", "rün ", "Run ", "zébra ", "Äpfel", "apfel", "Zebra ")
+PREFIX_SQL = "CASE pci % 7 " + " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(PREFIXES)) + " END"
+
+
 @query(
     "natural_sort",
-    """SELECT model, name, CAST(row_number() OVER (PARTITION BY model ORDER BY pci) AS INTEGER) AS place
-  FROM (SELECT DISTINCT model, pci, concat(CASE WHEN pci % 3 = 0 THEN 'RUN ' ELSE 'run ' END, pci, 'b') AS name FROM m)""",
+    f"""SELECT model, name, CAST(row_number() OVER (PARTITION BY model ORDER BY strip_accents(lower(prefix)), pci) AS INTEGER) AS place
+  FROM (SELECT DISTINCT model, pci, {PREFIX_SQL} AS prefix, concat({PREFIX_SQL}, pci, 'b') AS name FROM m)""",
 )
 def natural_sort(spark, folder):
-    from pyspark.sql import Window
-
-    run = F.when(F.col("pci") % 3 == 0, "RUN ").otherwise("run ")
+    """Names of either case and with accents, ordered by their letters and numbers."""
     found = (
         view(spark, folder, "m")
-        .select("model", F.concat(run, F.col("pci").cast("string"), F.lit("b")).alias("name"))
+        .select("model", F.concat(F.expr(PREFIX_SQL), F.col("pci").cast("string"), F.lit("b")).alias("name"))
         .distinct()
     )
     keyed = catalog.natural_order(found, "name")
-    place = F.row_number().over(Window.partitionBy("model").orderBy("sort_key"))
+    place = F.row_number().over(Window.partitionBy("model").orderBy("sort_key", "name"))
     return keyed.select("model", "name", place.alias("place"))
 
 
@@ -314,15 +319,84 @@ def file_alias(spark, folder):
     )
 
 
+def text_files(spark, lines, heads, label):
+    """Lines (home, place, line) as one text file for each home, headed by ``heads`` (home, line)."""
+    target = fresh_folder(spark, label)
+    every = lines.unionByName(heads.select("home", F.lit(-1).cast("bigint").alias("place"), "line"))
+    ordered = every.repartition(8, "home").sortWithinPartitions("home", "place")
+    ordered.select("home", "line").write.partitionBy("home").text(target)
+    return target
+
+
 @query(
     "first_database",
-    """SELECT time_text AS source_path, arg_min(trim(collection_text), event_id) AS value FROM raw
-  WHERE trim(collection_text) <> '' GROUP BY time_text""",
+    """SELECT concat('t', regexp_replace(time_text, '[^0-9]', '', 'g')) AS home,
+  arg_min(trim(collection_text), event_id) FILTER (WHERE trim(collection_text) <> '') AS value FROM raw GROUP BY time_text""",
     views=("raw",),
 )
 def first_database(spark, folder):
-    rows = view(spark, folder, "raw").withColumnRenamed("time_text", "source_path")
-    return exports.first_values(rows, "collection_text", "source_path", ["event_id"])
+    """Export files of each time, opened to find the first value of their Database column."""
+    home = F.concat(F.lit("t"), F.regexp_replace("time_text", "[^0-9]", "")).alias("home")
+    rows = view(spark, folder, "raw")
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.coalesce("collection_text", F.lit("")), "time_text")
+    heads = rows.select(home).distinct().withColumn("line", F.lit("Event,data BASE,Time"))
+    target = text_files(spark, rows.select(home, F.col("event_id").alias("place"), line.alias("line")), heads, "dropped")
+    files = exports.contents(spark, [target])
+    found = exports.first_databases(spark, files)
+    return found.select(F.regexp_extract("path", "home=([^/]+)/", 1).alias("home"), "value")
+
+
+# Vendor names of dropped files, by kind; the last is no known name.
+DROPPED = {
+    "lte_radio": "LTE Radio Connected", "lte_radio_neighbor": "LTE Radio Neig", "lte_pdsch": "LTE PDSCH [per carrier]",
+    "lte_pusch": "lte_pusch", "nr_radio": "nr_radio", "nr_radio_neighbor": "NR Radio Beam", "nr_pdsch": "NR PDSCH (Per-Carrier)",
+    "nr_pusch": "notes",
+}
+STAGED_SQL = """SELECT measurement_type AS kind, arg_min(nullif(trim(base), ''), event_id) FILTER (WHERE trim(base) <> '') AS base,
+    sha256(concat('Event,Database', chr(10), string_agg(concat(event_id, ',', base, chr(10)), '' ORDER BY event_id))) AS file_hash
+  FROM (SELECT *, CASE WHEN measurement_type = 'nr_radio' THEN ' ' WHEN event_id % 3 = 0 THEN '' ELSE concat(' ', database_name) END AS base FROM m)
+  GROUP BY measurement_type"""
+
+
+@query(
+    "staging_files",
+    f"""SELECT kind, CASE WHEN kind = 'nr_pusch' OR base IS NULL THEN NULL ELSE concat(base, '/20260612/',
+    replace(kind, 'neighbor', 'neig'), '.csv') END AS target, file_hash,
+  CASE WHEN kind = 'nr_pusch' THEN 'unknown file name' WHEN base IS NULL THEN 'no Database value' END AS problem,
+  CASE WHEN kind = 'nr_pusch' OR base IS NULL THEN 'ERROR' WHEN kind = 'lte_radio' THEN 'SKIP'
+    WHEN kind = 'lte_pdsch' THEN 'CONFLICT' ELSE 'STAGE' END AS action FROM ({STAGED_SQL})""",
+)
+def staging_files(spark, folder):
+    """A drop folder of one file a kind against an archive that has two of them, one changed."""
+    base = F.expr(
+        "CASE WHEN measurement_type = 'nr_radio' THEN ' ' WHEN event_id % 3 = 0 THEN '' ELSE concat(' ', database_name) END"
+    )
+    rows = view(spark, folder, "m").select(
+        F.col("measurement_type").alias("home"), F.col("event_id").alias("place"),
+        F.concat_ws(",", F.col("event_id").cast("string"), base).alias("line"),
+    )
+    heads = rows.select("home").distinct().withColumn("line", F.lit("Event,Database"))
+    drop, archive = fresh_folder(spark, "drop"), fresh_folder(spark, "archived")
+    for copy, kinds in ((archive, ("lte_radio", "lte_pdsch")), (drop, tuple(DROPPED))):
+        held = rows.where(F.col("home").isin(*kinds))
+        if copy == archive:
+            held = held.withColumn("line", F.when(F.col("home") == "lte_pdsch", F.reverse("line")).otherwise(F.col("line")))
+            # The database of a file is that of its first row that has one.
+            first = view(spark, folder, "m").where("event_id % 3 <> 0").groupBy("measurement_type").agg(
+                F.min_by("database_name", "event_id").alias("base")
+            )
+            bases = {r.measurement_type: r.base for r in first.collect()}
+        staged = text_files(spark, held, heads.where(F.col("home").isin(*kinds)), "files")
+        for row in exports.list_files(spark, [staged]).collect():
+            kind = row.path.split("home=")[1].split("/")[0]
+            if copy == archive:
+                move(spark, row.path, f"{archive}/{bases[kind]}/20260612", f"{kind}.csv")
+            else:
+                move(spark, row.path, drop, f"{DROPPED[kind]}.csv")
+    names_ = {f"{name}.csv": kind for kind, name in DROPPED.items()}
+    found = staging(spark, drop, archive, "20260612")
+    kind = names.lookup(names.file_name(F.col("path")), names_)
+    return found.select(kind.alias("kind"), "target", "file_hash", "problem", "action")
 
 
 @query(
@@ -471,6 +545,45 @@ def processed_upsert(spark, folder):
     return table.read().select("file_hash", "measurement_type", "source_path")
 
 
+@query(
+    "catalog_race",
+    f"""SELECT file_hash, measurement_type, CASE WHEN file_hash < 'a' THEN min(path) ELSE max(path) END AS source_path
+  FROM ({KEYED_SQL}) GROUP BY file_hash, measurement_type""",
+    views=("exports",),
+)
+def catalog_race(spark, folder):
+    """A second writer adds its version while the first one still works on its own: both stay,
+    and where they write the same key the one that ends last counts."""
+    root = fresh_folder(spark, "race")
+    best = settle(
+        deliveries(spark, folder)
+        .groupBy("file_hash", "measurement_type")
+        .agg(F.min("path").alias("lowest"), F.max("path").alias("highest"))
+    )
+
+    def rows(column, where):
+        return best.where(where).select(
+            "file_hash",
+            "measurement_type",
+            F.lit(S.SCHEMA_VERSION).alias("schema_version"),
+            F.col(column).alias("source_path"),
+            F.lit("2026-06-10").cast("date").alias("export_date"),
+            F.current_timestamp().alias("processed_at"),
+        )
+
+    slow, fast = store.files_table(spark, root), store.files_table(spark, root)
+    begun = []
+
+    def update(current):
+        if not begun:
+            begun.append(True)
+            fast.upsert(rows("highest", "file_hash >= '5'"))
+        return store.upserted(current, rows("lowest", "file_hash < 'a'"), slow.key)
+
+    slow.change(update)
+    return slow.read().select("file_hash", "measurement_type", "source_path")
+
+
 @query(
     "catalog_migrate",
     """SELECT database_name, collection_name, measurement_type, CAST(1 AS INTEGER) AS schema_version, export_date,

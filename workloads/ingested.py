@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from airgauge import schema as S
 from airgauge.functions import casts
 from airgauge.functions.names import lookup
-from airgauge.operators.filters import keep_test_rows
+from airgauge.operators.filters import Selection, keep_test_rows
 from airgauge.plans import ingest
-from airgauge.session import fresh_folder
+from airgauge.session import fresh_folder, settle
 from airgauge.sources import exports, store
 from airgauge.streaming.arrivals import follow
 from workloads.fixtures import view
@@ -151,7 +153,7 @@ def file_hash(spark, folder):
     )
     files = rows.repartition("day").sortWithinPartitions("day", "event_id")
     files.select("day", "line").write.partitionBy("day").text(target)
-    hashed = exports.contents(spark, exports.list_files(spark, [target]))
+    hashed = exports.contents(spark, [target])
     return hashed.select(
         F.regexp_extract("path", "day=([0-9]+)", 1).alias("day"),
         "file_hash",
@@ -197,10 +199,22 @@ def all_kinds(spark, folder):
 @query("snapshot_write", f"SELECT {', '.join(STORED)} FROM m")
 def snapshot_write(spark, folder):
     root = fresh_folder(spark, "snapshots")
-    store.write_snapshots(all_kinds(spark, folder), root)
+    store.replace_partitions(all_kinds(spark, folder), root, "2026-06-10")
     return store.read_snapshots(spark, root).select(*STORED)
 
 
+@query("snapshot_crash", f"SELECT {', '.join(STORED)}, CAST(1 AS BIGINT) AS removed FROM m")
+def snapshot_crash(spark, folder):
+    """A second write breaks off before the catalog names it: the first one's rows stay, and a
+    sweep removes the folder that was left."""
+    root = fresh_folder(spark, "broken")
+    rows = all_kinds(spark, folder)
+    store.replace_partitions(rows, root, "2026-06-10")
+    store.write_snapshots(rows.withColumn("rsrp_dbm", -F.col("rsrp_dbm")), root)
+    removed = store.sweep(spark, root, older_than=-60)
+    return store.read_snapshots(spark, root).select(*STORED).withColumn("removed", F.lit(len(removed)).cast("bigint"))
+
+
 @query(
     "snapshot_merge",
     f"""SELECT {', '.join(STORED)} FROM m WHERE technology = 'LTE' OR database_name = 'db_b'
@@ -213,12 +227,52 @@ def snapshot_merge(spark, folder):
     """A second write replaces the partitions it holds and leaves the others."""
     root = fresh_folder(spark, "merged")
     rows = all_kinds(spark, folder)
-    store.write_snapshots(rows, root)
+    store.replace_partitions(rows, root, "2026-06-10")
     newer = rows.where("technology = 'NR' AND database_name = 'db_a' AND operator_name = 'op_1'")
-    store.write_snapshots(newer.withColumn("rsrp_dbm", -F.col("rsrp_dbm")), root)
+    store.replace_partitions(newer.withColumn("rsrp_dbm", -F.col("rsrp_dbm")), root, "2026-06-11")
     return store.read_snapshots(spark, root).select(*STORED)
 
 
+@query(
+    "read_selection",
+    """SELECT 'found' AS outcome, collection_name, measurement_type, count(*) AS n FROM m
+  WHERE database_name = 'db_a' AND collection_name IN ('col_0', 'col_1', 'col_2', 'col_3', 'col_4') AND category = 'pdsch'
+  GROUP BY collection_name, measurement_type
+  UNION ALL SELECT 'empty', NULL, NULL, 0
+  UNION ALL SELECT 'lost', collection_name, measurement_type, 0 FROM m WHERE database_name = 'db_b'
+    AND category = 'pdsch' AND collection_name = (SELECT min(collection_name) FROM m WHERE database_name = 'db_b')
+    GROUP BY collection_name, measurement_type""",
+)
+def read_selection(spark, folder):
+    """Reading by the catalog: what it names, nothing, and folders that are gone."""
+    root = fresh_folder(spark, "selected")
+    rows = all_kinds(spark, folder)
+    store.replace_partitions(rows, root, "2026-06-10")
+
+    def of(database, collections):
+        return Selection.of({"database": database, "collections": collections, "measurement": "pdsch"})
+
+    keys = ["collection_name", "measurement_type"]
+    found = store.read_selection(spark, root, of("db_a", [f"col_{i}" for i in range(5)]))
+    found = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(F.lit("found").alias("outcome"), *keys, "n")
+    nothing = store.read_selection(spark, root, of("nowhere", ["col_0"]))
+    empty = nothing.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("empty").alias("outcome"), *[F.lit(None).cast("string").alias(k) for k in keys], "n"
+    )
+    first = rows.where("database_name = 'db_b'").agg(F.min("collection_name")).first()[0]
+    catalog = store.partitions_table(spark, root).read()
+    for row in catalog.where(of("db_b", [first]).scope()).select("parquet_path").collect():
+        store.remove(spark, f"{root}/{row.parquet_path}")
+    try:
+        store.read_selection(spark, root, of("db_b", [first]))
+        lost = []
+    except FileNotFoundError as error:
+        kinds = re.findall(r"measurement_type=(\w+)", str(error))
+        lost = [("lost", first, kind, 0) for kind in kinds]
+    gone = spark.createDataFrame(lost, "outcome string, collection_name string, measurement_type string, n bigint")
+    return found.unionByName(empty).unionByName(gone)
+
+
 def csv_line(texts) -> str:
     """A CSV line. No text in M has a comma, a quote or a line end."""
     return f"concat_ws(',', {', '.join(f"coalesce({t}, '')" for t in texts)})"
@@ -248,16 +302,18 @@ def write_exports(spark, rows, folder: str, export: str, kinds) -> None:
 
 def _give_names(spark, staged: str, folder: str, export: str) -> None:
     """Each written file gets the name and folder the archive uses."""
-    jvm = spark._jvm
-    files = jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     for row in exports.list_files(spark, [staged]).collect():
         parts = dict(p.split("=", 1) for p in row.path.split("/") if "=" in p)
-        target = f"{folder}/{parts['home']}/{export}"
-        files.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
-        files.rename(
-            jvm.org.apache.hadoop.fs.Path(row.path),
-            jvm.org.apache.hadoop.fs.Path(f"{target}/{parts['stem']}.csv"),
-        )
+        move(spark, row.path, f"{folder}/{parts['home']}/{export}", f"{parts['stem']}.csv")
+
+
+def move(spark, path: str, folder: str, name: str) -> None:
+    """Give a file another folder and name."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.rename(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
 
 
 LTE_KINDS = [k for k in S.KINDS if k.startswith("lte_")]
@@ -299,7 +355,7 @@ def two_exports(spark, folder):
 
 
 def imported(spark, root):
-    return store.read_snapshots(spark, ingest.measurements_root(root)).select(
+    return store.read_snapshots(spark, root).select(
         "measurement_type", "database_name", "collection_name", "measured_at", "pci",
         "band_number", "model", "throughput_mbps", "rsrp_dbm",
     )
@@ -344,3 +400,65 @@ def ingest_catalog(spark, folder):
     return store.partitions_table(spark, root).read().select(
         *S.PARTITION_KEY, "row_count", "start_time", "end_time", "exported_at"
     )
+
+
+# Collections whose LTE radio export lacks a column, and whose LTE PUSCH export has no times.
+BAD_SQL = "measurement_type = 'lte_radio' AND collection_name = 'col_1'"
+INCOMPLETE_SQL = "measurement_type = 'lte_pusch' AND collection_name = 'col_2'"
+
+
+@query(
+    "stream_errors",
+    f"""WITH imported AS ({IMPORTED_SQL.replace(NEWER_SQL, "TIMESTAMP '1900-01-01'")})
+  SELECT 'imported' AS outcome, measurement_type, count(*) AS n, CAST(NULL AS VARCHAR) AS problem FROM imported
+    WHERE NOT ({BAD_SQL}) AND NOT ({INCOMPLETE_SQL}) GROUP BY measurement_type
+  UNION ALL SELECT 'set aside', measurement_type, 1, CASE WHEN measurement_type = 'lte_radio'
+    THEN concat('no header for rsrp_dbm (rsrp), in ', database_name) ELSE
+    concat(count(*), ' rows without a time, database or collection, in ', database_name) END
+    FROM imported WHERE {BAD_SQL} OR {INCOMPLETE_SQL} GROUP BY measurement_type, database_name
+  UNION ALL SELECT 'mended', measurement_type, count(*), NULL FROM imported GROUP BY measurement_type""".replace(
+        "WITH imported AS", ", imported AS", 1
+    ),
+)
+def stream_errors(spark, folder):
+    """Bad files are set aside while the others go in, and are taken once they are mended."""
+    archive, root, checkpoint = (fresh_folder(spark, x) for x in ("archive", "store", "stream"))
+    rows = view(spark, folder, "m")
+    write_exports(spark, rows, archive, "20260610", S.KINDS)
+    rows_of = {"lte_radio": BAD_SQL, "lte_pusch": INCOMPLETE_SQL}
+    good = {}
+    for kind, where in rows_of.items():
+        for home in rows.where(where).select(F.concat_ws("-", "database_name", "collection_name")).distinct().collect():
+            path = f"{archive}/{home[0]}/20260610/{kind}.csv"
+            text = spark.read.text(path, wholetext=True).first()[0]
+            good[path] = text
+            broken = text.replace("Rsrp", "Other", 1) if kind == "lte_radio" else re.sub(r"\n[^,\n]+,", r"\n,", text)
+            put_text(spark, path, broken)
+
+    def counted(outcome):
+        found = imported(spark, root).groupBy("measurement_type").agg(F.count(F.lit(1)).alias("n"))
+        return found.select(F.lit(outcome).alias("outcome"), "measurement_type", "n", F.lit(None).cast("string").alias("problem"))
+
+    follow(spark, archive, root, checkpoint).awaitTermination()
+    first = settle(counted("imported"))
+    database = F.regexp_extract("path", r"/(db_\w)-[^/]*/\d+/[^/]*$", 1)
+    aside = settle(
+        store.set_aside_table(spark, root).read().select(
+            F.lit("set aside").alias("outcome"), "measurement_type", F.lit(1).cast("bigint").alias("n"),
+            F.concat("problem", F.lit(", in "), database).alias("problem"),
+        )
+    )
+    for path, text in good.items():
+        put_text(spark, path, text)
+    follow(spark, archive, root, checkpoint).awaitTermination()
+    return first.unionByName(aside).unionByName(counted("mended"))
+
+
+def put_text(spark, path: str, text: str) -> None:
+    """Replace a file by another of the same name."""
+    staged = fresh_folder(spark, "text")
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.text(staged)
+    (part,) = [r.path for r in exports.list_files(spark, [staged]).collect()]
+    store.remove(spark, path)
+    folder, name = path.rsplit("/", 1)
+    move(spark, part, folder, name)
