@@ -38,54 +38,74 @@ def thin_by_time(
 ) -> DataFrame:
     """Every k-th row in time order, k the smallest that leaves ``limit`` rows.
 
-    Rows at the same time are ordered by ``ties`` (all other columns by default).
-
-    Only counts are ordered globally. First rows are counted for each time, and
-    running totals tell which times hold a wanted rank: at most ``limit`` times,
-    so these are broadcast and the rows at them fetched by a second, filtered
-    read. Rows of such a time are then ranked among themselves. When these are
-    many, copies of one row share a count and the order is sliced again, so a time
-    or a row that makes up most of the data still spreads over tasks.
+    Rows at the same time are ordered by ``ties`` (all other columns by default), then by
+    the columns that are left.
+
+    Only counts are ordered, and one column at a time. Rows are counted for each time, and
+    running totals tell which times hold a wanted rank: at most ``limit``. If the rows at
+    these are too many for one task, they are counted by the next column of the order as
+    well, and so on, until what is left at the wanted keys is wanted whole, is few, or are
+    copies of one row. Whole rows are read at the end, for the wanted keys only. So a time
+    that holds most rows is spread over tasks like any other.
     """
     if total is None:
         total = points.count()
     stride = stride_for(total, limit)
+    order = [time, *_ties(points, time, ties)]
     if stride == 1:
-        return points.orderBy(time, *_ties(points, time, ties)).limit(limit)
-
-    by_time = points.groupBy(time).agg(F.count(F.lit(1)).alias("n"))
-    sliced = total > one_task_rows
-    ranked = running_totals(by_time, [time], "n", sliced=sliced)
-    wanted = ranked.where(_hits(stride) > 0).select(
-        F.col(time).alias("_at"), F.col("before").alias("_before"), F.col("n").alias("_n")
-    )
-    crowded = False
-    if sliced:
+        return points.orderBy(*order).limit(limit)
+    order += [c for c in points.columns if c not in order]
+    large = total > one_task_rows
+
+    wanted, keys = None, []
+    for column in order:
+        wanted = _narrowed(points, wanted, keys, column, stride, large)
+        keys.append(column)
+        if not large:
+            break
         wanted = settle(wanted)
-        crowded = wanted.agg(F.sum("_n")).first()[0] > one_task_rows
-    near = points.join(F.broadcast(wanted.drop("_n")), points[time] == F.col("_at")).drop("_at")
-    chosen = _rank_within_time(near, time, ties, stride, crowded)
-    return chosen.select(*points.columns).orderBy(time, *_ties(points, time, ties)).limit(limit)
+        mixed = wanted.where("n > hits").agg(F.sum("n")).first()[0] or 0
+        if mixed <= max(one_task_rows, limit):
+            break
+    chosen = _rows_at(points, wanted, keys, order[len(keys) :], stride)
+    return chosen.select(*points.columns).orderBy(*order).limit(limit)
 
 
-def _rank_within_time(
-    near: DataFrame, time: str, ties: Sequence[str] | None, stride: int, crowded: bool
+def _narrowed(
+    points: DataFrame, wanted: DataFrame | None, keys: Sequence[str], column: str, stride: int, large: bool
 ) -> DataFrame:
-    data = [c for c in near.columns if c != "_before"]
-    order = _ties(near.drop("_before"), time, ties)
-    if not crowded:
-        w = Window.partitionBy(time).orderBy(*order)
-        ranked = near.withColumn("_rank", F.col("_before") + F.row_number().over(w) - 1)
-        return ranked.where(F.col("_rank") % stride == 0)
-    # Any time may hold most rows: count equal rows, then order the distinct ones.
-    rest = [c for c in data if c != time and c not in order]
-    full = [*order, *rest]
-    copies = near.groupBy(time, "_before", *full).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(copies, full, "n", groups=[time])
-    placed = placed.withColumn("before", F.col("before") + F.col("_before"))
-    return placed.withColumn("_hits", _hits(stride)).where(F.col("_hits") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_hits")))
-    )
+    """Values of ``keys`` and ``column`` that hold wanted ranks: ``before``, ``n`` and ``hits``."""
+    rows = points.select(*keys, column)
+    if wanted is None:
+        rows = rows.withColumn("_before", F.lit(0).cast("bigint"))
+    else:
+        rows = _at(rows, wanted.select(*keys, F.col("before").alias("_before")), keys)
+    counts = rows.groupBy(*keys, column, "_before").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counts, [column], "n", groups=keys, sliced=large, few_groups=True)
+    ranked = placed.withColumn("before", F.col("before") + F.col("_before"))
+    found = ranked.withColumn("hits", _hits(stride)).where(F.col("hits") > 0)
+    return found.select(*keys, column, "before", "n", "hits")
+
+
+def _rows_at(
+    points: DataFrame, wanted: DataFrame, keys: Sequence[str], rest: Sequence[str], stride: int
+) -> DataFrame:
+    """The wanted rows among those at the wanted keys."""
+    if not rest:  # the keys are whole rows, of which any copies will do
+        copies = F.sequence(F.lit(1).cast("bigint"), F.col("hits"))
+        return wanted.withColumn("_copy", F.explode(copies))
+    near = _at(points, wanted, keys)
+    # Of a key that is not wanted whole, some ranks are.
+    inside = Window.partitionBy(*keys).orderBy(*rest)
+    rank = F.col("before") + F.row_number().over(inside) - 1
+    return near.withColumn("_rank", rank).where(F.col("_rank") % stride == 0)
+
+
+def _at(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows at the given keys, which are no more than the limit; nulls are equal."""
+    named = wanted.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    same = [rows[k].eqNullSafe(named[f"_{k}_"]) for k in keys]
+    return rows.join(F.broadcast(named), same).drop(*[f"_{k}_" for k in keys])
 
 
 def _hits(stride: int) -> Column:

@@ -8,11 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgauge.operators.running import ONE_TASK_ROWS, running_totals
+from airgauge.session import settle
 
 CDF_STEPS = 400
 BUILT_IN_ROWS = 50_000
 
 
+def histogram(
+    rows: DataFrame,
+    value: str = "metric_value",
+    groups: Sequence[str] = (),
+    more: Sequence[Column] = (),
+) -> DataFrame:
+    """Equal values of each group counted, written down: groups, ``value``, ``n``, ``start``, ``end``.
+
+    One scan from which summary, percentiles and CDF are all read. ``more`` are sums over
+    the rows of a value. Rows without a value are left out.
+    """
+    present = rows.where(F.col(value).isNotNull())
+    return settle(
+        present.groupBy(*groups, value).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("measured_at").alias("start"),
+            F.max("measured_at").alias("end"),
+            *more,
+        )
+    )
+
+
+def histogram_summary(
+    counts: DataFrame,
+    value: str = "metric_value",
+    groups: Sequence[str] = (),
+    sums: Sequence[str] = (),
+) -> DataFrame:
+    """Count, extremes, time span and ``sums`` of each group of a histogram."""
+    return counts.groupBy(*groups).agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("count"),
+        F.min(value).alias("minimum"),
+        F.max(value).alias("maximum"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        *[F.sum(c).alias(c) for c in sums],
+    )
+
+
 def quantiles(
     rows: DataFrame,
     value: str = "metric_value",
@@ -26,21 +66,42 @@ def quantiles(
     Result: groups, ``position`` (0..steps), ``probability``, ``value``. Groups
     without values have no rows.
 
-    ``row_bound`` is a number of rows that ``rows`` is known not to exceed; it is
-    counted when not given. Few rows go through the built-in ``percentile``, whose
+    ``row_bound`` is a number of rows that ``rows`` is known not to exceed. When not given,
+    equal values are counted and written down first, which scans ``rows`` once, and the
+    counts are what is counted. Few rows go through the built-in ``percentile``, whose
     work for one group is values times quantiles in one task. More go through
     counts of equal values and running totals, and many through totals over a
     range-partitioned order.
     """
     present = rows.where(F.col(value).isNotNull())
     if row_bound is None:
-        row_bound = present.count()
+        copies = F.sum(weight) if weight else F.count(F.lit(1))
+        present = settle(present.groupBy(*groups, value).agg(copies.alias("n")))
+        weight, row_bound = "n", present.count()
     if row_bound <= BUILT_IN_ROWS:
         return built_in_quantiles(present, value, groups, steps, weight)
     sliced = row_bound > ONE_TASK_ROWS
     return ranked_quantiles(present, value, groups, steps, sliced=sliced, weight=weight)
 
 
+def summary_with_marks(
+    rows: DataFrame,
+    value: str = "metric_value",
+    groups: Sequence[str] = (),
+) -> DataFrame:
+    """Summary and exact P5, median and P95 of each group, from one scan."""
+    counts = histogram(rows, value, groups)
+    marks = percentile_columns(
+        quantiles(counts, value, groups, steps=20, row_bound=counts.count(), weight="n"), groups
+    )
+    summary = histogram_summary(counts, value, groups)
+    if not groups:
+        return summary.crossJoin(F.broadcast(marks))  # one row each
+    renamed = marks.withColumnsRenamed({g: f"_{g}" for g in groups})
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    return summary.join(renamed, same).drop(*[f"_{g}" for g in groups])
+
+
 def built_in_quantiles(
     rows: DataFrame,
     value: str,

@@ -20,6 +20,7 @@ def running_totals(
     weight: str,
     groups: Sequence[str] = (),
     sliced: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add ``before``, the weight of all earlier rows of the group, and its ``total``.
 
@@ -29,7 +30,8 @@ def running_totals(
     lost executor can then not lead to a second, different slicing. Only one
     total for each (slice, group) is shared between tasks. Slices are contiguous,
     so there are fewer of these than slices plus groups: without groups no more
-    than shuffle partitions, with groups they are counted before a broadcast.
+    than shuffle partitions, with groups they are counted before a broadcast, unless the
+    caller knows that there are ``few_groups``.
     """
     keys = [*groups, *order]
     if not sliced:
@@ -54,7 +56,7 @@ def running_totals(
         F.sum("slice_weight").over(group).alias("total"),
     )
     inside = Window.partitionBy("slice", *groups).orderBy(*order)
-    starts = broadcast_if_small(starts) if groups else F.broadcast(starts)
+    starts = broadcast_if_small(starts) if groups and not few_groups else F.broadcast(starts)
     joined = _join_null_safe(slices, starts, ["slice", *groups])
     return joined.withColumn(
         "before", F.col("slice_before") + _earlier(weight, inside)

@@ -30,7 +30,7 @@ def selected_metric(measurements: DataFrame, arguments: Mapping[str, object]):
     selection = Selection.of(arguments)
     metric = cleaned(arguments.get("metric"))
     if not metric:
-        raise ValueError("database, at least one collection, and metric are required")
+        raise ValueError("a request names a metric")
     checked_metric(selection.category, metric)
     return selection, metric, with_metric(select_rows(measurements, selection), metric)
 
@@ -38,17 +38,20 @@ def selected_metric(measurements: DataFrame, arguments: Mapping[str, object]):
 def summary_row(rows: DataFrame) -> dict[str, object]:
     """Summary of one metric with exact P5, median and P95, as a driver-side row.
 
-    Counts come first: they decide how the quantiles are computed. ``located`` is
-    the number of rows that can be put on a map.
+    All of it is read from one histogram of the values. ``located`` is the number of rows
+    that can be put on a map.
     """
     on_map = F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    counted = quantiles.metric_summary(rows, more=[on_map.alias("located")]).withColumn(
-        "seconds", series.seconds_between(F.col("start"), F.col("end"))
-    ).first().asDict()
+    counts = quantiles.histogram(rows, more=[on_map.alias("located")])
+    summary = quantiles.histogram_summary(counts, sums=["located"])
+    values = F.count(F.lit(1)).alias("values")
+    seconds = series.seconds_between(F.col("start"), F.col("end")).alias("seconds")
+    counted = summary.select("*", seconds).crossJoin(counts.agg(values)).first().asDict()  # one row each
+    distinct = counted.pop("values")
     if not counted["count"]:
         return {"count": 0}
     marks = quantiles.percentile_columns(
-        quantiles.quantiles(rows, steps=20, row_bound=counted["count"])
+        quantiles.quantiles(counts, steps=20, row_bound=distinct, weight="n")
     ).first()
     return {**counted, **marks.asDict()}
 

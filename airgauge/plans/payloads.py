@@ -33,8 +33,10 @@ def _listed(order: tuple[str, ...], fields: Column) -> Column:
 def cdf_payload(rows: DataFrame, arguments: Mapping[str, object]) -> DataFrame:
     selection, metric, filtered = requests.selected_metric(rows, arguments)
     label, unit = S.METRICS[selection.category][metric]
-    count = filtered.count()
-    points = quantiles.quantiles(filtered, row_bound=count).agg(
+    values = quantiles.histogram(filtered)
+    seen = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("values")).first()
+    count = seen.rows
+    points = quantiles.quantiles(values, row_bound=seen["values"], weight="n").agg(
         _listed(("position",), F.struct("value", "probability")).alias("points")
     )
     return points.select(
@@ -72,7 +74,7 @@ def options_payload(rows: DataFrame, arguments: Mapping[str, object]) -> DataFra
         level("technology", F.col("value")).alias("technologies"),
         level("operator", F.col("value")).alias("operators"),
         level("band", choice).alias("bands"),
-        level("pci", choice).alias("pcis"),
+        level("pci", F.struct(F.col("value").try_cast("bigint").alias("value"), "label")).alias("pcis"),
         level("ssb", choice).alias("ssb_indexes"),
         level("metric", metric).alias("metrics"),
     )

@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from airgauge.operators import catalog, compare, facets, quantiles
+from airgauge.operators import catalog, compare, facets, points, quantiles, running
 from airgauge.operators.filters import Selection, select_rows, with_metric
-from airgauge.session import fresh_folder
+from airgauge.session import fresh_folder, settle
 from airgauge.sources import store
 from workloads import compared, fixtures
 from workloads.ingested import all_kinds
@@ -81,3 +81,50 @@ def test_key_filter_prunes_by_the_catalog(spark):
     listed = spark.read.parquet(root).where(F.col("database_name") == "db_a")
     text = plan(catalog.key_filter(snapshots(spark), listed))
     assert "LeftSemi" in text and "BroadcastHashJoin" in text and "dynamicpruning" in text
+
+
+def scans_of(monkeypatch, *modules):
+    """Plans of what is written down while a request runs."""
+    plans = []
+
+    def noted(df):
+        plans.append(plan(df))
+        return settle(df)
+
+    for module in modules:
+        monkeypatch.setattr(module, "settle", noted)
+    return plans
+
+
+def test_summary_percentiles_and_cdf_come_from_one_scan(spark, monkeypatch):
+    rows = with_metric(snapshots(spark), "rsrp_dbm")
+    plans = scans_of(monkeypatch, quantiles)
+    counts = quantiles.histogram(rows, groups=["collection_name"])
+    results = [
+        quantiles.histogram_summary(counts, groups=["collection_name"]),
+        quantiles.quantiles(counts, groups=["collection_name"], row_bound=10, weight="n"),
+        quantiles.quantiles(counts, groups=["collection_name"], row_bound=10**9, weight="n"),
+    ]
+    assert [p.count("FileScan") for p in plans] == [1] and "partial_count" in plans[0]
+    assert all("FileScan" not in plan(r) for r in results)
+    for make in (quantiles.summary_with_marks, quantiles.quantiles):
+        plans.clear()
+        result = make(rows)
+        assert sum(p.count("FileScan") for p in plans) == 1 and "FileScan" not in plan(result)
+
+
+def test_ranks_are_found_without_whole_rows(spark, monkeypatch):
+    """Only keys are counted and ordered; other columns are read once, for the wanted keys."""
+    rows = snapshots(spark).select("measured_at", "operator_name", "pci", "model", "rsrp_dbm", "latitude", "cell_type")
+    plans = scans_of(monkeypatch, points, running)
+    # Many rows at few times, so that the times alone do not tell which rows are wanted.
+    rows = rows.withColumn("measured_at", F.date_trunc("month", "measured_at").cast("timestamp_ntz"))
+    result = points.thin_by_time(rows, 60, ties=["operator_name", "rsrp_dbm"], one_task_rows=0)
+    assert len(plans) >= 4
+    for text in plans:
+        assert not re.search("latitude|cell_type|model|pci", text)
+        keys = [s.count("ASC") for s in re.findall(r"Sort \[(.*?)\], (?:true|false)", text)]
+        assert max(keys, default=0) <= 4  # the slice and three columns of the order
+    whole = plan(result)
+    assert "BroadcastHashJoin" in whole and "TakeOrderedAndProject" in whole and "SortMergeJoin" not in whole
+    assert result.count() <= 60

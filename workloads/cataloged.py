@@ -9,14 +9,14 @@ from airgauge import schema as S
 from airgauge.functions import names
 from airgauge.operators import catalog, fingerprint
 from airgauge.operators.filters import Selection
-from airgauge.plans import ingest
+from airgauge.plans import ingest, payloads
 from airgauge.plans.staging import staging
 from airgauge.session import fresh_folder, settle
 from airgauge.sources import exports, store
 from workloads.fixtures import partitions, view
 from workloads.ingested import move
 from workloads.registry import query
-from workloads.summaries import COLLECTIONS, by_key, count_by_key
+from workloads.summaries import COLLECTIONS, by_key, count_by_key, read_back
 
 
 @query(
@@ -94,6 +94,30 @@ def catalog_tree(spark, folder):
     )
 
 
+@query(
+    "json_catalog",
+    f"""SELECT database_name AS name, collection_name AS collection, s AS start, e AS "end",
+  array_to_string(list_filter(['radio', 'neighbor', 'pdsch', 'pusch'], lambda c: list_contains(found, c)), '+') AS categories,
+  technologies, CAST({len(S.METRIC_ROWS)} AS BIGINT) AS metrics FROM ({ENTRIES_SQL})""",
+    views=("p",),
+)
+def json_catalog(spark, folder):
+    """The whole catalog as one JSON record."""
+    record = read_back(payloads.catalog_payload(partitions(spark, folder)))
+    metrics = F.aggregate("measurements", F.lit(0).cast("bigint"), lambda n, m: n + F.size(m["metrics"]))
+    databases = record.select(F.explode("databases").alias("d"), metrics.alias("metrics"))
+    rows = databases.select(F.col("d.name").alias("name"), F.explode("d.collections").alias("c"), "metrics")
+    return rows.select(
+        "name",
+        F.col("c.name").alias("collection"),
+        F.col("c.start").cast("timestamp_ntz").alias("start"),
+        F.col("c.end").cast("timestamp_ntz").alias("end"),
+        F.array_join("c.categories", "+").alias("categories"),
+        F.array_join("c.technologies", "+").alias("technologies"),
+        "metrics",
+    )
+
+
 @query(
     "selection_range",
     """SELECT min(start_time) AS start, max(end_time) AS "end" FROM p

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.operators import compare
 from airgauge.plans import measurements as requests
+from airgauge.plans import payloads
 from airgauge.session import settle
 from workloads.fixtures import partitions, view
 from workloads.registry import query, rounded
+from workloads.summaries import read_back
 
 REQUEST = {
     "database": "db_a",
@@ -126,16 +128,28 @@ def compare_empty(spark, folder):
     return rounded(summaries.select("position", "count", "note", *columns), *columns)
 
 
+def shown_sql(name: str) -> str:
+    """A number as a curve's text shows it: two digits at most, grouped, with the unit."""
+    number = f"regexp_replace(regexp_replace(format('{{:,.2f}}', {name}), '0+$', ''), '[.]$', '')"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE concat({number}, CASE WHEN unit = '' THEN '' ELSE ' ' END, unit) END"
+
+
+CURVE_ROWS = ", ".join(
+    str((i, label, S.METRICS[c["measurement"]][c["metric"]][1]))
+    for i, (label, c) in enumerate(zip(LABELS, REQUEST["curves"]))
+)
+
+
 @query(
     "curve_labels",
     f"""SELECT s.position, l.label, CASE WHEN s.count = 0 THEN 'No samples' ELSE
-  concat(format('{{:,}}', s.count), ' samples') END AS text FROM ({SUMMARY_SQL}) s
-  JOIN (VALUES {", ".join(str((i, label)) for i, label in enumerate(LABELS))}) AS l(position, label) USING (position)""",
+  concat(format('{{:,}}', s.count), ' samples | Median ', {shown_sql("median")}, ' (P5 ', {shown_sql("p5")},
+    ' | P95 ', {shown_sql("p95")}, ')') END AS text FROM ({SUMMARY_SQL}) s
+  JOIN (VALUES {CURVE_ROWS}) AS l(position, label, unit) USING (position)""",
 )
 def curve_labels(spark, folder):
     summaries, _ = requests.compare_cdfs(view(spark, folder, "m"), REQUEST)
-    text = F.substring_index(compare.curve_text(summaries), " |", 1)
-    return summaries.select("position", "label", text.alias("text"))
+    return summaries.select("position", "label", compare.curve_text(summaries).alias("text"))
 
 
 @query(
@@ -156,6 +170,25 @@ def compare_charts(spark, folder):
     )
 
 
+@query(
+    "json_compare",
+    f"""SELECT s.position, l.label, count, round(median, 6) AS median, title, CASE WHEN count > 0 THEN 401 ELSE 0 END AS points,
+    CASE WHEN count > 0 THEN NULL WHEN s.position = 6 THEN 'No matching partition' ELSE 'No matching rows' END AS note
+  FROM ({SUMMARY_SQL}) s JOIN (VALUES {", ".join(
+      str((i, label, f"{S.CATEGORY_LABELS[c['measurement']]}: {S.METRICS[c['measurement']][c['metric']][0]}"))
+      for i, (label, c) in enumerate(zip(LABELS, REQUEST["curves"])))}) AS l(position, label, title) USING (position)""",
+)
+def json_compare(spark, folder):
+    """All curves of a request as one JSON record, read back chart by chart."""
+    record = read_back(payloads.compare_payload(view(spark, folder, "m"), REQUEST, partitions(spark, folder)))
+    chart = record.select(F.explode("charts").alias("c"))
+    curves = chart.select("c.title", F.explode("c.curves").alias("v"))
+    return curves.select(
+        "v.position", "v.label", "v.count", F.round("v.median", 6).alias("median"), "title",
+        F.size("v.points").alias("points"), "v.note",
+    )
+
+
 @query(
     "scope_prune",
     """SELECT position, kept, kept <> collections AS changed FROM (SELECT position, collections,

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.operators import facets
 from airgauge.operators.filters import Selection, select_rows
+from airgauge.plans import payloads
+from airgauge.sources.store import union_kinds
 from workloads.fixtures import view
 from workloads.registry import query
-from workloads.summaries import COLLECTIONS, RADIO_SQL
+from workloads.summaries import COLLECTIONS, RADIO_SQL, read_back
 
 
 def scoped(spark, folder, **arguments):
@@ -132,3 +134,28 @@ def facet_cascade(spark, folder):
 def facet_cascade_unrestricted(spark, folder):
     selection = Selection.of({"database": "db_a", "collections": COLLECTIONS})
     return facets.facet_cascade(view(spark, folder, "m"), selection)
+
+
+CHOSEN = {"database": "db_a", "collections": COLLECTIONS, "measurement": "radio", "technology": "NR", "operator": "op_1"}
+
+
+@query(
+    "json_options",
+    f"""SELECT level, value, label, unit FROM (SELECT level, value, label, n, NULL AS unit FROM ({CASCADE_SQL.replace(" AND band_number = 3", "").replace(" AND ssb_index IS NULL", "")}) c
+    WHERE level <> 'metric')
+  UNION ALL SELECT 'metric', value, label, unit FROM ({metrics_sql("radio", _OPER)})""",
+)
+def json_options(spark, folder):
+    """The choices of a whole request as one JSON record, read back level by level."""
+    record = read_back(payloads.options_payload(view(spark, folder, "m"), CHOSEN))
+    unit = F.lit(None).cast("string").alias("unit")
+    levels = []
+    for level, field in (("technology", "technologies"), ("operator", "operators")):
+        value = F.explode(field).alias("value")
+        levels.append(record.select(F.lit(level).alias("level"), value).select("level", "value", F.col("value").alias("label"), unit))
+    for level, field in (("band", "bands"), ("pci", "pcis"), ("ssb", "ssb_indexes")):
+        listed = record.select(F.lit(level).alias("level"), F.explode(field).alias("c"))
+        levels.append(listed.select("level", F.col("c.value").cast("string").alias("value"), "c.label", unit))
+    metrics = record.select(F.lit("metric").alias("level"), F.explode("metrics").alias("c"))
+    levels.append(metrics.select("level", "c.value", "c.label", "c.unit"))
+    return union_kinds(levels)

@@ -91,12 +91,7 @@ SUMMARY_SQL = """SELECT count({v}) AS count, round(min({v}), 6) AS minimum, roun
 
 
 def summarized(rows, groups=()):
-    counts = quantiles.metric_summary(rows, groups=groups)
-    marks = quantiles.percentile_columns(
-        quantiles.quantiles(rows, groups=groups, steps=20), groups
-    )
-    both = counts.join(marks, list(groups)) if groups else counts.crossJoin(F.broadcast(marks))
-    return rounded(both, "minimum", "maximum", "p5", "median", "p95")
+    return rounded(quantiles.summary_with_marks(rows, groups=groups), "minimum", "maximum", "p5", "median", "p95")
 
 
 @query("metric_summary", SUMMARY_SQL.format(v="throughput_mbps", where=DOWNLINK_SQL))
@@ -153,6 +148,27 @@ def cdf_all_rows_ranked(spark, folder):
     return rounded(quantiles.ranked_quantiles(rows, "metric_value"), "probability", "value")
 
 
+INFINITE_SQL = """CASE WHEN event_id % 5 = 0 THEN {low} WHEN event_id % 7 = 0 THEN {high} WHEN event_id % 6 = 0 THEN NULL ELSE rsrp_dbm END"""
+INFINITE_VIEW = f"SELECT {INFINITE_SQL.format(low="'-inf'::DOUBLE", high="'inf'::DOUBLE")} AS v FROM m"
+
+
+def infinite_rows(spark, folder):
+    value = INFINITE_SQL.format(low="double('-Infinity')", high="double('Infinity')")
+    return view(spark, folder, "m").selectExpr(f"{value} AS metric_value")
+
+
+@query("cdf_infinite", cdf_sql("v", f"({INFINITE_VIEW})", "TRUE"))
+def cdf_infinite(spark, folder):
+    """Infinite values at both ends, in the built-in form."""
+    return rounded(quantiles.quantiles(infinite_rows(spark, folder), row_bound=0), "probability", "value")
+
+
+@query("cdf_infinite_ranked", cdf_sql("v", f"({INFINITE_VIEW})", "TRUE"))
+def cdf_infinite_ranked(spark, folder):
+    """The same in the form for large data."""
+    return rounded(quantiles.quantiles(infinite_rows(spark, folder), row_bound=2**62), "probability", "value")
+
+
 @query("json_cdf", CDF_SQL)
 def json_cdf(spark, folder):
     """The points as they are read back from a JSON record."""
@@ -354,3 +370,40 @@ def unit_convert(spark, folder):
         "event_id",
         F.expr(casts.canonical_value("throughput_kbps_text", column)).alias("throughput_mbps"),
     )
+
+
+def read_back(record):
+    """A record written as JSON text and read again by its schema."""
+    text = payloads.as_json(record)
+    return text.select(F.from_json("payload", record.schema).alias("r")).select("r.*")
+
+
+def timed(column):
+    return F.col(column).cast("timestamp_ntz")
+
+
+@query(
+    "json_measurements",
+    f"""SELECT 'summary' AS part, start AS "time", p5 AS a, median AS b, p95 AS c, count AS n
+    FROM ({SUMMARY_SQL.format(v="throughput_mbps", where=DOWNLINK_SQL)})
+  UNION ALL SELECT 'bucket', bucket, average, minimum, maximum, samples FROM ({SERIES_SQL})
+  UNION ALL SELECT 'point', measured_at, round(latitude, 6), round(longitude, 6), round(throughput_mbps, 6), pci FROM m
+    WHERE {DOWNLINK_SQL} AND throughput_mbps IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL""",
+)
+def json_measurements(spark, folder):
+    """A whole measurement request as one JSON record: summary, points and series."""
+    record = read_back(payloads.measurement_payload(view(spark, folder, "m"), DOWNLINK))
+    summary = record.select(
+        F.lit("summary").alias("part"), timed("summary.start").alias("time"),
+        F.col("summary.p5").alias("a"), F.col("summary.median").alias("b"), F.col("summary.p95").alias("c"),
+        F.col("summary.count").alias("n"),
+    )
+    buckets = record.select(F.explode("series").alias("s")).select(
+        F.lit("bucket").alias("part"), timed("s.time").alias("time"),
+        F.col("s.average").alias("a"), F.col("s.minimum").alias("b"), F.col("s.maximum").alias("c"), F.col("s.samples").alias("n"),
+    )
+    points_ = record.select(F.explode("points").alias("p")).select(
+        F.lit("point").alias("part"), timed("p.measured_at").alias("time"),
+        F.col("p.latitude").alias("a"), F.col("p.longitude").alias("b"), F.col("p.metric_value").alias("c"), F.col("p.pci").alias("n"),
+    )
+    return rounded(summary.unionByName(buckets).unionByName(points_), "a", "b", "c")
