@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airgauge.operators.running import ONE_TASK_ROWS, running_totals
 from airgauge.session import settle
 
 BITS = 5
@@ -43,29 +44,30 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def text_order(column: Column) -> Column:
-    """The first seven bytes of a text as a number that keeps their order; null for null."""
-    start = F.rpad(F.substring(F.hex(F.encode(column, "utf-8")), 1, 14), 14, "0")
-    return F.conv(start, 16, 10).cast("bigint")
+def cut_points(rows: DataFrame, value: Column, cells: int) -> list:
+    """Values at which ``value`` is cut so that at most ``cells`` parts hold about equally many rows.
+
+    Equal values are counted first, whatever their type and length, and running totals over
+    their order tell which of them lie on a cut. Fewer than ``cells`` values go to the driver.
+    """
+    counts = settle(rows.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = running_totals(counts, ["v"], "n", sliced=counts.count() > ONE_TASK_ROWS)
+    first = F.greatest(F.lit(1), F.expr(f"(before * {cells} + total - 1) div total"))
+    hit = first * F.col("total") < (F.col("before") + F.col("n")) * cells
+    return sorted(r.v for r in ranked.where(hit & (first < cells)).select("v").collect())
 
 
 def with_curve(rows: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """``rows`` with ``curve``, from ``dimensions`` cut at their approximate quantiles.
+    """``rows`` with ``curve``, from ``dimensions`` cut at their quantiles over all rows.
 
-    At most 2**bits - 1 cut points of each dimension go to the driver. Null stands in the
-    lowest cell.
+    Whole values are compared, texts byte by byte. Null stands in the lowest cell.
     """
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    marks = rows.agg(
-        *[F.percentile_approx(c.cast("double"), shares, 10000).alias(name) for name, c in dimensions.items()]
-    ).first()
     names = []
     for name, column in dimensions.items():
-        cuts = sorted(set(marks[name] or []))
-        value = column.cast("double")
-        above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < value)) if cuts else F.lit(0)
+        cuts = cut_points(rows, column, 1 << bits)
+        above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < column)) if cuts else F.lit(0)
         names.append(f"_cell_{name}")
-        rows = rows.withColumn(names[-1], F.when(value.isNull(), 0).otherwise(above).cast("int"))
+        rows = rows.withColumn(names[-1], F.when(column.isNull(), 0).otherwise(above).cast("int"))
     kept = [x for x in rows.columns if x not in names and x != "curve"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +128,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", bi
     """Shard and slot of every document (doc_id, text, lang, source), by language, source and size.
 
     ``law`` is ``rows`` (row counts differ by one at most) or ``bytes`` (sizes are about
-    equal). ``size`` is the text's UTF-8 bytes plus one. Equal texts stand together along
-    the curve. Null texts are empty; null metadata is the lowest cell; repeated rows are
+    equal). ``size`` is the text's UTF-8 bytes plus one. Equal texts stand together along the
+    curve as far as their language and source are in the same cells. Null texts are empty; null metadata is the lowest cell; repeated rows are
     placed each; other columns are ignored. ``docs`` must be a stored table.
     """
     if law not in ("rows", "bytes"):
@@ -141,7 +143,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", bi
         F.col("source").cast("string"),
         F.monotonically_increasing_id().alias("place"),
     )
-    dimensions = {"lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "size": F.col("size")}
+    dimensions = {name: F.col(name) for name in ("lang", "source", "size")}
     curved = with_curve(rows, dimensions, bits)
     placed = sharded(curved, ["curve", "text_crc32", "doc_id", "place"], shards, None if law == "rows" else "size")
     return placed.withColumn("law", F.lit(law)).drop("place")
@@ -161,6 +163,6 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, bits: int =
         F.crc32(payload).alias("tie"),
         F.monotonically_increasing_id().alias("place"),
     )
-    dimensions = {"lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "size": F.col("size")}
+    dimensions = {name: F.col(name) for name in ("lang", "source", "size")}
     placed = sharded(with_curve(rows, dimensions, bits), ["curve", "tie", "place"], shards, "size")
     placed.select("_row_.*", "shard").write.partitionBy("shard").parquet(folder)
