@@ -23,7 +23,8 @@ QUERIES_PER_BLOCK = 2048
 BLOCKS_PER_TASK = 4  # of data, for one block of queries; about
 MOST_TASKS = 1 << 16
 SCALE = 256
-_EXACT = 1 << 20  # numbers below it multiply and add up exactly as doubles
+_EXACT = 1 << 53  # sums of products below it are exact as doubles
+_LONG = 1 << 62  # and below this as 64-bit integers
 
 
 class CoverTree:
@@ -145,13 +146,51 @@ class Search:
         self.scores[every], self.ids[every], self.places[every] = score[best], id_[best], place[best]
 
 
-def _packed(batch: pa.Table | pa.RecordBatch) -> bytes:
-    """A block: row places, ids, whole numbers and cover tree."""
-    vectors = np.array(batch.column("vector").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-    if np.abs(vectors).max(initial=0) >= _EXACT:
-        raise ValueError("components are too large for exact integer scores")
+def _packed(batch: pa.Table | pa.RecordBatch, scale: int) -> bytes:
+    """A block: row places, ids, whole numbers (as doubles, which hold them exactly) and cover tree."""
+    raw = pc.list_flatten(batch.column("vector")).to_numpy(zero_copy_only=False)
+    vectors = np.floor(raw.astype(np.float64) * scale).reshape(batch.num_rows, -1)
     numbers = (batch.column(name).to_numpy() for name in ("place", "vec_id"))
-    return pickle.dumps((*numbers, vectors.astype(np.int32), CoverTree(vectors)), pickle.HIGHEST_PROTOCOL)
+    return pickle.dumps((*numbers, vectors, CoverTree(vectors)), pickle.HIGHEST_PROTOCOL)
+
+
+_whole = np.frompyfunc(int, 1, 1)
+
+
+def largest_score(queries: np.ndarray, data: np.ndarray) -> float:
+    """A bound of all scores, and of all sums on the way to them."""
+    return float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, data.shape[1])
+
+
+def _compared_exactly(
+    queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarray, places: np.ndarray, k: int, most: float
+) -> Iterator[tuple[int, int, int]]:
+    """(query, row, score) of the best rows of each query, from products in whole numbers of any size."""
+    convert = (lambda x: x.astype(np.int64)) if most < _LONG else _whole
+    rows = convert(data).T
+    for low in range(0, len(queries), 256):
+        table = convert(queries[low : low + 256]) @ rows
+        for i, scores in enumerate(table):
+            others = np.flatnonzero(places != own[low + i])
+            if scores.dtype == object:
+                best = sorted(others.tolist(), key=lambda j: (-scores[j], ids[j], places[j]))[:k]
+            else:
+                best = others[np.lexsort((places[others], ids[others], -scores[others]))[:k]].tolist()
+            for j in best:
+                yield low + i, j, int(scores[j])
+
+
+#: Found scores: ``wide`` orders those that a long cannot hold, whose ``score`` is the nearest long.
+_FOUND = "query bigint, query_id bigint, vec_id bigint, place bigint, score bigint, wide binary"
+_WIDE_BYTES = 288  # of a score's distance from the least that doubles can make
+
+
+def _found_rows(query: np.ndarray, query_id: np.ndarray, vec_id: np.ndarray, place: np.ndarray, scores: list[int]) -> pa.RecordBatch:
+    top = (1 << 63) - 1
+    wide = [None if -_LONG < x < _LONG else (x + (1 << 8 * _WIDE_BYTES - 1)).to_bytes(_WIDE_BYTES, "big") for x in scores]
+    near = [max(-top, min(top, x)) for x in scores]
+    columns = [*map(pa.array, (query, query_id, vec_id, place)), pa.array(near, pa.int64()), pa.array(wide, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = SCALE) -> DataFrame:
@@ -161,15 +200,15 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     the rows whose vec_id is divisible by ``every``, candidates all rows but the query's
     own. Null ids, null vectors and those with null or non-finite components take no part;
     vectors meet those of their own length only; repeated rows are candidates, and
-    queries, each. Components of 2**20 and over after scaling are an error, as scores
-    would not be exact. Other columns are ignored.
+    queries, each. Components may have any finite size: where sums of products pass 2**53,
+    a pair of blocks is compared in whole numbers instead of by its trees. A score that no
+    long can hold is ranked by its value and null. Other columns are ignored.
     """
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = (
         vectors.select("vec_id", "embedding", F.monotonically_increasing_id().alias("place"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-        .select(F.col("vec_id").cast("bigint"), "place", F.size("embedding").alias("dim"), whole.alias("vector"))
+        .select(F.col("vec_id").cast("bigint"), "place", F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("vector"))
     )
     is_query = F.col("vec_id") % every == 0
     asked = rows.where(is_query)
@@ -180,14 +219,14 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
 
     def pack_queries(table: pa.Table) -> pa.Table:
         first = table.slice(0, 1)
-        return pa.table({"dim": first["dim"], "block": first["block"], "queries": pa.array([_packed(table)], pa.binary())})
+        return pa.table({"dim": first["dim"], "block": first["block"], "queries": pa.array([_packed(table, scale)], pa.binary())})
 
     def pack_data(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}
 
         def row(dim: int) -> pa.RecordBatch:
             table = pa.Table.from_batches(held.pop(dim))
-            columns = [pa.array([dim], pa.int32()), table["place"].slice(0, 1).combine_chunks(), pa.array([_packed(table)], pa.binary())]
+            columns = [pa.array([dim], pa.int32()), table["place"].slice(0, 1).combine_chunks(), pa.array([_packed(table, scale)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["dim", "first", "data"])
 
         for batch in batches:
@@ -206,14 +245,18 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
             for queries, data in zip(batch.column("queries"), batch.column("data")):
                 places, ids, asked_rows, tree = pickle.loads(queries.as_buffer())
                 data_places, data_ids, data_rows, data_tree = pickle.loads(data.as_buffer())
-                found = Search(asked_rows.astype(np.float64), places, tree, k)
-                found.run(data_rows.astype(np.float64), data_ids, data_places, data_tree)
-                some = np.isfinite(found.scores)
-                query = np.broadcast_to(np.arange(len(ids))[:, None], some.shape)[some]
-                columns = [places[query], ids[query], found.ids[some], found.places[some], found.scores[some].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in columns], ["query", "query_id", "vec_id", "place", "score"]
-                )
+                most = largest_score(asked_rows, data_rows)
+                if most < _EXACT:
+                    found = Search(asked_rows, places, tree, k)
+                    found.run(data_rows, data_ids, data_places, data_tree)
+                    some = np.isfinite(found.scores)
+                    query = np.broadcast_to(np.arange(len(ids))[:, None], some.shape)[some]
+                    scores = found.scores[some].astype(np.int64).tolist()
+                    yield _found_rows(places[query], ids[query], found.ids[some], found.places[some], scores)
+                else:
+                    best = list(_compared_exactly(asked_rows, places, data_rows, data_ids, data_places, k, most))
+                    query, row = (np.array([x[i] for x in best], np.int64) for i in (0, 1))
+                    yield _found_rows(places[query], ids[query], data_ids[row], data_places[row], [x[2] for x in best])
 
     block = F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")
     queries = asked.withColumn("block", block).groupBy("dim", "block").applyInArrow(pack_queries, "dim int, block int, queries binary")
@@ -223,9 +266,8 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keys = ["dim", "block", "part"]
     met = data.repartition(tasks, *keys).join(queries.repartition(tasks, *keys), keys)
-    found = met.select("queries", "data").mapInArrow(
-        search, "query bigint, query_id bigint, vec_id bigint, place bigint, score bigint"
-    )
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "place")
+    found = met.select("queries", "data").mapInArrow(search, _FOUND)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("wide"), "vec_id", "place")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    held = F.when(F.col("wide").isNull() | (F.abs("score") < F.lit((1 << 63) - 1)), F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", held.alias("score"))

@@ -48,6 +48,37 @@ def test_shards_of_hard_documents(spark, tmp_path, law):
         hilbert.shard_documents(docs, law="other")
 
 
+def plain_cells(values, bits):
+    """Cells of values cut at the ranks i * n / 2**bits; null is the lowest."""
+    some = sorted(x for x in values if x is not None)
+    cuts = sorted({some[i * len(some) >> bits] for i in range(1, 1 << bits)}) if some else []
+    return [0 if x is None else sum(c < x for c in cuts) for x in values]
+
+
+@pytest.mark.parametrize("prefix", ["s", "common_crawl_2024_"])
+def test_shards_against_a_plain_curve_and_cut(spark, tmp_path, prefix):
+    """Sources that differ in their last character only are told apart like any others."""
+    ship_package(spark)
+    rng = random.Random(9)
+    rows = [(i, cases.sentence(rng, rng.randint(0, 60)), rng.choice(["de", "en", None]), f"{prefix}{rng.randrange(8)}") for i in range(3000)]
+    rows += [(i, "copy", "en", f"{prefix}0") for i in range(1500)]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4).write.parquet(path)
+    got = hilbert.shard_documents(spark.read.parquet(path)).collect()
+
+    size = [len((t or "").encode()) + 1 for _, t, _, _ in rows]
+    cells = np.array([plain_cells(x, hilbert.BITS) for x in ([r[2] for r in rows], [r[3] for r in rows], size)]).T
+    curve = hilbert.curve_index(cells, hilbert.BITS)
+    order = sorted((c, zlib.crc32((t or "").encode()), d) for c, (d, t, _, _) in zip(curve.tolist(), rows))
+    bounds = [-(-len(rows) * k // 8) for k in range(9)]
+    want = [(d, k, i - bounds[k]) for k in range(8) for i, (_, _, d) in enumerate(order) if bounds[k] <= i < bounds[k + 1]]
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted(want)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.source, set()).add(r.shard)
+    assert len(shards) == 8 and np.mean([len(x) for x in shards.values()]) < 7
+
+
 def test_shard_query_and_pruning(spark):
     got = QUERIES["op2_hilbert_shards"](spark, "/root/testdata/sf0.01")
     rows = got.collect()
@@ -79,13 +110,14 @@ def plain_search(rows, every, k, scale=256):
     out = []
     for i, v, x in good:
         if v % every == 0:
-            scores = sorted((-int(x @ y), w) for j, w, y in good if j != i and len(y) == len(x))[:k]
-            out += [(v, rank + 1, w, -s) for rank, (s, w) in enumerate(scores)]
+            scores = sorted((-sum(int(a) * int(b) for a, b in zip(x, y)), w) for j, w, y in good if j != i and len(y) == len(x))[:k]
+            out += [(v, rank + 1, w, -s if abs(s) < 1 << 63 else None) for rank, (s, w) in enumerate(scores)]
     return out
 
 
 @pytest.mark.parametrize("block, queries", [(4096, 2048), (40, 7)])
-def test_search_of_hard_vectors(spark, tmp_path, monkeypatch, block, queries):
+@pytest.mark.parametrize("large", [(), (5000.0, 2e5), (3e6, -1e30, 3.4e38)])
+def test_search_of_hard_vectors(spark, tmp_path, monkeypatch, block, queries, large):
     ship_package(spark)
     monkeypatch.setattr(cover_tree, "BLOCK", block)
     monkeypatch.setattr(cover_tree, "QUERIES_PER_BLOCK", queries)
@@ -94,6 +126,7 @@ def test_search_of_hard_vectors(spark, tmp_path, monkeypatch, block, queries):
     rows = [(i, (centers[i % 6] + rng.normal(0, 0.1, 8)).tolist()) for i in range(300)]
     rows += [(300 + i, [0.5] * 8) for i in range(120)] + [(400, [0.5] * 8)]  # ties, and repeated rows
     rows += [(None, [1.0] * 8), (1000, None), (1001, [None] * 8), (1050, [float("nan")] * 8), (1100, [float("inf")] * 8)]
+    rows += [(3000 + 25 * i, [x] * 4 + [1.0, -x, 0.5, 0.25]) for i, x in enumerate(large * 2)]
     rows += [(2000, [1.0, 2.0]), (2001, [2.0, 1.0]), (2002, [1.0, 2.0]), (2050, []), (-50, [0.25] * 8)]
     path = str(tmp_path / "vectors.parquet")
     frame = spark.createDataFrame([(v, x, "clash") for v, x in rows], "vec_id bigint, embedding array<float>, place string")
