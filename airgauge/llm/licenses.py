@@ -1,9 +1,10 @@
-"""License scan: texts compared to license templates by Dice coefficient over word bigrams.
+"""License scan: windows of texts compared to license templates by Dice coefficient over word bigrams.
 
-Compared are the whole text, its paragraphs and its lines. Two sets of a and b bigrams
-have a Dice coefficient of 2 * common / (a + b), which cannot reach ``least`` unless the
-smaller set has at least least / (2 - least) as many as the larger, so templates of other
-sizes are passed over before any bigram is compared.
+For every template the window of its length that holds most of its bigrams is found from
+the positions of shared bigrams, wherever it lies: lines, paragraphs, comment marks and
+carriage returns play no part, as they are no words. Two sets of a and b bigrams have a Dice coefficient
+of 2 * common / (a + b), which cannot reach ``least`` unless they share least / (2 - least) as many as
+the template has, so all other windows are passed over before any set is built.
 """
 
 from __future__ import annotations
@@ -16,176 +17,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgauge.llm.bytewise import ALPHANUMERIC, LOWER, batches_by_bytes, hashes, joined, mixed, ragged, spans
+from airgauge.llm.bytewise import ALPHANUMERIC, batches_by_bytes, mixed, ragged, word_hashes
+from airgauge.llm.license_templates import templates as known_templates
 
 LEAST = (8, 10)
 
-# Names and wordings of licenses and of the notices that refer to them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 notice": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
-        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
-        "permissions and limitations under the License."
-    ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-        "(at your option) any later version. This program is distributed in the hope that it will be useful, but "
-        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-        "PURPOSE. See the GNU General Public License for more details."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
-        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all "
-        "copies or substantial portions of the Software."
-    ),
-}
-
 
 def _bigrams(words: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words; a lone word is one with nothing."""
+    """Hashes of neighbouring words."""
     return mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
 
 @dataclass
 class Templates:
     names: list[str]
-    sizes: np.ndarray
+    sizes: np.ndarray  # distinct bigrams
+    spans: np.ndarray  # all bigrams
     bigrams: np.ndarray  # sorted, distinct
     owners: np.ndarray  # templates of each bigram, one after the other
     bounds: np.ndarray
 
     @classmethod
     def of(cls, texts: dict[str, str]) -> Templates:
+        """Templates in the order of their names; those of one word or none match nothing."""
         names = sorted(texts)
-        sets = []
-        for name in names:
-            data, _, _ = joined(pa.array([texts[name]]))
-            data = LOWER[data]
-            sets.append(np.unique(_bigrams(hashes(data, *spans(data, ALPHANUMERIC)))))
+        words = [word_hashes(pa.array([texts[name]]), ALPHANUMERIC)[0] for name in names]
+        sets = [np.unique(_bigrams(w)) for w in words]
         pairs = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         order = np.lexsort(pairs[::-1])
         bigrams, first = np.unique(pairs[0][order], return_index=True)
         return cls(
             names,
             np.array([len(x) for x in sets], np.int64),
+            np.array([max(len(w) - 1, 0) for w in words], np.int64),
             bigrams,
             pairs[1][order],
             np.append(first, len(order)).astype(np.int64),
         )
 
 
-def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, number, start, end) of every unit: 0 the whole text, then paragraphs and lines in order.
+def _windows(
+    text: np.ndarray, last: np.ndarray, at: np.ndarray, owner: np.ndarray, spans: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best window of each text and template: (text, template, start, end, shared bigrams in it).
 
-    Paragraphs end at two line feeds, lines at one; both are numbered from 1 by their
-    first line, paragraphs of a single line are the line itself.
+    ``at`` are places of bigrams that the template ``owner`` has. A window begins at one of
+    them, spans as many bigrams as the template, and ends with its text at the latest.
     """
-    feeds = np.flatnonzero(data == 10)  # one at least closes each text
-    line_end = feeds
-    line_start = np.concatenate([[0], feeds[:-1] + 1]) if len(feeds) else feeds
-    text = np.searchsorted(starts, line_start, "right") - 1
-    first_line = np.searchsorted(line_start, starts)
-    number = np.arange(len(line_start)) - first_line[text] + 1
-    full = line_end > line_start
-    opens = full & ~(np.concatenate([[False], full[:-1]]) & np.concatenate([[False], text[1:] == text[:-1]]))
-    closes = full & ~(np.concatenate([full[1:], [False]]) & np.concatenate([text[1:] == text[:-1], [False]]))
-    many = np.flatnonzero(opens) < np.flatnonzero(closes)
-    begin, end = np.flatnonzero(opens)[many], np.flatnonzero(closes)[many]
-    whole = np.arange(len(starts))
-    return (
-        np.concatenate([whole, text[begin], text]),
-        np.concatenate([np.zeros(len(starts), np.int64), number[begin], number]),
-        np.concatenate([starts, line_start[begin], line_start]),
-        np.concatenate([ends, line_end[end], line_end]),
-    )
+    order = np.lexsort((at, owner))
+    at, owner, text = at[order], owner[order], text[order]
+    ends = np.minimum(at + spans[owner], last[text])
+    room = int(last.max(initial=0)) + 1
+    shared = np.searchsorted(owner * room + at, owner * room + ends) - np.arange(len(at))
+    first = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | np.diff(text, prepend=-1).astype(bool))
+    most = np.repeat(np.maximum.reduceat(shared, first), np.diff(np.append(first, len(at))))
+    full = np.flatnonzero(shared == most)
+    best = full[np.searchsorted(full, first)]
+    return text[best], owner[best], at[best], ends[best], shared[best]
+
+
+NO_LICENSE = (0, None, None, None, None, None)
 
 
 def scan(texts: pa.Array, templates: Templates, least: tuple[int, int]) -> list[tuple]:
-    """(compared, license, common, total, line) of each text: its best template if one is similar enough."""
+    """(compared, license, template, common, total, word) of each text: its best template if one is similar enough."""
     num, den = least
-    data, text_starts, text_ends = joined(texts)
-    data = LOWER[data]
-    starts, ends = spans(data, ALPHANUMERIC)
-    words = hashes(data, starts, ends)
-    text, number, begin, end = _units(data, text_starts, text_ends)
-    low, high = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-    count = np.maximum(high - low - 1, 0)
-    # No unit with fewer bigrams than the smallest template allows can be similar.
-    smallest = templates.sizes.min()
-    use = np.flatnonzero(count * (2 * den - num) >= num * smallest)
-    text, number, low, count = text[use], number[use], low[use], count[use]
-    pairs = _bigrams(words) if len(words) > 1 else np.zeros(0, np.uint64)
-    unit = np.repeat(np.arange(len(use)), count)
-    grams = pairs[ragged(low, count)]
-    order = np.lexsort((grams, unit))
-    unit, grams = unit[order], grams[order]
-    new = np.ones(len(unit), bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (grams[1:] != grams[:-1])
-    unit, grams = unit[new], grams[new]
-    sizes = np.bincount(unit, minlength=len(use))
-
-    a, b = sizes[:, None], templates.sizes[None, :]
-    candidate = (np.minimum(a, b) * (2 * den - num) >= num * np.maximum(a, b)) & (a > 0)
-    some = candidate.any(axis=1)
-    asked = some[unit]
-    unit, grams = unit[asked], grams[asked]
-    place = np.minimum(np.searchsorted(templates.bigrams, grams), len(templates.bigrams) - 1)
-    hit = templates.bigrams[place] == grams
-    unit, place = unit[hit], place[hit]
-    many = templates.bounds[place + 1] - templates.bounds[place]
-    owner = templates.owners[ragged(templates.bounds[place], many)]
-    common = np.zeros(candidate.shape, np.int64)
-    np.add.at(common, (np.repeat(unit, many), owner), 1)
-    good = candidate & (2 * den * common >= num * (a + b))
-
-    texts_count = len(text_starts)
-    compared = np.bincount(text, candidate.sum(axis=1), minlength=texts_count).astype(np.int64)
-    found: list[tuple] = [(int(n), None, None, None, None) for n in compared]
-    u, t = np.nonzero(good)
-    both = common[u, t], (sizes[u] + templates.sizes[t])
-    ratio = 2 * both[0] / both[1]
-    for i in np.lexsort((number[u], t, -ratio))[::-1].tolist():  # the best of each text comes last
-        of = int(text[u[i]])
-        found[of] = (found[of][0], templates.names[t[i]], int(both[0][i]), int(both[1][i]), int(number[u[i]]))
+    words, first = word_hashes(texts, ALPHANUMERIC)
+    count = len(first) - 1
+    found: list[tuple] = [NO_LICENSE] * count
+    if len(words) < 2 or not len(templates.bigrams):
+        return found
+    pairs = _bigrams(words)
+    place = np.minimum(np.searchsorted(templates.bigrams, pairs), len(templates.bigrams) - 1)
+    hit = templates.bigrams[place] == pairs
+    inner = first[1:-1]
+    hit[inner[(inner > 0) & (inner < len(words))] - 1] = False  # one word in each of two texts
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return found
+    many = templates.bounds[place[at] + 1] - templates.bounds[place[at]]
+    owner = templates.owners[ragged(templates.bounds[place[at]], many)]
+    at = np.repeat(at, many)
+    text = np.searchsorted(first, at, "right") - 1
+    last = np.maximum(first[1:] - 1, first[:-1])  # bigrams of a text end before this place
+    text, owner, start, end, shared = _windows(text, last, at, owner, templates.spans)
+    able = shared * (2 * den - num) >= num * templates.sizes[owner]
+    best: dict[int, tuple] = {}
+    for t, o, low, high in zip(*(x[able].tolist() for x in (text, owner, start, end))):
+        window = np.unique(pairs[low:high])
+        near = np.minimum(np.searchsorted(templates.bigrams, window), len(templates.bigrams) - 1)
+        near = near[templates.bigrams[near] == window]
+        steps = templates.bounds[near + 1] - templates.bounds[near]
+        common = int((templates.owners[ragged(templates.bounds[near], steps)] == o).sum())
+        total = len(window) + int(templates.sizes[o])
+        if 2 * den * common >= num * total:
+            key = (-common / total, -total, templates.names[o])
+            if t not in best or key < best[t][0]:
+                best[t] = (key, common, total, low - int(first[t]))
+    compared = np.bincount(text[able], minlength=count)
+    for t in np.flatnonzero(compared).tolist():
+        row = (None,) * 5
+        if t in best:
+            (_, _, name), common, total, word = best[t]
+            row = (name.split()[0], name, common, total, word)
+        found[t] = (int(compared[t]), *row)
     return found
 
 
-FOUND = "doc_id bigint, compared bigint, license string, common bigint, total bigint, line bigint"
+FOUND = (
+    "doc_id bigint, compared bigint, license string, template string, common bigint, total bigint, word bigint"
+)
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: tuple[int, int] = LEAST) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: tuple[int, int] = LEAST) -> DataFrame:
     """The most similar license template of every document (doc_id, text), if its Dice is ``least`` or more.
 
-    Words are runs of digits, letters and longer characters, in lower case. ``compared``
-    counts the pairs of a unit and a template that the size bounds leave; the Dice
-    coefficient is 2 * ``common`` / ``total``; ``line`` is the matching unit's first line, 0
-    for the whole text. Ties go to the first template name, then to the first line. Texts
-    that are null, empty or of one word match nothing; repeated rows are scanned each;
-    other columns are ignored. Nothing is shuffled.
+    Words are runs of digits, letters and longer characters, in lower case, so punctuation,
+    line ends of any kind and comment marks do not matter. For each template the first of
+    the windows that hold most of its bigrams (with repeats) is looked at. ``compared`` counts
+    the templates that the size bounds leave; the Dice coefficient is 2 * ``common`` /
+    ``total``; ``word`` is the number of words before the window. Ties go to the larger total,
+    then to the template named first. Texts that are null, empty or of one word match
+    nothing; repeated rows are scanned each; other columns are ignored. Nothing is shuffled.
     """
-    known = Templates.of(templates)
+    known = Templates.of(known_templates() if templates is None else templates)
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text", 1 << 20):
             found = scan(batch.column("text"), known, least)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             columns = [pa.array(list(x), kind) for x, kind in zip(zip(*found), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, FOUND)

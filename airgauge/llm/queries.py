@@ -15,6 +15,7 @@ from airgauge.llm import (
     decontaminate,
     hilbert,
     language,
+    license_templates,
     licenses,
     ngram_join,
     packing,
@@ -86,7 +87,7 @@ def hilbert_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(
-    "('{}', '{}')".format(name.replace("'", "''"), text.replace("'", "''")) for name, text in licenses.TEMPLATES.items()
+    "('{}', '{}')".format(name.replace("'", "''"), text.replace("'", "''")) for name, text in license_templates.templates().items()
 )
 _WORDS = (
     "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -97,29 +98,28 @@ _WORDS = (
 @_query(
     "op3_license_scan",
     f"""
-    WITH line_rows AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part,
-            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
-    runs AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM line_rows WHERE part <> ''),
-    units AS (SELECT doc_id, 0 AS line, coalesce(text, '') AS part FROM documents
-        UNION ALL SELECT doc_id, min(line), string_agg(part, chr(10) ORDER BY line) FROM runs GROUP BY doc_id, run HAVING count(*) > 1
-        UNION ALL SELECT doc_id, line, part FROM line_rows),
-    numbered AS (SELECT row_number() OVER () AS unit, doc_id, line, {_WORDS.format("part")} AS w FROM units),
-    grams AS (SELECT DISTINCT unit, doc_id, line, w[i] || ' ' || w[i + 1] AS gram
-        FROM (SELECT unit, doc_id, line, w, unnest(range(1, len(w))) AS i FROM numbered)),
-    sizes AS (SELECT unit, doc_id, line, count(*) AS a FROM grams GROUP BY ALL),
+    WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
     templates AS (SELECT name, {_WORDS.format("wording")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(name, wording)),
     template_grams AS (SELECT DISTINCT name, w[i] || ' ' || w[i + 1] AS gram
         FROM (SELECT name, w, unnest(range(1, len(w))) AS i FROM templates)),
-    template_sizes AS (SELECT name, count(*) AS b FROM template_grams GROUP BY name),
-    candidates AS (SELECT unit, doc_id, line, name, a, b FROM sizes JOIN template_sizes
-        ON least(a, b) * 12 >= 8 * greatest(a, b)),
-    shared AS (SELECT unit, name, count(*) AS common FROM grams JOIN template_grams USING (gram) GROUP BY ALL),
-    good AS (SELECT doc_id, name, common, a + b AS total, line,
-            row_number() OVER (PARTITION BY doc_id ORDER BY common / (a + b) DESC, name, line) AS rank
-        FROM candidates JOIN shared USING (unit, name) WHERE 20 * common >= 8 * (a + b)),
+    sizes AS (SELECT name, count(*) AS b, any_value(len(w) - 1) AS span FROM template_grams JOIN templates USING (name) GROUP BY name),
+    hits AS (SELECT doc_id, i, name FROM grams JOIN template_grams USING (gram)),
+    windows AS (SELECT doc_id, name, i, b, span,
+            count(*) OVER (PARTITION BY doc_id, name ORDER BY i RANGE BETWEEN CURRENT ROW AND (span - 1) FOLLOWING) AS shared
+        FROM hits JOIN sizes USING (name)),
+    candidates AS (SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY shared DESC, i) = 1
+        AND shared * 12 >= 8 * b),
+    inside AS (SELECT DISTINCT c.doc_id, c.name, c.i, c.b, g.gram FROM candidates c JOIN grams g
+        ON g.doc_id = c.doc_id AND g.i BETWEEN c.i AND c.i + c.span - 1),
+    good AS (SELECT doc_id, name, i, count(t.gram) AS common, count(*) + any_value(b) AS total
+        FROM inside s LEFT JOIN template_grams t USING (name, gram) GROUP BY doc_id, name, i
+        HAVING 20 * count(t.gram) >= 8 * (count(*) + any_value(b))),
+    best AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY common / total DESC, total DESC, name) = 1),
     compared AS (SELECT doc_id, count(*) AS n FROM candidates GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(n, 0) AS compared, name AS license, common, total, CAST(g.line AS BIGINT) AS line
-    FROM documents d LEFT JOIN compared c ON c.doc_id = d.doc_id LEFT JOIN good g ON g.doc_id = d.doc_id AND rank = 1
+    SELECT d.doc_id, coalesce(n, 0) AS compared, string_split(name, ' ')[1] AS license, name AS template, common, total,
+        CAST(i - 1 AS BIGINT) AS word
+    FROM d LEFT JOIN compared c ON c.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id
     """,
 )
 def license_query(spark: SparkSession, folder: str) -> DataFrame:

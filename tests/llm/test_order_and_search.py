@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from airgauge.llm import cover_tree, hilbert, licenses
+from airgauge.llm import cover_tree, hilbert, license_templates, licenses
 from airgauge.llm.queries import QUERIES
 from airgauge.session import fresh_folder, ship_package
 from tests.llm import cases
@@ -166,50 +166,96 @@ def test_search_prunes():
     assert np.allclose(search.scores, -np.sort(-scores, axis=1)[:, :5])
 
 
-def plain_licenses(texts, least=0.8):
+def plain_licenses(texts, templates, num=8, den=10):
+    """Every window of every template's length, by sets."""
+
     def grams(text):
         w = cases.words(text, cases.ALNUM)
-        return set(zip(w, w[1:]))
+        return list(zip(w, w[1:]))
 
-    templates = {name: grams(text) for name, text in licenses.TEMPLATES.items()}
+    known = [(name, grams(text)) for name, text in sorted(templates.items())]
     out = []
     for text in texts:
-        lines = (text or "").split("\n")
-        units = [(0, text or "")] + [(i + 1, x) for i, x in enumerate(lines)]
-        run: list = []
-        for i, line in enumerate([*lines, ""]):
-            if line:
-                run.append(i)
-            else:
-                if len(run) > 1:
-                    units.append((run[0] + 1, "\n".join(lines[run[0] : run[-1] + 1])))
-                run = []
+        own = grams(text)
         compared, best = 0, None
-        for number, unit in units:
-            a = grams(unit)
-            for name, b in templates.items():
-                if a and min(len(a), len(b)) * (2 - least) >= least * max(len(a), len(b)) - 1e-9:
-                    compared += 1
-                    common = len(a & b)
-                    if 2 * common >= least * (len(a) + len(b)) - 1e-9:
-                        key = (-2 * common / (len(a) + len(b)), name, number)
-                        if best is None or key < best[0]:
-                            best = (key, common, len(a) + len(b))
-        out.append((compared, *((best[0][1], best[1], best[2], best[0][2]) if best else (None,) * 4)))
+        for name, listed in known:
+            b = set(listed)
+            windows = [(-sum(g in b for g in own[i : i + len(listed)]), i) for i, g in enumerate(own) if g in b]
+            if not windows:
+                continue
+            shared, i = min(windows)
+            if -shared * (2 * den - num) < num * len(b):
+                continue
+            compared += 1
+            a = set(own[i : i + len(listed)])
+            common, total = len(a & b), len(a) + len(b)
+            key = (-common / total, -total, name)
+            if 2 * den * common >= num * total and (best is None or key < best[0]):
+                best = (key, name.split()[0], name, common, total, i)
+        out.append((compared, *(best[1:] if best else (None,) * 5)))
     return out
 
 
+SHORT = {name: text for name, text in license_templates.templates().items() if len(text) < 2500}
+
+
 def test_licenses_of_hard_texts():
     rng = random.Random(6)
     texts = [t for _, t in cases.hard_texts()[:14]]
-    for text in licenses.TEMPLATES.values():
+    for text in SHORT.values():
+        w = text.split()
+        texts += [text, f"intro words\n{text}\nmore", f"{text} {cases.sentence(rng, 3)} {text}", " ".join(w[len(w) // 2 :])]
+        texts += ["\r\n".join("# " + " ".join(w[i : i + 7]) for i in range(0, len(w), 7)), " ".join(x for x in w if rng.random() > 0.06)]
+    known = licenses.Templates.of(SHORT)
+    got = licenses.scan(pa.array(texts, pa.string()), known, licenses.LEAST)
+    assert got == plain_licenses(texts, SHORT)
+    assert got == [licenses.scan(pa.array([t], pa.string()), known, licenses.LEAST)[0] for t in texts]
+    assert licenses.scan(pa.array(["of the", None]), licenses.Templates.of({"x": "word"}), licenses.LEAST) == [licenses.NO_LICENSE] * 2
+
+
+GNU = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of {0} as published by the "
+    "Free Software Foundation; either version {1}, or (at your option) any later version. This program is distributed "
+    "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+    "or FITNESS FOR A PARTICULAR PURPOSE. See {0} for more details."
+)
+
+
+@pytest.mark.parametrize(
+    "license_, text",
+    [
+        ("AGPL-3.0", GNU.format("the GNU Affero General Public License", "3 of the License")),
+        ("GPL-2.0", GNU.format("the GNU General Public License", "2 of the License")),
+        ("GPL-3.0", GNU.format("the GNU General Public License", "3 of the License")),
+        ("LGPL-3.0", GNU.format("the GNU Lesser General Public License", "3 of the License").replace("program", "library")),
+        ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+        ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n" + SHORT["MIT text"]),
+        ("Apache-2.0", "See the manual, which is licensed under the Apache License, Version 2.0, and the notes that came with it."),
+        (None, "The license of the software is the one that the authors of the work released it under in that version."),
+    ],
+)
+def test_licenses_are_told_apart(license_, text):
+    known = licenses.Templates.of(license_templates.templates())
+    for form in (text, f"{text}\nand then much else was said about it", "\r\n".join(f" * {x}" for x in text.splitlines())):
+        assert licenses.scan(pa.array([form]), known, licenses.LEAST)[0][1] == license_
+
+
+def test_complete_texts_are_found():
+    """Each template inside a longer text, wrapped, commented and with words left out."""
+    known, rng = licenses.Templates.of(license_templates.templates()), random.Random(3)
+    for name, text in license_templates.templates().items():
         w = text.split()
-        texts += [text, text.upper(), f"intro words\n{text}\nmore", "\n\n".join([cases.sentence(rng, 9), text, "end"])]
-        texts += ["\n".join(" ".join(w[i : i + 7]) for i in range(0, len(w), 7)), " ".join(x for x in w if rng.random() > 0.06)]
-    got = licenses.scan(pa.array(texts, pa.string()), licenses.Templates.of(licenses.TEMPLATES), licenses.LEAST)
-    assert got == plain_licenses(texts)
-    alone = [licenses.scan(pa.array([t], pa.string()), licenses.Templates.of(licenses.TEMPLATES), licenses.LEAST)[0] for t in texts]
-    assert got == alone
+        wrapped = "\r\n".join("// " + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        forms = [f"{cases.sentence(rng, 40)} {text} {cases.sentence(rng, 40)}", wrapped]
+        if len(w) > 60:
+            forms.append(" ".join(x for x in w if rng.random() > 0.04))
+        got = licenses.scan(pa.array(forms), known, licenses.LEAST)
+        assert {r[1] for r in got} == {name.split()[0]}, name
 
 
 def test_license_scan_of_hard_documents(spark, tmp_path):
@@ -217,6 +263,6 @@ def test_license_scan_of_hard_documents(spark, tmp_path):
     rows = cases.hard_texts() + [(700, "Released under the MIT License.")]
     docs = cases.stored(spark, tmp_path, rows)
     got = licenses.license_scan(docs)
-    assert got.where(F.col("license") == "MIT").select("doc_id", "line").collect() == [(700, 0)]
+    assert got.where(F.col("license") == "MIT").select("doc_id", "word").collect() == [(700, 0)]
     assert cases.in_order(got.select("doc_id").collect()) == cases.in_order((d,) for d, _ in rows)
     assert licenses.license_scan(docs.limit(0)).count() == 0
