@@ -1,283 +1,438 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Contexts of one to ``DEPTH`` words are candidates if they make up a set share of all
-training tokens, so there are never more than the inverse of that share on one level;
-next words of a context are kept by the same rule. A context stays in the tree if the
-distribution of what follows it diverges from that of its longest proper suffix, or if a
-longer context needs it. A state's distribution hands the mass of all but its kept next
-words to the state of the next shorter suffix, down to add-one word frequencies. A token
-is scored by the longest suffix before it that is a state.
-
-Word counts have no such bound. Each chunk of documents sends its distinct words to be
-counted and gets their counts back, so no task and no broadcast holds the vocabulary.
+A context of one to ``DEPTH`` words is a candidate if the training texts hold it
+``LEAST_COUNT`` times, and so are the next words that follow it as often: absolute
+numbers, so whatever a small corpus keeps a larger one keeps as well. A context stays in the
+tree if the distribution of what follows it diverges from that of its longest proper
+suffix, or if a longer context that stays needs it. A state's distribution hands the mass
+of all but its kept next words to the state of the next shorter suffix, down to add-one word
+frequencies. A token is scored by the longest suffix before it that is a state.
+
+Documents are cut into chunks, which are stored once, bucketed, as token numbers. Level by
+level a chunk asks for the counts of its n-grams, of which only those can matter whose
+shorter parts are frequent. Questions are sorted keys, dealt by ranges of the key space;
+an answer is one number for each key in the order asked, so it needs no keys. A hot n-gram
+is one key of each chunk. The tree is a table; no task and no broadcast holds it.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgauge.llm.bytewise import NOT_SPACE, batches_by_bytes, word_hashes
-from airgauge.session import fresh_folder
+from airgauge.llm.bytewise import NOT_SPACE, batches_by_bytes, mixed, word_hashes
+from airgauge.session import fresh_folder, settle
 
 DEPTH = 3
-CONTEXT_SHARE = 1e-4
-NEXT_SHARE = 1e-5
 LEAST_COUNT = 4
 DIVERGENCE = 0.01  # nats
 PRIOR = 20.0  # tokens that a state leaves to the shorter suffix, besides its rare next words
 END = 0  # stands for a text's end among the word hashes
-_CHUNK_BITS = 11  # documents in a chunk, as a power of two
+CHUNK_BYTES = 8 << 20  # of text; a longer text is a chunk of its own
+_CHUNKS_PER_BLOCK = 4  # whose keys one task adds up, about
+_MOST_BUCKETS = 100_000
 _BATCH = 1 << 20
-_SYMBOLS = 20  # bits of a symbol in a key
+_KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)  # n-grams have keys of 56 bits, at the top
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's end included, and where each text's tokens begin."""
-    words, first = word_hashes(texts, NOT_SPACE)
-    return np.insert(words, first[1:], np.uint64(END)), first + np.arange(len(first))
+# ---------------------------------------------------------------- numbers as bytes
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of ``keys`` in the sorted ``table``, -1 where there is none."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[place] == keys, place, -1)
+def _unpack(raw: bytes) -> np.ndarray:
+    count = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * count, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _shifted(state: np.ndarray) -> np.ndarray:
-    """The state before each token."""
-    return np.concatenate([[-1], state[:-1]])
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _key(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return np.where((state >= 0) & (symbol >= 0), (state << _SYMBOLS) | symbol, -1)
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's end included, and where each text's tokens begin."""
+    words, first = word_hashes(texts, NOT_SPACE)
+    return np.insert(words, first[1:], np.uint64(END)), first + np.arange(len(first))
 
 
 @dataclass
 class Level:
-    """Contexts of one length: ``contexts`` and ``pairs`` are sorted keys."""
+    """N-grams of one length in a chunk: contexts of ``k`` words with their next words."""
+
+    at: np.ndarray  # tokens that are next words
+    row: np.ndarray  # key of each of them
+    keys: np.ndarray  # sorted, distinct
+    counts: np.ndarray  # in the chunk's training texts
+    context: np.ndarray  # of each key, among the contexts
+    word: np.ndarray  # next word of each key
+    some: np.ndarray  # a token of each key
+    state: np.ndarray  # context before each token, -1 for none
+    context_keys: np.ndarray
+    context_counts: np.ndarray
+    totals: np.ndarray | None = None  # in all training texts
+
+
+class Chunk:
+    """Tokens of some documents, as numbers of the chunk's own words."""
+
+    def __init__(self, doc_id: pa.Array, held_out: pa.Array, learned: np.ndarray, tokens: np.ndarray, first: np.ndarray):
+        self.doc_id, self.held_out, self.first, self._learned = doc_id, held_out, first, learned
+        self.vocabulary, ids = np.unique(tokens, return_inverse=True)
+        self.ids = ids.astype(np.int32)
+
+    def dumps(self) -> bytes:
+        raw = pickle.dumps(self, pickle.HIGHEST_PROTOCOL)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+    @staticmethod
+    def loads(raw: bytes) -> Chunk:
+        return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"))
+
+    @property
+    def learned(self) -> np.ndarray:
+        """1 for each token of a training text."""
+        return np.repeat(self._learned, np.diff(self.first)).astype(np.float64)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.ids, self.learned, minlength=len(self.vocabulary)).astype(np.int64)
+
+    def levels(self, answers: list[np.ndarray], least: int, depth: int) -> Iterator[Level]:
+        """The levels whose shorter n-grams are counted: ``answers`` are totals of words, then of each level's keys."""
+        ids, size, learned = self.ids, len(self.vocabulary), self.learned
+        inner = self.vocabulary[ids] != END  # no context runs over a text's end
+        frequent = answers[0][ids] >= least
+        state = np.where(frequent & inner, ids, -1).astype(np.int64)
+        context_keys, context_counts = self.vocabulary, answers[0]
+        for k in range(1, depth + 1):
+            before = np.concatenate([[-1], state[:-1]])
+            at = np.flatnonzero((before >= 0) & frequent)
+            pairs, first, inverse = np.unique(before[at] * size + ids[at], return_index=True, return_inverse=True)
+            context, word = pairs // size, pairs % size
+            hashed = mixed(context_keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[word]) & _KEY_BITS
+            keys, where, same = np.unique(hashed, return_index=True, return_inverse=True)
+            row = same[inverse]
+            counts = np.bincount(row, learned[at], minlength=len(keys)).astype(np.int64)
+            level = Level(
+                at, row, keys, counts, context[where], word[where], at[first[where]], before, context_keys, context_counts
+            )
+            if k == len(answers):
+                yield level
+                return
+            level.totals = answers[k]
+            yield level
+            good = level.totals[row] >= least
+            frequent = np.zeros(len(ids), bool)
+            frequent[at[good]] = True
+            state = np.full(len(ids), -1, np.int64)
+            ends = good & inner[at]
+            state[at[ends]] = row[ends]
+            context_keys, context_counts = keys, level.totals
+
+
+_CHUNKS = "chunk bigint, state binary"
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, number = TaskContext.get().partitionId(), 0
+    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def row() -> pa.RecordBatch:
+        whole = pa.Table.from_batches([x for x, _, _ in held])
+        starts = np.cumsum([0, *(len(w) for _, w, _ in held)])
+        first = np.concatenate([*(f[:-1] + s for (_, _, f), s in zip(held, starts)), starts[-1:]])
+        chunk = Chunk(
+            whole["doc_id"].combine_chunks(),
+            whole["held_out"].combine_chunks(),
+            whole["learned"].to_numpy(),
+            np.concatenate([w for _, w, _ in held]),
+            first,
+        )
+        columns = [pa.array([task << 32 | number], pa.int64()), pa.array([chunk.dumps()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "state"])
+
+    for batch in batches_by_bytes(batches, "text", _BATCH):
+        words, first = _tokens(batch.column("text"))
+        held.append((batch.select(["doc_id", "held_out", "learned"]), words, first))
+        size += batch.column("text").nbytes
+        if size >= CHUNK_BYTES:
+            yield row()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield row()
+
+
+# ---------------------------------------------------------------- questions and answers
+
+_ASKED = "level int, block int, chunk bigint, keys binary, counts binary"
+_ANSWERS = "level int, block int, chunk bigint, totals binary, first binary, kinds bigint, tokens bigint"
+
+
+def _questions(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray | None, bits: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's sorted keys, one row for each block of the key space that has any."""
+    block = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(keys)] if len(keys) else []
+    rows = []
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        n = None if counts is None else _pack(counts[low:high])
+        rows.append((level, int(block[low]), chunk, _pack_sorted(keys[low:high]), n))
+    names = [x.split()[0] for x in _ASKED.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    columns = [pa.array(list(x), kind) for x, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+    yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _counted(asked: pa.Table) -> pa.Table:
+    """Totals of all keys of a block, given back to each chunk in the order it asked; the first chunk
+    that has a key is told so. ``kinds`` and ``tokens`` of the block are on its first row."""
+    asked = asked.sort_by("chunk")
+    lists = [_unpack_sorted(x) for x in asked["keys"].to_pylist()]
+    counts = np.concatenate([_unpack(x) for x in asked["counts"].to_pylist()])
+    keys, where, inverse = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    totals = np.bincount(inverse, counts, minlength=len(keys)).astype(np.int64)
+    first = np.zeros(len(inverse), bool)
+    first[where] = True
+    ends = np.cumsum([len(x) for x in lists])
+    zeros = [0] * (len(lists) - 1)
+    return pa.table(
+        {
+            "level": asked["level"],
+            "block": asked["block"],
+            "chunk": asked["chunk"],
+            "totals": pa.array([_pack(totals[x]) for x in np.split(inverse, ends[:-1])], pa.binary()),
+            "first": pa.array([np.packbits(x).tobytes() for x in np.split(first, ends[:-1])], pa.binary()),
+            "kinds": pa.array([int((totals > 0).sum()), *zeros], pa.int64()),
+            "tokens": pa.array([int(totals.sum()), *zeros], pa.int64()),
+        }
+    )
 
-    contexts: np.ndarray
-    counts: np.ndarray  # how often each context occurs
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # (context, next symbol)
-    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    parent: np.ndarray | None = None
-    kept: np.ndarray | None = None
 
-    def mass(self) -> np.ndarray:
-        """Occurrences of each context that are followed by a kept next symbol."""
-        return np.bincount(self.pairs >> _SYMBOLS, self.pair_counts, minlength=len(self.contexts))
+def _looked_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Mass of the asked contexts of a block that are states, 0 for the others."""
+    names = held["context"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    names, mass = names[order], held["mass"].to_numpy()[order]
+    answers = []
+    for raw in asked["keys"].to_pylist():
+        keys = _unpack_sorted(raw)
+        found = np.zeros(len(keys), np.int64)
+        if len(names):
+            place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+            found = np.where(names[place] == keys, mass[place], 0)
+        answers.append(_pack(found))
+    nothing = pa.nulls(len(answers), pa.int64())
+    columns = {x: asked[x] for x in ("level", "block", "chunk")}
+    return pa.table(
+        {
+            **columns,
+            "totals": pa.array(answers, pa.binary()),
+            "first": pa.nulls(len(answers), pa.binary()),
+            "kinds": nothing,
+            "tokens": nothing,
+        }
+    )
 
 
-@dataclass
-class Tree:
-    words: np.ndarray  # sorted hashes of the frequent words; a word's symbol is its place
-    counts: np.ndarray
-    tokens: int
-    vocabulary: int
-    levels: list[Level] = field(default_factory=list)
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """Add-one probability of words of these counts."""
-        return (counts + 1.0) / (self.tokens + self.vocabulary + 1.0)
-
-    def symbols(self, words: np.ndarray) -> np.ndarray:
-        return _find(self.words, words)
-
-    def states(self, symbols: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each length the context that ends with each token; none runs over a text's end."""
-        inner = np.where(self.words[symbols] == END, -1, symbols) if len(self.words) else symbols
-        found = []
-        for level in self.levels[:depth]:
-            key = _key(_shifted(found[-1]), inner) if found else inner
-            state = np.full(len(symbols), -1, np.int64)
-            at = np.flatnonzero(key >= 0)
-            state[at] = _find(level.contexts, key[at])
-            found.append(state)
-        return found
-
-    def probabilities(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probability of each token after the longest suffix before it that is a state."""
-        p = self.root(counts)
-        for level, state in zip(self.levels, self.states(symbols, len(self.levels))):
-            state = _shifted(state)
-            at = np.flatnonzero(state >= 0)
-            at = at[level.kept[state[at]]]
-            p[at] = self._step(level, state[at], symbols[at], p[at])
-        return p
-
-    def _step(self, level: Level, state: np.ndarray, symbol: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        place = _find(level.pairs, _key(state, symbol))
-        seen = np.where(place >= 0, level.pair_counts[place], 0) if len(level.pairs) else np.zeros(len(state))
-        weight = level.counts[state] + PRIOR
-        return seen / weight + (1 - level.mass()[state] / weight) * shorter
-
-    def grow(self, pairs: np.ndarray, counts: np.ndarray, least: int) -> None:
-        """Give the deepest level its next symbols, and add the level of contexts that they make."""
-        order = np.argsort(pairs)
-        last = self.levels[-1]
-        last.pairs, last.pair_counts = pairs[order], counts[order]
-        longer = (last.pair_counts >= least) & (self.words[last.pairs & ((1 << _SYMBOLS) - 1)] != END)
-        self.levels.append(Level(last.pairs[longer], last.pair_counts[longer]))
-
-    def settle(self, divergence: float) -> None:
-        """Decide which contexts stay."""
-        mask = (1 << _SYMBOLS) - 1
-        shorter = None
-        for k, level in enumerate(self.levels):
-            symbol = level.contexts & mask
-            if k == 0:
-                level.parent = np.full(len(level.contexts), -1, np.int64)
-            elif k == 1:
-                level.parent = _find(self.levels[0].contexts, symbol)
-            else:
-                older = self.levels[k - 1].parent[level.contexts >> _SYMBOLS]
-                level.parent = _find(self.levels[k - 1].contexts, _key(older, symbol))
-            state, following = level.pairs >> _SYMBOLS, level.pairs & mask
-            base = self.root(self.counts[following])
-            for chain in self._chain(k, state):
-                at = np.flatnonzero(chain[1] >= 0)
-                base[at] = self._step(chain[0], chain[1][at], following[at], base[at])
-            count = len(level.contexts)
-            own = level.pair_counts / level.counts[state]
-            gain = np.bincount(state, own * np.log(own / base), minlength=count)
-            left = 1 - level.mass() / level.counts
-            other = 1 - np.bincount(state, base, minlength=count)
-            rest = np.where(left > 1e-12, left * np.log(np.maximum(left, 1e-12) / np.maximum(other, 1e-12)), 0.0)
-            level.kept = gain + rest >= divergence
-        for level, shorter in zip(self.levels[:0:-1], self.levels[-2::-1]):
-            shorter.kept[level.parent[level.kept]] = True
-
-    def _chain(self, k: int, state: np.ndarray) -> list[tuple[Level, np.ndarray]]:
-        """The shorter suffixes of level ``k``'s states, shortest first."""
-        found = []
-        for level in range(k, 0, -1):
-            state = np.where(state >= 0, self.levels[level].parent[state], -1) if len(state) else state
-            found.append((self.levels[level - 1], state))
-        return found[::-1]
-
-
-def _chunk_words(docs: DataFrame) -> DataFrame:
-    """(word, chunk, n) of the distinct tokens of each chunk; ``n`` counts those of training documents."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at = None
-
-        def chunk() -> pa.RecordBatch:
-            words, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([x for _, x in held]), minlength=len(words))
-            columns = [words.view(np.int64), np.full(len(words), at), n.astype(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["word", "chunk", "n"])
-
-        for batch in batches_by_bytes(batches, "text", _BATCH):
-            chunks = batch.column("chunk").to_numpy()
-            learned = batch.column("learned").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                if held and chunks[low] != at:
-                    yield chunk()
-                    held = []
-                at = int(chunks[low])
-                words, first = _tokens(batch.column("text").slice(low, high - low))
-                held.append((words, np.repeat(learned[low:high], np.diff(first)).astype(np.float64)))
-        if held:
-            yield chunk()
-
-    return docs.select("text", "chunk", "learned").mapInArrow(run, "word bigint, chunk bigint, n bigint")
-
-
-def _counted_pairs(docs: DataFrame, tree: Tree) -> DataFrame:
-    """(key, n): how often each frequent word follows each context of the deepest level."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    depth = len(tree.levels)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return distinct, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["key", "n"])
-
-        for batch in batches_by_bytes(batches, "text", _BATCH):
-            words, _ = _tokens(batch.column("text"))
-            symbols = shared.value.symbols(words)
-            state = shared.value.states(symbols, depth)[-1]
-            key = _key(_shifted(state), symbols)
-            found, n = np.unique(key[key >= 0], return_counts=True)
-            keys.append(found)
-            counts.append(n)
-            held += len(found)
-            if held > 1 << 21:
-                found, n = merged()
-                keys, counts, held = [found], [n], len(found)
-                if held > 1 << 20:
-                    yield rows()
-                    keys, counts, held = [], [], 0
-        if held:
-            yield rows()
-
-    found = docs.where("learned").select("text").mapInArrow(run, "key bigint, n bigint")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def learn(docs: DataFrame, counted: DataFrame, depth: int, context_share: float, next_share: float, least: int, divergence: float) -> Tree:
-    """The tree of ``docs`` (text, learned); ``counted`` has each word once for each chunk, with its count."""
-    first = counted.where(F.col("first") & (F.col("count") > 0))
-    totals = first.agg(F.sum("count"), F.count("*")).first()
-    tokens, vocabulary = int(totals[0] or 0), int(totals[1])
-    next_count = max(least, int(np.ceil(next_share * tokens)))
-    context_count = max(least, int(np.ceil(context_share * tokens)))
-    frequent = first.where((F.col("count") >= next_count) | (F.col("word") == END)).select("word", "count").collect()
-    words = np.array([x.word for x in frequent], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    counts = np.array([x["count"] for x in frequent], np.int64)[order]
-    tree = Tree(words[order], counts, tokens, vocabulary)
-    symbols = np.flatnonzero((counts >= context_count) & (tree.words != END))
-    tree.levels.append(Level(symbols, counts[symbols]))
-    for _ in range(depth):
-        if not len(tree.levels[-1].contexts):
-            break
-        pairs = _counted_pairs(docs, tree).where(F.col("n") >= next_count).collect()
-        tree.grow(np.array([x.key for x in pairs], np.int64), np.array([x.n for x in pairs], np.int64), context_count)
-    tree.levels.pop()  # contexts whose next words were not counted
-    tree.settle(divergence)
-    return tree
+def _answers(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Totals of words and levels, flags of first chunks, and masses (levels below zero), in the order asked."""
+    rows = rows.sort_by([("level", "ascending"), ("block", "ascending")])
+    totals: dict[int, list[np.ndarray]] = {}
+    first: dict[int, list[np.ndarray]] = {}
+    for level, raw, flags in zip(*(rows[x].to_pylist() for x in ("level", "totals", "first"))):
+        numbers = _unpack(raw).astype(np.int64)
+        totals.setdefault(level, []).append(numbers)
+        if flags is not None:
+            first.setdefault(level, []).append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(numbers)))
+    none = [np.zeros(0, np.int64)]
+    up = range(max(totals, default=0) + 1)
+    counted = [np.concatenate(totals.get(k, none)) for k in up]
+    flagged = [np.concatenate(first.get(k, none)).astype(bool) for k in up]
+    masses = [np.concatenate(totals.get(-k, none)) for k in range(1, 1 - min(totals, default=0))]
+    return counted, flagged, masses
+
+
+# ---------------------------------------------------------------- the tree
+
+_NOTES = (
+    "level int, context bigint, key bigint, parent bigint, suffix bigint, n bigint, c bigint, root bigint, "
+    "block int, chunk bigint, keys binary"
+)
 
 
+def _notes(chunk: Chunk, number: int, answers: list, first: list, least: int, depth: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """N-grams of the tree that this chunk is the first to hold, and questions for the masses of its contexts."""
+    names = [x.split()[0] for x in _NOTES.split(", ")]
+    lower: Level | None = None
+    lower_row = None
+    for k, level in enumerate(chunk.levels(answers, least, depth), 1):
+        own = np.flatnonzero((level.totals >= least) & first[k])
+        some = level.some[own]
+        context = level.context[own]
+        columns = [
+            np.full(len(own), k, np.int32),
+            level.context_keys[context].view(np.int64),
+            level.keys[own].view(np.int64),
+            np.zeros(len(own), np.int64) if lower is None else lower.keys[lower_row[some]].view(np.int64),
+            np.zeros(len(own), np.int64) if lower is None else lower.context_keys[lower.state[some]].view(np.int64),
+            level.totals[own],
+            level.context_counts[context],
+            answers[0][level.word[own]],
+        ]
+        nothing = [pa.nulls(len(own), x) for x in (pa.int32(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *nothing], names)
+
+        seen = np.unique(level.state[level.state >= 0])
+        for batch in _questions(-k, number, np.unique(level.context_keys[seen]), None, bits):
+            columns = [pa.nulls(batch.num_rows, pa.int64())] * 7
+            asked = [batch.column(x) for x in ("block", "chunk", "keys")]
+            yield pa.RecordBatch.from_arrays([batch.column("level"), *columns, *asked], names)
+        lower, lower_row = level, np.full(len(chunk.ids), -1, np.int64)
+        lower_row[level.at] = level.row
+
+
+def states(notes: DataFrame, tokens: int, kinds: int, depth: int, divergence: float) -> DataFrame:
+    """(level, context, mass) of the contexts that stay in the tree.
+
+    ``notes`` has each n-gram once: its ``key``, the ``parent`` key without the oldest word, its
+    ``context`` and the context's ``suffix``, the counts ``n`` and ``c`` of n-gram and context and that of the
+    next word, ``root``.
+    """
+    shorter, found = None, []
+    for k in range(1, depth + 1):
+        rows = notes.where(F.col("level") == k)
+        # A context may have very many next words, so their sum combines before the shuffle.
+        mass = rows.groupBy("context").agg(F.sum("n").alias("mass"))
+        base = (F.col("root") + 1) / F.lit(float(tokens + kinds + 1))
+        if shorter is not None:
+            rows = rows.join(shorter, F.col("parent") == F.col("shorter_key"))
+            base = F.col("shorter_p")
+        rows = rows.withColumn("base", base).join(mass, "context")
+        weight = F.col("c") + F.lit(PRIOR)
+        p = F.col("n") / weight + (1 - F.col("mass") / weight) * F.col("base")
+        rows = settle(rows.select("context", "suffix", "key", "n", "c", "mass", "base", p.alias("p")))
+        shorter = rows.select(F.col("key").alias("shorter_key"), F.col("p").alias("shorter_p"))
+        share = F.col("n") / F.col("c")
+        left, other = 1 - F.col("mass") / F.col("c"), 1 - F.col("expected")
+        tiny = F.lit(1e-12)
+        rest = F.when(left > tiny, left * F.log(left / F.greatest(other, tiny))).otherwise(0.0)
+        found.append(
+            rows.groupBy("context", "suffix", "c", "mass")
+            .agg(F.sum(share * F.log(share / F.col("base"))).alias("gain"), F.sum("base").alias("expected"))
+            .select("context", "suffix", "mass", (F.col("gain") + rest >= divergence).alias("apart"))
+        )
+    kept: list[DataFrame] = []
+    for k in range(depth, 0, -1):
+        rows = found[k - 1]
+        if kept:  # suffixes of longer states stay
+            needed = kept[-1].select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
+            rows = rows.join(needed, "context", "left").withColumn("apart", F.col("apart") | F.col("needed").isNotNull())
+        kept.append(settle(rows.where("apart").select(F.lit(k).alias("level"), "context", "suffix", "mass")))
+    union = kept[0]
+    for rows in kept[1:]:
+        union = union.unionByName(rows)
+    return union.drop("suffix")
+
+
+# ---------------------------------------------------------------- scores
+
 SCORES = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double"
 )
 
 
+def _scores(chunk: Chunk, answers: list, masses: list, tokens: int, kinds: int, least: int, depth: int) -> pa.Table:
+    counts = answers[0][chunk.ids]
+    p = (counts + 1.0) / (tokens + kinds + 1.0)
+    base = np.log10(p)
+    for level, mass in zip(chunk.levels(answers, least, depth), masses):
+        asked = np.unique(level.context_keys[np.unique(level.state[level.state >= 0])])
+        at = np.flatnonzero(level.state >= 0)
+        context = level.state[at]
+        held = mass[np.searchsorted(asked, level.context_keys[context])]
+        at, context, held = at[held > 0], context[held > 0], held[held > 0]
+        seen = np.zeros(len(chunk.ids), np.int64)
+        seen[level.at] = np.where(level.totals >= least, level.totals, 0)[level.row]
+        weight = level.context_counts[context] + PRIOR
+        p[at] = seen[at] / weight + (1 - held / weight) * p[at]
+    begin = chunk.first[:-1]
+    columns = [
+        chunk.doc_id,
+        chunk.held_out,
+        pa.array(np.diff(chunk.first)),
+        pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)),
+        pa.array(np.full(len(begin), tokens, np.int64)),
+        pa.array(np.add.reduceat(base, begin)),
+        pa.array(np.add.reduceat(np.log10(p), begin)),
+    ]
+    return pa.table(dict(zip((x.split()[0] for x in SCORES.split(", ")), columns)))
+
+
+class _Store:
+    """Chunks as a bucketed table, so that answers find them without moving them again."""
+
+    def __init__(self, spark: SparkSession, rows: DataFrame):
+        self.spark, self.name = spark, f"airgauge_chunks_{uuid.uuid4().hex}"
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(_MOST_BUCKETS, max(parts, -(-size // CHUNK_BYTES)))
+        chunks = rows.mapInArrow(_chunks, _CHUNKS)
+        writer = chunks.write.bucketBy(buckets, "chunk").option("path", fresh_folder(spark, "chunks"))
+        writer.option("compression", "none").saveAsTable(self.name)
+        self.table = spark.table(self.name)
+        self.bits = max(0, (-(-self.table.count() // _CHUNKS_PER_BLOCK) - 1).bit_length())
+
+    def each(self, function, answers: DataFrame, schema: str) -> DataFrame:
+        """``function`` of each chunk and its answers."""
+
+        def run(chunk: pa.Table, held: pa.Table) -> pa.Table:
+            if not chunk.num_rows:
+                return pa.table({})
+            state = Chunk.loads(chunk["state"][0].as_py())
+            return function(state, chunk["chunk"][0].as_py(), *_answers(held))
+
+        return self.table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def suffix_scores(
     docs: DataFrame,
     folds: int = 7,
     held: int = 2,
     depth: int = DEPTH,
-    context_share: float = CONTEXT_SHARE,
-    next_share: float = NEXT_SHARE,
     least: int = LEAST_COUNT,
     divergence: float = DIVERGENCE,
 ) -> DataFrame:
     """Base and tree scores (log10) of every document (``doc_id``, ``text``).
 
     The model learns from documents whose crc32 of the id is not ``held`` modulo
-    ``folds``; null ids are neither learned from nor held out. Null texts are empty and
-    have their end as only token. Repeated rows are learned from and scored each. Other
-    columns are ignored. ``docs`` must be a stored table, which gives the same rows in the
-    same place each time it is read.
+    ``folds``; null ids are neither learned from nor held out. Contexts, and their next
+    words, need ``least`` occurrences in these, however many documents there are, and
+    contexts a divergence of ``divergence`` nats. Null texts are empty and have their end as only
+    token. Repeated rows are learned from and scored each. Other columns are ignored. A text is
+    scored whole, by one task.
     """
     spark = docs.sparkSession
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
@@ -286,56 +441,60 @@ def suffix_scores(
         F.col("text").cast("string"),
         F.coalesce(remainder != held, F.lit(False)).alias("learned"),
         F.coalesce(remainder == held, F.lit(False)).alias("held_out"),
-        F.shiftright(F.monotonically_increasing_id(), _CHUNK_BITS).alias("chunk"),
     )
-    folder = fresh_folder(spark, "words")
-    word = Window.partitionBy("word")
-    _chunk_words(rows).select(
-        "word",
-        "chunk",
-        F.sum("n").over(word).alias("count"),
-        (F.min("chunk").over(word) == F.col("chunk")).alias("first"),
-    ).write.parquet(folder)
-    counted = spark.read.parquet(folder)
-    tree = learn(rows, counted, depth, context_share, next_share, least, divergence)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        model = shared.value
-        known = words.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, count = known[order], words.column("count").to_numpy()[order]
-        symbol = model.symbols(known)
-        parts = []
-        for batch in batches_by_bytes(texts.combine_chunks().to_batches(), "text", _BATCH):
-            tokens, first = _tokens(batch.column("text"))
-            place = np.searchsorted(known, tokens)
-            counts = count[place]
-            base = np.log10(model.root(counts))
-            tree_score = np.log10(model.probabilities(symbol[place], counts))
-            begin, n = first[:-1], batch.num_rows
-            columns = [
-                batch.column("doc_id"),
-                batch.column("held_out"),
-                pa.array(np.diff(first)),
-                pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)),
-                pa.array(np.full(n, model.tokens, np.int64)),
-                pa.array(np.add.reduceat(base, begin)),
-                pa.array(np.add.reduceat(tree_score, begin)),
-            ]
-            parts.append(pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")]))
-        return pa.Table.from_batches(parts) if parts else _no_scores
-
-    scored = rows.select("chunk", "doc_id", "text", "held_out").groupBy("chunk")
-    return scored.cogroup(counted.select("chunk", "word", "count").groupBy("chunk")).applyInArrow(score, SCORES)
-
-
-_no_scores = pa.table(
-    {
-        name: pa.array([], kind)
-        for name, kind in zip(
-            (x.split()[0] for x in SCORES.split(", ")),
-            (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()),
-        )
-    }
-)
+    store = _Store(spark, rows)
+    bits = store.bits
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        folder = fresh_folder(spark, label)
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, raw in zip(*(batch.column(x).to_pylist() for x in ("chunk", "state"))):
+                chunk = Chunk.loads(raw)
+                yield from _questions(0, number, chunk.vocabulary, chunk.word_counts(), bits)
+
+    def counted(asked: DataFrame) -> DataFrame:
+        return written(asked.groupBy("block").applyInArrow(_counted, _ANSWERS), "counted")
+
+    answers = counted(store.table.mapInArrow(words, _ASKED))
+    seen = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    tokens, kinds = int(seen[0]), int(seen[1])
+
+    def ask(chunk: Chunk, number: int, totals: list, first: list, masses: list) -> pa.Table:
+        *_, level = chunk.levels(totals, least, depth)
+        return pa.Table.from_batches(_questions(len(totals), number, level.keys, level.counts, bits))
+
+    for _ in range(depth):
+        answers = answers.unionByName(counted(store.each(ask, answers, _ASKED)))
+
+    def note(chunk: Chunk, number: int, totals: list, first: list, masses: list) -> pa.Table:
+        padded = _padded(chunk, totals, first, least, depth)
+        return pa.Table.from_batches(list(_notes(chunk, number, *padded, least, depth, bits)))
+
+    notes = written(store.each(note, answers, _NOTES), "notes")
+    tree = states(notes.where("key IS NOT NULL"), tokens, kinds, depth, divergence)
+    block = F.expr(f"cast(shiftrightunsigned(context, {64 - bits}) AS int)") if bits else F.lit(0)
+    tree = tree.select((-F.col("level")).alias("level"), block.alias("block"), "context", "mass")
+    asked = notes.where("key IS NULL").select("level", "block", "chunk", "keys")
+    found = asked.groupBy("level", "block").cogroup(tree.groupBy("level", "block")).applyInArrow(
+        lambda a, t: _looked_up(a, t) if a.num_rows else pa.table({}), _ANSWERS
+    )
+    answers = answers.unionByName(written(found, "masses"))
+
+    def score(chunk: Chunk, number: int, totals: list, first: list, masses: list) -> pa.Table:
+        totals, first = _padded(chunk, totals, first, least, depth)
+        masses = [*masses, *[np.zeros(0, np.int64)] * (depth - len(masses))]
+        return _scores(chunk, totals, masses, tokens, kinds, least, depth)
+
+    scores = written(store.each(score, answers, SCORES), "scores")
+    store.drop()
+    return scores
+
+
+def _padded(chunk: Chunk, totals: list, first: list, least: int, depth: int) -> tuple[list, list]:
+    """Answers of all levels; a chunk without n-grams of some length asked nothing there."""
+    missing = depth + 1 - len(totals)
+    return [*totals, *[np.zeros(0, np.int64)] * missing], [*first, *[np.zeros(0, bool)] * missing]
