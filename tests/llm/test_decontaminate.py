@@ -65,8 +65,10 @@ def test_hard_documents(spark, tmp_path, monkeypatch):
     docs = cases.stored(spark, tmp_path, rows)
     benchmark = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id bigint, text string, words string")
     want = plain(rows, items)
-    for block_words in (decontaminate.BLOCK_WORDS, 1):  # all items at once, and each in a block of its own
+    # All items at once, each in a block of its own, and each in a pass of its own.
+    for block_words, pass_bytes in ((decontaminate.BLOCK_WORDS, 1 << 20), (1, 1 << 20), (1, 1)):
         monkeypatch.setattr(decontaminate.phrase_blocks, "__defaults__", (10, block_words))
+        monkeypatch.setattr(decontaminate._passes, "__defaults__", (pass_bytes,))
         got = decontaminate.contamination(docs, benchmark).collect()
         assert cases.in_order((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == cases.in_order(want)
     texts: dict = {}
