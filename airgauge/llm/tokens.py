@@ -5,13 +5,15 @@ are the ids of its pieces in order. A piece of ASCII letters, digits and signs i
 cut further where these kinds meet, as the tokenizer itself does there; anything
 else (with an apostrophe, ``<`` or a longer character) stays whole up to the next
 white space. Novel pieces of letters go to the tokenizer's model, all other ones
-to the whole tokenizer.
+to the whole tokenizer. A tokenizer that prepares its texts in any other way is asked for
+whole texts.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 
 import numpy as np
@@ -36,6 +38,31 @@ _SLOTS = 1 << 22
 _IDS = 1 << 24  # kept ids; beyond that the store is emptied, which changes no result
 
 
+# How a tokenizer file says that it lower-cases texts and cuts them into words as above.
+_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUTS = [
+    {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def works_on_words(tokenizer) -> bool:
+    """Whether a text's ids are those of its pieces in order, so that pieces may be encoded one by one."""
+    said = json.loads(tokenizer.to_str())
+    return (
+        (said["normalizer"] or {}).get("normalizers") == _NORMALIZER
+        and (said["pre_tokenizer"] or {}).get("pretokenizers") == _CUTS
+        and said["post_processor"] is None
+        and said["model"].get("end_of_word_suffix") is not None
+        and not any(x["normalized"] or x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
+    )
+
+
 class PieceEncoder:
     """Encodes batches of texts; keeps the ids of the pieces that it has seen."""
 
@@ -43,6 +70,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = works_on_words(self._tokenizer)
         # Byte-level models see each byte as a visible character, numbered on from 256 where it has none.
         seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [x for x in range(256) if x not in seen]
@@ -78,6 +106,8 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after the other, and where each text's ids begin and the last end."""
+        if not self.by_pieces:
+            return self._encode_whole(texts)
         if self._used > _IDS:
             self._empty()
         data, text_starts, _ = joined(texts)
@@ -113,6 +143,13 @@ class PieceEncoder:
         return ids, bounds[per_text(starts, text_starts)]
 
 
+    def _encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self._tokenizer.encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)
+        ids = [np.array(x.ids, np.uint32) for x in found]
+        bounds = np.cumsum([0, *map(len, ids)])
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), bounds
+
+
 @functools.cache
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker process."""

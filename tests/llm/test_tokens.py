@@ -52,6 +52,23 @@ def test_any_texts(texts):
     assert encoded(texts) == [plain_ids(tokenizer, t)[:-1] for t in texts]
 
 
+def test_other_tokenizers_get_whole_texts():
+    """A file that keeps case and white space is not cut into pieces."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = PieceEncoder(path)
+    assert PieceEncoder(public_tokenizers.path("word_bpe_49k.json")).by_pieces and not other.by_pieces
+    texts = [t for _, t in cases.hard_texts()[:14]] + ["  Two  Spaces\n", "it's <|endoftext|>"]
+    ids, bounds = other.encode(pa.array(texts, pa.string()))
+    plain = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    assert other.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def test_a_full_store_changes_nothing(monkeypatch, tokenizer):
     monkeypatch.setattr("airgauge.llm.tokens._IDS", 50)
     small, rng = PieceEncoder(tokenizer_path()), random.Random(2)
