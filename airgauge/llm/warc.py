@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgauge.llm.bytewise import batches_by_bytes
-from airgauge.session import fresh_folder, settle
+from airgauge.session import broadcast_if_small, fresh_folder, settle
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: A skippable frame of one byte, which the writer's line feed fills.
 _TAIL = (0x184D2A50).to_bytes(4, "little") + (1).to_bytes(4, "little")
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_BYTES = 4 << 20
+SAMPLE_BYTES = 4 << 20  # of an archive's records, that its dictionary is trained on
+SAMPLE_RECORD_BYTES = 64 << 10  # of one of them
 ARCHIVE_BYTES = 16 << 20  # payload in an archive, before compression
 LEVEL = 3
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
@@ -72,18 +73,25 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES):
-    """A dictionary from records spread evenly over ``records``; None if they are too few or too small."""
+    """A dictionary of at most ``size`` bytes; None if there are no records.
+
+    It is trained on a bounded sample: the records at every n-th place, n the smallest that gives
+    about ``sample`` bytes, and of each no more than ``SAMPLE_RECORD_BYTES``. Records too few or too
+    small to train on are its content as they are. The sample decides about sizes only;
+    every record is written whole.
+    """
     import zstandard
 
     total = sum(map(len, records))
     step = max(1, -(-total // sample))
-    chosen = [x[: 64 << 10] for x in records[::step]]
-    if len(chosen) < 8:
+    chosen = [x[:SAMPLE_RECORD_BYTES] for x in records[::step]]
+    if not chosen:
         return None
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, chosen)) // 8)), chosen)
     except zstandard.ZstdError:
-        return None
+        content = b"".join(chosen)[-size:]
+        return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes]) -> bytes:
@@ -128,8 +136,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
 
     Of records with equal payloads of at least ``least`` bytes, that of the largest
     page_id (of the last place, if rows repeat) is a response and the others revisit it.
-    The largest is found by combining before the shuffle, and payloads are dealt by the
-    row's place, so a payload that most pages share meets in no task. Null html is empty;
+    The largest is found by combining before the shuffle, and payloads stay with their
+    rows or are dealt by the row's place, so a payload that most pages share meets in no task. Null html is empty;
     null page ids sort first; an empty table gives no record; other columns are ignored.
     """
 
@@ -168,7 +176,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
         .where(F.col("place") != F.col("last.place"))
         .select("place", F.col("last.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
     )
-    known = rows.join(revisits, "place", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    # Payloads stay where they are if the revisits are few enough to be sent to them.
+    known = rows.join(broadcast_if_small(settle(revisits)), "place", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
     (
         known.select("page_id", "url", "html", "refers_to", "revisit")
         .mapInArrow(run, "archive binary")

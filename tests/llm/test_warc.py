@@ -84,3 +84,14 @@ def test_a_cut_record_is_an_error():
     raw = warc.record(1, "u", b"payload", "D", None, False)
     with pytest.raises(ValueError):
         warc.parse(raw[:-5])
+
+
+def test_short_and_large_archives_have_a_dictionary():
+    """One record, a few, and more bytes than the sample holds."""
+    for payloads in ([b"x" * 9], [b"<p>row</p>" * 3] * 5, [bytes([i % 251]) * 70_000 + str(i).encode() for i in range(90)]):
+        made = [warc.record(i, "http://a/", x, warc.payload_digest(x), None, False) for i, x in enumerate(payloads)]
+        data = warc.archive(made) + b"\n"
+        size = int.from_bytes(data[4:8], "little")
+        assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC and 0 < size <= warc.DICTIONARY_BYTES
+        assert list(warc.records(data)) == made
+    assert list(warc.records(warc.archive([]) + b"\n")) == []
