@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgauge.llm.bytewise import NOT_SPACE, batches_by_bytes, mixed, word_hashes
-from airgauge.session import fresh_folder, settle
+from airgauge.session import fresh_folder
 
 DEPTH = 3
 LEAST_COUNT = 4
@@ -66,6 +66,28 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw), dtype=np.uint64)
 
 
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the first place of each, and which value stands at each place."""
+    count = len(numbers)
+    if not count:
+        nothing = np.zeros(0, np.int64)
+        return numbers, nothing, nothing
+    width = count.bit_length()
+    if int(numbers.max()).bit_length() + width <= 64:  # value and place fit one number, which sorts fast
+        packed = (numbers.astype(np.uint64) << np.uint64(width)) | np.arange(count, dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << width) - 1)).astype(np.int64)
+        ordered = (packed >> np.uint64(width)).astype(numbers.dtype)
+    else:
+        order = np.argsort(numbers, kind="stable")
+        ordered = numbers[order]
+    new = np.ones(count, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(count, np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -87,10 +109,16 @@ class Level:
     word: np.ndarray  # next word of each key
     some: np.ndarray  # a token of each key
     state: np.ndarray  # context before each token, -1 for none
-    context_keys: np.ndarray
+    context_keys: np.ndarray  # sorted
     context_counts: np.ndarray
     totals: np.ndarray | None = None  # in all training texts
 
+    def seen(self) -> np.ndarray:
+        """The contexts that stand before some token, in the order of their keys."""
+        some = np.zeros(len(self.context_keys), bool)
+        some[self.state[self.state >= 0]] = True
+        return np.flatnonzero(some)
+
 
 class Chunk:
     """Tokens of some documents, as numbers of the chunk's own words."""
@@ -126,10 +154,10 @@ class Chunk:
         for k in range(1, depth + 1):
             before = np.concatenate([[-1], state[:-1]])
             at = np.flatnonzero((before >= 0) & frequent)
-            pairs, first, inverse = np.unique(before[at] * size + ids[at], return_index=True, return_inverse=True)
+            pairs, first, inverse = _distinct(before[at] * size + ids[at])
             context, word = pairs // size, pairs % size
             hashed = mixed(context_keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[word]) & _KEY_BITS
-            keys, where, same = np.unique(hashed, return_index=True, return_inverse=True)
+            keys, where, same = _distinct(hashed)
             row = same[inverse]
             counts = np.bincount(row, learned[at], minlength=len(keys)).astype(np.int64)
             level = Level(
@@ -208,7 +236,7 @@ def _counted(asked: pa.Table) -> pa.Table:
     asked = asked.sort_by("chunk")
     lists = [_unpack_sorted(x) for x in asked["keys"].to_pylist()]
     counts = np.concatenate([_unpack(x) for x in asked["counts"].to_pylist()])
-    keys, where, inverse = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    keys, where, inverse = _distinct(np.concatenate(lists))
     totals = np.bincount(inverse, counts, minlength=len(keys)).astype(np.int64)
     first = np.zeros(len(inverse), bool)
     first[where] = True
@@ -274,7 +302,7 @@ def _answers(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[n
 # ---------------------------------------------------------------- the tree
 
 _NOTES = (
-    "level int, context bigint, key bigint, parent bigint, suffix bigint, n bigint, c bigint, root bigint, "
+    "level int, context bigint, key bigint, parent bigint, n bigint, c bigint, root bigint, "
     "block int, chunk bigint, keys binary"
 )
 
@@ -286,71 +314,76 @@ def _notes(chunk: Chunk, number: int, answers: list, first: list, least: int, de
     lower_row = None
     for k, level in enumerate(chunk.levels(answers, least, depth), 1):
         own = np.flatnonzero((level.totals >= least) & first[k])
-        some = level.some[own]
-        context = level.context[own]
+        word, context = level.word[own], level.context[own]
+        parent = chunk.vocabulary[word] if lower is None else lower.keys[lower_row[level.some[own]]]
         columns = [
             np.full(len(own), k, np.int32),
             level.context_keys[context].view(np.int64),
             level.keys[own].view(np.int64),
-            np.zeros(len(own), np.int64) if lower is None else lower.keys[lower_row[some]].view(np.int64),
-            np.zeros(len(own), np.int64) if lower is None else lower.context_keys[lower.state[some]].view(np.int64),
+            parent.view(np.int64),
             level.totals[own],
             level.context_counts[context],
-            answers[0][level.word[own]],
+            answers[0][word] if lower is None else np.zeros(len(own), np.int64),
         ]
         nothing = [pa.nulls(len(own), x) for x in (pa.int32(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *nothing], names)
 
-        seen = np.unique(level.state[level.state >= 0])
-        for batch in _questions(-k, number, np.unique(level.context_keys[seen]), None, bits):
-            columns = [pa.nulls(batch.num_rows, pa.int64())] * 7
+        for batch in _questions(-k, number, level.context_keys[level.seen()], None, bits):
+            columns = [pa.nulls(batch.num_rows, pa.int64())] * 6
             asked = [batch.column(x) for x in ("block", "chunk", "keys")]
             yield pa.RecordBatch.from_arrays([batch.column("level"), *columns, *asked], names)
         lower, lower_row = level, np.full(len(chunk.ids), -1, np.int64)
         lower_row[level.at] = level.row
 
 
-def states(notes: DataFrame, tokens: int, kinds: int, depth: int, divergence: float) -> DataFrame:
+def states(notes: DataFrame, tokens: int, kinds: int, depth: int, divergence: float, written) -> DataFrame:
     """(level, context, mass) of the contexts that stay in the tree.
 
-    ``notes`` has each n-gram once: its ``key``, the ``parent`` key without the oldest word, its
-    ``context`` and the context's ``suffix``, the counts ``n`` and ``c`` of n-gram and context and that of the
-    next word, ``root``.
+    ``notes`` has each n-gram once: its ``key``, its ``context``, the ``parent`` key without the oldest word (for
+    n-grams of two words the next word itself), the counts ``n`` and ``c`` of n-gram and context, and on level 1 that
+    of the next word, ``root``. ``written`` stores what a name is given to.
     """
     shorter, found = None, []
     for k in range(1, depth + 1):
         rows = notes.where(F.col("level") == k)
-        # A context may have very many next words, so their sum combines before the shuffle.
+        if shorter is None:
+            rows = rows.withColumn("base", (F.col("root") + 1) / F.lit(float(tokens + kinds + 1)))
+        else:
+            rows = rows.select("context", "key", "parent", "n", "c").join(shorter, "parent")
+        # By context once, for the sums and for what is done with them.
+        rows = rows.select("context", "key", "n", "c", "base").repartition("context")
         mass = rows.groupBy("context").agg(F.sum("n").alias("mass"))
-        base = (F.col("root") + 1) / F.lit(float(tokens + kinds + 1))
-        if shorter is not None:
-            rows = rows.join(shorter, F.col("parent") == F.col("shorter_key"))
-            base = F.col("shorter_p")
-        rows = rows.withColumn("base", base).join(mass, "context")
         weight = F.col("c") + F.lit(PRIOR)
         p = F.col("n") / weight + (1 - F.col("mass") / weight) * F.col("base")
-        rows = settle(rows.select("context", "suffix", "key", "n", "c", "mass", "base", p.alias("p")))
-        shorter = rows.select(F.col("key").alias("shorter_key"), F.col("p").alias("shorter_p"))
+        if k < depth:
+            scored = rows.join(mass, "context").select(F.col("key").alias("parent"), p.alias("base"))
+            shorter = written(scored, f"level-{k}")
         share = F.col("n") / F.col("c")
+        sums = rows.groupBy("context", "c").agg(
+            F.sum("n").alias("mass"),
+            F.sum(share * F.log(share / F.col("base"))).alias("gain"),
+            F.sum("base").alias("expected"),
+        )
         left, other = 1 - F.col("mass") / F.col("c"), 1 - F.col("expected")
         tiny = F.lit(1e-12)
         rest = F.when(left > tiny, left * F.log(left / F.greatest(other, tiny))).otherwise(0.0)
-        found.append(
-            rows.groupBy("context", "suffix", "c", "mass")
-            .agg(F.sum(share * F.log(share / F.col("base"))).alias("gain"), F.sum("base").alias("expected"))
-            .select("context", "suffix", "mass", (F.col("gain") + rest >= divergence).alias("apart"))
-        )
+        apart = (F.col("gain") + rest >= divergence).alias("apart")
+        found.append(written(sums.select("context", "mass", apart), f"contexts-{k}"))
     kept: list[DataFrame] = []
     for k in range(depth, 0, -1):
         rows = found[k - 1]
-        if kept:  # suffixes of longer states stay
-            needed = kept[-1].select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
+        if kept:
+            # Suffixes of longer states stay: a context of k + 1 words is an n-gram of level k, and its parent the suffix.
+            longer = kept[-1].select(F.col("context").alias("key"))
+            needed = notes.where(F.col("level") == k).select("key", "parent").join(longer, "key")
+            needed = needed.select(F.col("parent").alias("context")).distinct().withColumn("needed", F.lit(True))
             rows = rows.join(needed, "context", "left").withColumn("apart", F.col("apart") | F.col("needed").isNotNull())
-        kept.append(settle(rows.where("apart").select(F.lit(k).alias("level"), "context", "suffix", "mass")))
+        states_ = rows.where("apart").select(F.lit(k).alias("level"), "context", "mass")
+        kept.append(written(states_, f"states-{k}"))
     union = kept[0]
     for rows in kept[1:]:
         union = union.unionByName(rows)
-    return union.drop("suffix")
+    return union
 
 
 # ---------------------------------------------------------------- scores
@@ -366,11 +399,12 @@ def _scores(chunk: Chunk, answers: list, masses: list, tokens: int, kinds: int,
     p = (counts + 1.0) / (tokens + kinds + 1.0)
     base = np.log10(p)
     for level, mass in zip(chunk.levels(answers, least, depth), masses):
-        asked = np.unique(level.context_keys[np.unique(level.state[level.state >= 0])])
+        masses_of = np.zeros(len(level.context_keys), np.int64)
+        masses_of[level.seen()] = mass
         at = np.flatnonzero(level.state >= 0)
+        at = at[masses_of[level.state[at]] > 0]
         context = level.state[at]
-        held = mass[np.searchsorted(asked, level.context_keys[context])]
-        at, context, held = at[held > 0], context[held > 0], held[held > 0]
+        held = masses_of[context]
         seen = np.zeros(len(chunk.ids), np.int64)
         seen[level.at] = np.where(level.totals >= least, level.totals, 0)[level.row]
         weight = level.context_counts[context] + PRIOR
@@ -475,7 +509,7 @@ def suffix_scores(
         return pa.Table.from_batches(list(_notes(chunk, number, *padded, least, depth, bits)))
 
     notes = written(store.each(note, answers, _NOTES), "notes")
-    tree = states(notes.where("key IS NOT NULL"), tokens, kinds, depth, divergence)
+    tree = states(notes.where("key IS NOT NULL"), tokens, kinds, depth, divergence, written)
     block = F.expr(f"cast(shiftrightunsigned(context, {64 - bits}) AS int)") if bits else F.lit(0)
     tree = tree.select((-F.col("level")).alias("level"), block.alias("block"), "context", "mass")
     asked = notes.where("key IS NULL").select("level", "block", "chunk", "keys")
