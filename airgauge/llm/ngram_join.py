@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from airgauge.llm.bytewise import NOT_SPACE, batches_by_bytes, mixed, ragged, word_hashes
 from airgauge.llm.components import connected
 from airgauge.llm.tables import COUNTERS, collected, counter_rows, sketch, summed
-from airgauge.session import fresh_folder, settle
+from airgauge.operators.running import ONE_TASK_ROWS, running_totals
+from airgauge.session import broadcast_if_small, fresh_folder, settle
 
 SHINGLE = 3
 SIMILARITY = (90, 100)
 COUNTER_BITS = 22  # of the table of shingle counters
 FILTER_BITS = 20  # of the filter of documents to verify
 SIGNATURE = 512  # bits, at least
+LARGE = 512  # rows of a bucket that one task compares
 _BATCH = 1 << 20
 
 
@@ -190,18 +192,91 @@ def _shared_buckets(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{name} bigint" for name in _SHARED))
 
 
-def _cross_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of a bucket's groups that can be similar and whose ``comp`` differs."""
+def _differing(one: np.ndarray, i: np.ndarray, two: np.ndarray, j: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Distinct pairs of heads, of rows ``i`` and ``j`` that can be similar and whose ``comp`` differs.
+
+    Tables have the columns token, pos, n, comp and head.
+    """
+    apart = one[i, 3] != two[j, 3]
+    i, j = i[apart], j[apart]
+    ok = _may_match(one[i, 2], one[i, 1], two[j, 2], two[j, 1], similarity)
+    return np.unique(np.sort(np.stack([one[i[ok], 4], two[j[ok], 4]], axis=1), axis=1), axis=0)
+
+
+_ROW = ("token", "pos", "n", "comp", "head")
+
+
+def _table(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy() for k in _ROW], axis=1)
+
+
+def _cross_pairs(rows: DataFrame, similarity: tuple[int, int], large: int | None = None) -> DataFrame:
+    """Pairs of a bucket's groups that can be similar and whose ``comp`` differs.
+
+    Buckets of up to ``large`` rows are compared by the task that has them. Larger ones
+    are cut into blocks, and pairs of blocks meet in tasks of their own.
+    """
+    large = LARGE if large is None else large
+    sizes = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most")
+    )
+    hot = settle(sizes.where((F.col("rows") > large) & (F.col("least") < F.col("most"))).select("token", "rows"))
+    total = hot.agg(F.sum("rows")).first()[0]
+    if not total:
+        return _small_bucket_pairs(rows, similarity).distinct()
+    tokens = broadcast_if_small(hot.select("token"))
+    small = _small_bucket_pairs(rows.join(tokens, "token", "left_anti"), similarity)
+    blocks = _block_pairs(settle(rows.join(tokens, "token", "left_semi")), similarity, large, total > ONE_TASK_ROWS)
+    return small.unionAll(blocks).distinct()
+
+
+def _block_pairs(rows: DataFrame, similarity: tuple[int, int], size: int, sliced: bool) -> DataFrame:
+    """Pairs of large buckets: those of each row outside the bucket's largest component with all rows.
+
+    Rows are ranked by their size within the bucket and cut into blocks of ``size``;
+    only blocks whose sizes can be similar meet.
+    """
+    num, den = similarity
+    counts = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    top = counts.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("top"))
+    marked = settle(rows.join(top, "token").withColumn("other", F.col("comp") != F.col("top")).drop("top"))
+
+    def in_blocks(part: DataFrame) -> DataFrame:
+        ranked = running_totals(part.withColumn("one", F.lit(1)), ["n", "head"], "one", ["token"], sliced)
+        blocked = settle(ranked.withColumn("block", F.expr(f"before div {size}")).select(*_ROW, "block"))
+        return blocked.toDF(*blocked.columns)  # columns of its own, for the joins below
+
+    def bounds(blocked: DataFrame, name: str) -> DataFrame:
+        ends = blocked.groupBy("token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        return ends.withColumnsRenamed({"block": name, "least": f"least_{name}", "most": f"most_{name}"})
+
+    others, every = in_blocks(marked.where("other")), in_blocks(marked)
+    near = (F.col("most_a") * den >= F.col("least_b") * num) & (F.col("most_b") * den >= F.col("least_a") * num)
+    met = settle(bounds(others, "a").join(bounds(every, "b"), "token").where(near).select("token", "a", "b"))
+    met = met.toDF("token", "a", "b")
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 2), np.int64)]
+        if one.num_rows and two.num_rows:
+            x, y = _table(one), _table(two)
+            for low in range(0, len(x), 1 << 10):
+                i = np.arange(low, min(low + (1 << 10), len(x)))
+                found.append(_differing(x, np.repeat(i, len(y)), y, np.tile(np.arange(len(y)), len(i)), similarity))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    keys = ["token", "a", "b"]
+    left = met.join(others.withColumnRenamed("block", "a"), ["token", "a"]).select(*_ROW, "a", "b").toDF(*_ROW, "a", "b")
+    right = met.join(every.withColumnRenamed("block", "b"), ["token", "b"]).select(*_ROW, "a", "b").toDF(*_ROW, "a", "b")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a bigint, b bigint")
+
+
+def _small_bucket_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of buckets that a task can hold one by one."""
     num, den = similarity
     small = 64
 
-    def checked(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        _, pos, n, comp, head = table.T
-        i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
-        ok = _may_match(n[i], pos[i], n[j], pos[j], similarity)
-        return np.unique(np.sort(np.stack([head[i[ok]], head[j[ok]]], axis=1), axis=1), axis=0)
-
-    def of_large(table: np.ndarray) -> Iterator[np.ndarray]:
+    def of_many(table: np.ndarray) -> Iterator[np.ndarray]:
         """All pairs but those inside the largest component: those of each other row with all rows."""
         names, counts = np.unique(table[:, 3], return_counts=True)
         if len(names) < 2:
@@ -211,45 +286,41 @@ def _cross_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         others = np.flatnonzero(table[:, 3] != names[np.argmax(counts)])
         low = np.searchsorted(n, -(-num * n[others] // den), "left")
         sizes = np.searchsorted(n, den * n[others] // num, "right") - low
-        part = np.cumsum(sizes) // (1 << 20)
-        for k in np.unique(part).tolist():
-            use = part == k
-            yield checked(table, np.repeat(others[use], sizes[use]), ragged(low[use], sizes[use]))
+        yield _differing(table, np.repeat(others, sizes), table, ragged(low, sizes), similarity)
 
     def of_buckets(table: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
         sizes = np.diff(np.append(begins, len(table)))
         ends = np.repeat(begins + sizes, sizes)
         at = np.arange(len(table))
         rest = np.where(np.repeat(sizes, sizes) <= small, ends - at - 1, 0)
-        yield checked(table, np.repeat(at, rest), ragged(at + 1, rest))
+        yield _differing(table, np.repeat(at, rest), table, ragged(at + 1, rest), similarity)
         for k in np.flatnonzero(sizes > small).tolist():
-            yield from of_large(table[begins[k] : begins[k] + sizes[k]])
+            yield from of_many(table[begins[k] : begins[k] + sizes[k]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        names = ("token", "pos", "n", "comp", "head")
+        held = np.zeros((0, len(_ROW)), np.int64)  # a bucket that the next batch may go on with
+        one: int | None = None  # a large bucket of one component only, which has no pairs
         for batch in _and_none(batches):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                table = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
-                if held and held[0][0, 0] == table[0, 0] == table[-1, 0]:
-                    held.append(table)
-                    continue
-                held.append(table)
-            if not held:
-                break
-            table = np.concatenate(held)
+            if batch is not None and not batch.num_rows:
+                continue
+            table = held if batch is None else np.concatenate([held, _table(batch)])
+            if one is not None:
+                table = table[table[:, 0] != one]
+            if not len(table):
+                continue
+            one = None
             begins = np.concatenate([[0], np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1])
             last = len(table) if batch is None else int(begins[-1])
-            held = [table[last:]]
+            held = table[last:]
+            if len(held) and (held[:, 3] == held[0, 3]).all() and len(held) > LARGE:
+                one, held = int(held[0, 0]), held[:0]
             if last:
                 for found in of_buckets(table[:last], begins[begins < last]):
                     if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     dealt = rows.repartition(F.col("token")).sortWithinPartitions("token")
-    return dealt.select(*("token", "pos", "n", "comp", "head")).mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select(*_ROW).mapInArrow(run, "a bigint, b bigint")
 
 
 def _and_none(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -66,6 +66,36 @@ def test_groups_of_equal_prefix(spark, tmp_path, monkeypatch):
     assert found(docs) == cases.in_order(cases.components(rows))
 
 
+@pytest.mark.parametrize("large", [4, 40])
+def test_large_buckets_are_met_in_blocks(spark, tmp_path, monkeypatch, large):
+    ship_package(spark)
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(
+        ngram_join, "_frequencies", lambda docs, size: np.zeros(1 << ngram_join.COUNTER_BITS, np.uint8)
+    )
+    rows = families(11, 8, 60, 60, 3)
+    docs = cases.stored(spark, tmp_path, rows)
+    assert found(docs) == cases.in_order(cases.components(rows))
+
+
+@pytest.mark.parametrize("large", [3, 50, 10_000])
+def test_cross_pairs_by_hand(spark, large):
+    """All pairs of a bucket that can match and lie in different components, at any size of blocks."""
+    rng = random.Random(large)
+    rows = [(t, rng.randrange(4), rng.randint(20, 60), rng.choice([7, 7, 7, *range(20, 30)]), 1000 * t + i) for t, size in ((1, 300), (2, 90), (3, 9), (4, 1)) for i in range(size)]
+    rows += [(5, 0, 30, 8, 9000 + i) for i in range(400)]  # one component only
+    frame = spark.createDataFrame(rows, "token bigint, pos bigint, n bigint, comp bigint, head bigint")
+    got = ngram_join._cross_pairs(frame, (90, 100), large).collect()
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[4] < y[4] and x[3] != y[3]:
+                need = -(-90 * (x[2] + y[2]) // 190)
+                if min(x[2], y[2]) * 100 >= 90 * max(x[2], y[2]) and min(x[2] - x[1], y[2] - y[1]) >= need:
+                    want.add((x[4], y[4]))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_keep_one(spark, tmp_path):
     ship_package(spark)
     rows = cases.hard_texts()
