@@ -84,6 +84,7 @@ class Search:
 
     def __init__(self, queries: np.ndarray, own: np.ndarray, query_tree: CoverTree, k: int):
         self.q, self.own, self.tree, self.k = queries, own, query_tree, k
+        self.norm = np.linalg.norm(queries, axis=1)
         self.scores = np.full((len(queries), k), -np.inf)
         self.places = np.full((len(queries), k), -1, np.int64)
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -103,20 +104,33 @@ class Search:
             far = a * y + b * x + x * y
             return self.q_center[qs] @ center[rs].T + far + 1e-9 * (a * b + far) + 1e-9
 
-        todo = [(float(bounds([0], [0])[0, 0]), 0, 0)]
+        def own_bounds(queries: np.ndarray, rs: list[int]) -> np.ndarray:
+            """The same for single queries."""
+            a, b, y = self.norm[queries][:, None], norm[rs][None, :], radius[rs][None, :]
+            return self.q[queries] @ center[rs].T + a * y + 1e-9 * (a * b + a * y) + 1e-9
+
+        todo = [(float(bounds([0], [0])[0, 0]), 0, 0, self.tree.members[0])]
         while todo:
-            bound, q, r = todo.pop()
-            if bound < self.scores[self.tree.members[q], -1].min():
+            bound, q, r, queries = todo.pop()
+            if bound < self.scores[queries, -1].min():
                 continue
             below_q, below_r = self.tree.children[q], tree.children[r]
-            if not below_q and not below_r:
-                self._leaf(self.tree.members[q], data, ids, places, tree.members[r])
+            if not below_q:
+                # A group that is split no further may lie far apart: each query has a bound of its own.
+                queries = queries[own_bounds(queries, [r])[:, 0] >= self.scores[queries, -1]]
+                if not len(queries):
+                    continue
+                if not below_r:
+                    self._leaf(queries, data, ids, places, tree.members[r])
+                    continue
+                most = own_bounds(queries, below_r).max(axis=0)
+                todo += sorted(((float(x), q, child, queries) for x, child in zip(most, below_r)), key=lambda x: x[:3])
                 continue
-            split_q = below_q and (not below_r or q_radius[q] > radius[r])
+            split_q = not below_r or q_radius[q] > radius[r]
             qs, rs = (below_q, [r]) if split_q else ([q], below_r)
             table = bounds(qs, rs)
-            pairs = [(float(table[i, j]), a, b) for i, a in enumerate(qs) for j, b in enumerate(rs)]
-            todo += sorted(pairs)  # the most promising pair is taken first
+            pairs = [(float(table[i, j]), a, b, self.tree.members[a]) for i, a in enumerate(qs) for j, b in enumerate(rs)]
+            todo += sorted(pairs, key=lambda x: x[:3])  # the most promising pair is taken first
 
     def _leaf(self, queries: np.ndarray, data: np.ndarray, ids: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
         step = max(1, (1 << 20) // len(rows))

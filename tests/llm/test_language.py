@@ -45,6 +45,37 @@ def test_counts_and_scores_by_hand():
     assert score[0] == pytest.approx(1 / (1 + math.exp(sums.min() - sums.max())), rel=1e-4)
 
 
+def plain_ngrams(text):
+    """Runs of one to three characters that hold a letter, of the lower-cased text in spaces."""
+    padded = "  " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    # A run may reach into the spaces behind the text by one; the last begins on the closing space.
+    return [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded)) if any(c.isalpha() for c in padded[i : i + n])]
+
+
+def test_training_against_plain_counts(spark, tmp_path):
+    """Counts of all labelled texts, smoothed, and the shares of the languages."""
+    ship_package(spark)
+    rows = [(i, t) for i, t in cases.hard_texts() if i != 12] + [(900 + i, "Straße über öde Häuser") for i in range(9)]
+    docs = cases.stored(spark, tmp_path, rows, lang=lambda i: None if i is None or i % 7 == 0 else ("de" if i >= 900 else "en"))
+    model = language.fit(docs.select("text", "lang"))
+    assert model.languages == ["de", "en"]
+    labelled = [(r.text, r.lang) for r in docs.collect() if r.lang and r.text]
+    texts = {k: [t for t, x in labelled if x == k and any(c.isalpha() for c in t)] for k in model.languages}
+    for k, name in enumerate(model.languages):
+        counts: Counter = Counter()
+        for text in texts[name]:
+            buckets, _, _ = language.ngrams(pa.array([text]))
+            assert len(buckets) == len(plain_ngrams(text))
+            counts.update(buckets.tolist())
+        total = sum(counts.values()) + language.SMOOTHING * language.BUCKETS
+        want = np.full(language.BUCKETS, math.log(language.SMOOTHING / total))
+        for bucket, n in counts.items():
+            want[bucket] = math.log((n + language.SMOOTHING) / total)
+        assert np.allclose(model.matrix[:, k], want, rtol=1e-5)
+        both = sum(map(len, texts.values()))
+        assert model.prior[k] == pytest.approx(math.log((len(texts[name]) + 1) / (both + 2)))
+
+
 def test_hard_documents(spark, tmp_path):
     ship_package(spark)
     rows = cases.hard_texts() + [(900 + i, "Straße über öde Häuser") for i in range(9)]

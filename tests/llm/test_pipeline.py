@@ -43,3 +43,21 @@ def test_stages_and_their_decisions(spark, tmp_path):
         got[p.doc_id] = got.get(p.doc_id, 0) + p.length
     assert got == sizes
     assert corpus_pipeline.run(spark, folder).count() == results[3].count()
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = cases.stored(spark, tmp_path / "d", cases.hard_texts()[:5], lang=lambda i: "en").limit(0)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_no_benchmark_and_no_labels(spark, tmp_path):
+    """Nothing is contaminated without a benchmark; without labelled rows no language is known."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(None, "w1 w2"), (1, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, lang, some in (("labelled", "en", True), ("unlabelled", None, False)):
+        docs = cases.stored(spark, tmp_path / name, cases.hard_texts(), lang=lambda i, lang=lang: lang)
+        docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        assert bool(corpus_pipeline.run(spark, folder).count()) == some
