@@ -307,7 +307,7 @@ class Projection:
         wanted = {column: column.source(technology) for column in S.COLUMNS[category]}
         given = {c: match(x.names) for c, x in wanted.items() if not isinstance(x, S.Constant)}
         tests = {name: match((name,)) for name, _ in S.ROW_FILTERS.get(category, ())}
-        unmet = [f"{c.name} ({' / '.join(wanted[c].names)})" for c, found in given.items() if found is None]
+        unmet = [f"{c.name} ({' or '.join(wanted[c].names)})" for c, found in given.items() if found is None]
         unmet += [f"row filter ({name})" for name, found in tests.items() if found is None]
 
         def output(column) -> str:

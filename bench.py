@@ -34,6 +34,8 @@ HEADLINE = (
     "canonicalize_nr_pdsch",
     "csv_scan",
     "snapshot_write",
+    "ingest_end_to_end",
+    "stream_ingest",
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airgauge import schema as S
 from airgauge.operators import facets
-from airgauge.operators.filters import Selection, select_rows
+from airgauge.operators.filters import Selection, checked, checked_technology, select_rows
 from airgauge.plans import payloads
 from airgauge.sources.store import union_kinds
 from workloads.fixtures import view
@@ -159,3 +159,28 @@ def json_options(spark, folder):
     metrics = record.select(F.lit("metric").alias("level"), F.explode("metrics").alias("c"))
     levels.append(metrics.select("level", "c.value", "c.label", "c.unit"))
     return union_kinds(levels)
+
+
+@query(
+    "choice_checks",
+    """SELECT value, CASE WHEN upper(value) IN ('LTE', 'NR') THEN upper(value) END AS technology,
+  CASE WHEN value IN ('radio', 'neighbor', 'pdsch', 'pusch') THEN value END AS category, n
+  FROM (SELECT value, count(*) AS n FROM (SELECT unnest([technology, lower(technology), category, rat, modulation]) AS value FROM m)
+    GROUP BY value)""",
+)
+def choice_checks(spark, folder):
+    """Texts of the rows as arguments: taken, or refused as no technology and no category."""
+    texts = F.explode(F.array("technology", F.lower("technology"), "category", "rat", "modulation")).alias("value")
+    counts = view(spark, folder, "m").select(texts).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+    def taken(check, value):
+        try:
+            return check(value)
+        except ValueError:
+            return None
+
+    rows = [
+        (r.value, taken(checked_technology, r.value), taken(lambda v: checked(v, S.CATEGORIES, "category"), r.value), r.n)
+        for r in counts.collect()  # a dozen texts
+    ]
+    return spark.createDataFrame(rows, "value string, technology string, category string, n bigint")

@@ -203,6 +203,19 @@ def snapshot_write(spark, folder):
     return store.read_snapshots(spark, root).select(*STORED)
 
 
+@query(
+    "processed_now",
+    "SELECT DISTINCT measurement_type, database_name, collection_name, true AS recent FROM m",
+)
+def processed_now(spark, folder):
+    """Catalog rows carry the time at which they were written."""
+    root = fresh_folder(spark, "clock")
+    before = spark.sql("SELECT current_timestamp() AS t").first().t
+    store.replace_partitions(all_kinds(spark, folder), root, "2026-06-10")
+    recent = F.col("processed_at").between(F.lit(before), F.current_timestamp())
+    return store.partitions_table(spark, root).read().select(*S.PARTITION_KEY, recent.alias("recent"))
+
+
 @query("snapshot_crash", f"SELECT {', '.join(STORED)}, CAST(1 AS BIGINT) AS removed FROM m")
 def snapshot_crash(spark, folder):
     """A second write breaks off before the catalog names it: the first one's rows stay, and a
