@@ -11,8 +11,9 @@ frequencies. A token is scored by the longest suffix before it that is a state.
 Documents are cut into chunks, which are stored once, bucketed, as token numbers. Level by
 level a chunk asks for the counts of its n-grams, of which only those can matter whose
 shorter parts are frequent. Questions are sorted keys, dealt by ranges of the key space;
-an answer is one number for each key in the order asked, so it needs no keys. A hot n-gram
-is one key of each chunk. The tree is a table; no task and no broadcast holds it.
+an answer is one number for each key in the order asked, so it needs no keys. Frequent n-grams
+get a short number by which they go from there. A hot n-gram is one key of each chunk. The
+tree is a table; no task and no broadcast holds it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LEAST_COUNT = 4
 DIVERGENCE = 0.01  # nats
 PRIOR = 20.0  # tokens that a state leaves to the shorter suffix, besides its rare next words
 END = 0  # stands for a text's end among the word hashes
-CHUNK_BYTES = 8 << 20  # of text; a longer text is a chunk of its own
+CHUNK_BYTES = 4 << 20  # of text; a longer text is a chunk of its own
 _CHUNKS_PER_BLOCK = 4  # whose keys one task adds up, about
 _MOST_BUCKETS = 100_000
 _BATCH = 1 << 20
@@ -70,21 +71,22 @@ def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, the first place of each, and which value stands at each place."""
     count = len(numbers)
     if not count:
-        nothing = np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.int32)
         return numbers, nothing, nothing
     width = count.bit_length()
     if int(numbers.max()).bit_length() + width <= 64:  # value and place fit one number, which sorts fast
         packed = (numbers.astype(np.uint64) << np.uint64(width)) | np.arange(count, dtype=np.uint64)
         packed.sort()
-        order = (packed & np.uint64((1 << width) - 1)).astype(np.int64)
-        ordered = (packed >> np.uint64(width)).astype(numbers.dtype)
+        order = (packed & np.uint64((1 << width) - 1)).astype(np.int32)
+        packed >>= np.uint64(width)
+        ordered = packed.view(numbers.dtype)
     else:
-        order = np.argsort(numbers, kind="stable")
+        order = np.argsort(numbers, kind="stable").astype(np.int32)
         ordered = numbers[order]
     new = np.ones(count, bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    which = np.empty(count, np.int64)
-    which[order] = np.cumsum(new) - 1
+    which = np.empty(count, np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], order[new], which
 
 
@@ -97,6 +99,19 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, first[1:], np.uint64(END)), first + np.arange(len(first))
 
 
+@dataclass
+class Answer:
+    """What a chunk was told about the keys of a level, in the order asked."""
+
+    totals: np.ndarray
+    names: np.ndarray  # of the frequent ones; 0 for the others
+    first: np.ndarray
+
+    @classmethod
+    def none(cls) -> Answer:
+        return cls(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+
+
 @dataclass
 class Level:
     """N-grams of one length in a chunk: contexts of ``k`` words with their next words."""
@@ -109,13 +124,12 @@ class Level:
     word: np.ndarray  # next word of each key
     some: np.ndarray  # a token of each key
     state: np.ndarray  # context before each token, -1 for none
-    context_keys: np.ndarray  # sorted
-    context_counts: np.ndarray
-    totals: np.ndarray | None = None  # in all training texts
+    contexts: Answer  # about the contexts, sorted by their keys
+    answer: Answer | None = None  # about the keys
 
     def seen(self) -> np.ndarray:
         """The contexts that stand before some token, in the order of their keys."""
-        some = np.zeros(len(self.context_keys), bool)
+        some = np.zeros(len(self.contexts.totals), bool)
         some[self.state[self.state >= 0]] = True
         return np.flatnonzero(some)
 
@@ -144,37 +158,35 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.ids, self.learned, minlength=len(self.vocabulary)).astype(np.int64)
 
-    def levels(self, answers: list[np.ndarray], least: int, depth: int) -> Iterator[Level]:
-        """The levels whose shorter n-grams are counted: ``answers`` are totals of words, then of each level's keys."""
+    def levels(self, answers: list[Answer], least: int, depth: int) -> Iterator[Level]:
+        """The levels whose shorter n-grams are counted: ``answers`` are about words, then each level's keys."""
         ids, size, learned = self.ids, len(self.vocabulary), self.learned
         inner = self.vocabulary[ids] != END  # no context runs over a text's end
-        frequent = answers[0][ids] >= least
-        state = np.where(frequent & inner, ids, -1).astype(np.int64)
-        context_keys, context_counts = self.vocabulary, answers[0]
+        frequent = answers[0].totals[ids] >= least
+        state = np.where(frequent & inner, ids, -1).astype(np.int32)
+        context_keys = self.vocabulary
         for k in range(1, depth + 1):
-            before = np.concatenate([[-1], state[:-1]])
-            at = np.flatnonzero((before >= 0) & frequent)
-            pairs, first, inverse = _distinct(before[at] * size + ids[at])
-            context, word = pairs // size, pairs % size
+            before = np.concatenate([np.array([-1], np.int32), state[:-1]])
+            at = np.flatnonzero((before >= 0) & frequent).astype(np.int32)
+            pairs, first, inverse = _distinct(before[at].astype(np.int64) * size + ids[at])
+            context, word = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
             hashed = mixed(context_keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[word]) & _KEY_BITS
             keys, where, same = _distinct(hashed)
             row = same[inverse]
             counts = np.bincount(row, learned[at], minlength=len(keys)).astype(np.int64)
-            level = Level(
-                at, row, keys, counts, context[where], word[where], at[first[where]], before, context_keys, context_counts
-            )
+            level = Level(at, row, keys, counts, context[where], word[where], at[first[where]], before, answers[k - 1])
             if k == len(answers):
                 yield level
                 return
-            level.totals = answers[k]
+            level.answer = answers[k]
             yield level
-            good = level.totals[row] >= least
+            good = level.answer.totals[row] >= least
             frequent = np.zeros(len(ids), bool)
             frequent[at[good]] = True
-            state = np.full(len(ids), -1, np.int64)
+            state = np.full(len(ids), -1, np.int32)
             ends = good & inner[at]
             state[at[ends]] = row[ends]
-            context_keys, context_counts = keys, level.totals
+            context_keys = keys
 
 
 _CHUNKS = "chunk bigint, state binary"
@@ -213,12 +225,14 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- questions and answers
 
 _ASKED = "level int, block int, chunk bigint, keys binary, counts binary"
-_ANSWERS = "level int, block int, chunk bigint, totals binary, first binary, kinds bigint, tokens bigint"
+_ANSWERS = (
+    "level int, block int, chunk bigint, totals binary, names binary, first binary, kinds bigint, tokens bigint"
+)
 
 
-def _questions(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray | None, bits: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's sorted keys, one row for each block of the key space that has any."""
-    block = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def _questions(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray | None, shift: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's sorted keys, one row for each block (their bits from ``shift`` on) that has any."""
+    block = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(keys)] if len(keys) else []
     rows = []
     for low, high in zip(cuts[:-1], cuts[1:]):
@@ -230,24 +244,32 @@ def _questions(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray | No
     yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _counted(asked: pa.Table) -> pa.Table:
-    """Totals of all keys of a block, given back to each chunk in the order it asked; the first chunk
-    that has a key is told so. ``kinds`` and ``tokens`` of the block are on its first row."""
+def _counted(asked: pa.Table, least: int) -> pa.Table:
+    """Totals of all keys of a block, given back to each chunk in the order it asked.
+
+    Keys of ``least`` or more also get a name, the block and their place among these, and the
+    first chunk that has a key is told so. ``kinds`` and ``tokens`` of the block are on its
+    first row.
+    """
     asked = asked.sort_by("chunk")
     lists = [_unpack_sorted(x) for x in asked["keys"].to_pylist()]
     counts = np.concatenate([_unpack(x) for x in asked["counts"].to_pylist()])
     keys, where, inverse = _distinct(np.concatenate(lists))
     totals = np.bincount(inverse, counts, minlength=len(keys)).astype(np.int64)
+    frequent = totals >= least
+    names = (np.cumsum(frequent) - 1).astype(np.uint64) | np.uint64(asked["block"][0].as_py() << 32)
     first = np.zeros(len(inverse), bool)
     first[where] = True
     ends = np.cumsum([len(x) for x in lists])
     zeros = [0] * (len(lists) - 1)
+    parts = np.split(inverse, ends[:-1])
     return pa.table(
         {
             "level": asked["level"],
             "block": asked["block"],
             "chunk": asked["chunk"],
-            "totals": pa.array([_pack(totals[x]) for x in np.split(inverse, ends[:-1])], pa.binary()),
+            "totals": pa.array([_pack(totals[x]) for x in parts], pa.binary()),
+            "names": pa.array([_pack_sorted(names[x[frequent[x]]]) for x in parts], pa.binary()),
             "first": pa.array([np.packbits(x).tobytes() for x in np.split(first, ends[:-1])], pa.binary()),
             "kinds": pa.array([int((totals > 0).sum()), *zeros], pa.int64()),
             "tokens": pa.array([int(totals.sum()), *zeros], pa.int64()),
@@ -268,35 +290,27 @@ def _looked_up(asked: pa.Table, held: pa.Table) -> pa.Table:
             place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
             found = np.where(names[place] == keys, mass[place], 0)
         answers.append(_pack(found))
-    nothing = pa.nulls(len(answers), pa.int64())
     columns = {x: asked[x] for x in ("level", "block", "chunk")}
-    return pa.table(
-        {
-            **columns,
-            "totals": pa.array(answers, pa.binary()),
-            "first": pa.nulls(len(answers), pa.binary()),
-            "kinds": nothing,
-            "tokens": nothing,
-        }
-    )
+    nothing = {x: pa.nulls(len(answers), k) for x, k in (("names", pa.binary()), ("first", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64()))}
+    return pa.table({**columns, "totals": pa.array(answers, pa.binary()), **nothing})
 
 
-def _answers(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Totals of words and levels, flags of first chunks, and masses (levels below zero), in the order asked."""
+def _answers(rows: pa.Table, least: int) -> tuple[list[Answer], list[np.ndarray]]:
+    """Answers about words and the levels, and masses of contexts (levels below zero)."""
     rows = rows.sort_by([("level", "ascending"), ("block", "ascending")])
-    totals: dict[int, list[np.ndarray]] = {}
-    first: dict[int, list[np.ndarray]] = {}
-    for level, raw, flags in zip(*(rows[x].to_pylist() for x in ("level", "totals", "first"))):
-        numbers = _unpack(raw).astype(np.int64)
-        totals.setdefault(level, []).append(numbers)
-        if flags is not None:
-            first.setdefault(level, []).append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(numbers)))
-    none = [np.zeros(0, np.int64)]
-    up = range(max(totals, default=0) + 1)
-    counted = [np.concatenate(totals.get(k, none)) for k in up]
-    flagged = [np.concatenate(first.get(k, none)).astype(bool) for k in up]
-    masses = [np.concatenate(totals.get(-k, none)) for k in range(1, 1 - min(totals, default=0))]
-    return counted, flagged, masses
+    parts: dict[int, list] = {}
+    for level, raw, own, flags in zip(*(rows[x].to_pylist() for x in ("level", "totals", "names", "first"))):
+        totals = _unpack(raw).astype(np.int64)
+        if level < 0:
+            parts.setdefault(level, []).append(totals)
+            continue
+        names = np.zeros(len(totals), np.uint64)
+        names[totals >= least] = _unpack_sorted(own)
+        first = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(totals)).astype(bool)
+        parts.setdefault(level, []).append((totals, names, first))
+    answers = [Answer(*map(np.concatenate, zip(*parts[k]))) for k in range(max(parts, default=-1) + 1)]
+    masses = [np.concatenate(parts[-k]) for k in range(1, 1 - min(parts, default=0))]
+    return answers, masses
 
 
 # ---------------------------------------------------------------- the tree
@@ -307,39 +321,39 @@ _NOTES = (
 )
 
 
-def _notes(chunk: Chunk, number: int, answers: list, first: list, least: int, depth: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _notes(chunk: Chunk, number: int, answers: list[Answer], least: int, depth: int) -> Iterator[pa.RecordBatch]:
     """N-grams of the tree that this chunk is the first to hold, and questions for the masses of its contexts."""
     names = [x.split()[0] for x in _NOTES.split(", ")]
     lower: Level | None = None
     lower_row = None
     for k, level in enumerate(chunk.levels(answers, least, depth), 1):
-        own = np.flatnonzero((level.totals >= least) & first[k])
+        own = np.flatnonzero((level.answer.totals >= least) & level.answer.first)
         word, context = level.word[own], level.context[own]
-        parent = chunk.vocabulary[word] if lower is None else lower.keys[lower_row[level.some[own]]]
+        parent = answers[0].names[word] if lower is None else lower.answer.names[lower_row[level.some[own]]]
         columns = [
             np.full(len(own), k, np.int32),
-            level.context_keys[context].view(np.int64),
-            level.keys[own].view(np.int64),
+            level.contexts.names[context].view(np.int64),
+            level.answer.names[own].view(np.int64),
             parent.view(np.int64),
-            level.totals[own],
-            level.context_counts[context],
-            answers[0][word] if lower is None else np.zeros(len(own), np.int64),
+            level.answer.totals[own],
+            level.contexts.totals[context],
+            answers[0].totals[word] if lower is None else np.zeros(len(own), np.int64),
         ]
         nothing = [pa.nulls(len(own), x) for x in (pa.int32(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *nothing], names)
 
-        for batch in _questions(-k, number, level.context_keys[level.seen()], None, bits):
+        for batch in _questions(-k, number, level.contexts.names[level.seen()], None, 32):
             columns = [pa.nulls(batch.num_rows, pa.int64())] * 6
             asked = [batch.column(x) for x in ("block", "chunk", "keys")]
             yield pa.RecordBatch.from_arrays([batch.column("level"), *columns, *asked], names)
-        lower, lower_row = level, np.full(len(chunk.ids), -1, np.int64)
+        lower, lower_row = level, np.full(len(chunk.ids), -1, np.int32)
         lower_row[level.at] = level.row
 
 
 def states(notes: DataFrame, tokens: int, kinds: int, depth: int, divergence: float, written) -> DataFrame:
     """(level, context, mass) of the contexts that stay in the tree.
 
-    ``notes`` has each n-gram once: its ``key``, its ``context``, the ``parent`` key without the oldest word (for
+    ``notes`` has each n-gram once: its name ``key``, its ``context``, the ``parent`` without the oldest word (for
     n-grams of two words the next word itself), the counts ``n`` and ``c`` of n-gram and context, and on level 1 that
     of the next word, ``root``. ``written`` stores what a name is given to.
     """
@@ -394,20 +408,21 @@ SCORES = (
 )
 
 
-def _scores(chunk: Chunk, answers: list, masses: list, tokens: int, kinds: int, least: int, depth: int) -> pa.Table:
-    counts = answers[0][chunk.ids]
+def _scores(chunk: Chunk, answers: list[Answer], masses: list, tokens: int, kinds: int, least: int, depth: int) -> pa.Table:
+    counts = answers[0].totals[chunk.ids]
     p = (counts + 1.0) / (tokens + kinds + 1.0)
     base = np.log10(p)
     for level, mass in zip(chunk.levels(answers, least, depth), masses):
-        masses_of = np.zeros(len(level.context_keys), np.int64)
+        masses_of = np.zeros(len(level.contexts.totals), np.int64)
         masses_of[level.seen()] = mass
         at = np.flatnonzero(level.state >= 0)
         at = at[masses_of[level.state[at]] > 0]
         context = level.state[at]
         held = masses_of[context]
         seen = np.zeros(len(chunk.ids), np.int64)
-        seen[level.at] = np.where(level.totals >= least, level.totals, 0)[level.row]
-        weight = level.context_counts[context] + PRIOR
+        totals = level.answer.totals
+        seen[level.at] = np.where(totals >= least, totals, 0)[level.row]
+        weight = level.contexts.totals[context] + PRIOR
         p[at] = seen[at] / weight + (1 - held / weight) * p[at]
     begin = chunk.first[:-1]
     columns = [
@@ -436,14 +451,14 @@ class _Store:
         self.table = spark.table(self.name)
         self.bits = max(0, (-(-self.table.count() // _CHUNKS_PER_BLOCK) - 1).bit_length())
 
-    def each(self, function, answers: DataFrame, schema: str) -> DataFrame:
+    def each(self, function, answers: DataFrame, schema: str, least: int) -> DataFrame:
         """``function`` of each chunk and its answers."""
 
         def run(chunk: pa.Table, held: pa.Table) -> pa.Table:
             if not chunk.num_rows:
                 return pa.table({})
             state = Chunk.loads(chunk["state"][0].as_py())
-            return function(state, chunk["chunk"][0].as_py(), *_answers(held))
+            return function(state, chunk["chunk"][0].as_py(), *_answers(held, least))
 
         return self.table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
@@ -477,7 +492,7 @@ def suffix_scores(
         F.coalesce(remainder == held, F.lit(False)).alias("held_out"),
     )
     store = _Store(spark, rows)
-    bits = store.bits
+    shift = 64 - store.bits
 
     def written(df: DataFrame, label: str) -> DataFrame:
         folder = fresh_folder(spark, label)
@@ -488,47 +503,43 @@ def suffix_scores(
         for batch in batches:
             for number, raw in zip(*(batch.column(x).to_pylist() for x in ("chunk", "state"))):
                 chunk = Chunk.loads(raw)
-                yield from _questions(0, number, chunk.vocabulary, chunk.word_counts(), bits)
+                yield from _questions(0, number, chunk.vocabulary, chunk.word_counts(), shift)
 
     def counted(asked: DataFrame) -> DataFrame:
-        return written(asked.groupBy("block").applyInArrow(_counted, _ANSWERS), "counted")
+        return written(asked.groupBy("block").applyInArrow(lambda x: _counted(x, least), _ANSWERS), "counted")
 
     answers = counted(store.table.mapInArrow(words, _ASKED))
     seen = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     tokens, kinds = int(seen[0]), int(seen[1])
 
-    def ask(chunk: Chunk, number: int, totals: list, first: list, masses: list) -> pa.Table:
-        *_, level = chunk.levels(totals, least, depth)
-        return pa.Table.from_batches(_questions(len(totals), number, level.keys, level.counts, bits))
+    def ask(chunk: Chunk, number: int, told: list[Answer], masses: list) -> pa.Table:
+        *_, level = chunk.levels(told, least, depth)
+        return pa.Table.from_batches(_questions(len(told), number, level.keys, level.counts, shift))
 
     for _ in range(depth):
-        answers = answers.unionByName(counted(store.each(ask, answers, _ASKED)))
+        answers = answers.unionByName(counted(store.each(ask, answers, _ASKED, least)))
 
-    def note(chunk: Chunk, number: int, totals: list, first: list, masses: list) -> pa.Table:
-        padded = _padded(chunk, totals, first, least, depth)
-        return pa.Table.from_batches(list(_notes(chunk, number, *padded, least, depth, bits)))
+    def all_levels(told: list[Answer]) -> list[Answer]:
+        """A chunk without n-grams of some length asked nothing there."""
+        return [*told, *[Answer.none()] * (depth + 1 - len(told))]
 
-    notes = written(store.each(note, answers, _NOTES), "notes")
+    def note(chunk: Chunk, number: int, told: list[Answer], masses: list) -> pa.Table:
+        return pa.Table.from_batches(list(_notes(chunk, number, all_levels(told), least, depth)))
+
+    notes = written(store.each(note, answers, _NOTES, least), "notes")
     tree = states(notes.where("key IS NOT NULL"), tokens, kinds, depth, divergence, written)
-    block = F.expr(f"cast(shiftrightunsigned(context, {64 - bits}) AS int)") if bits else F.lit(0)
-    tree = tree.select((-F.col("level")).alias("level"), block.alias("block"), "context", "mass")
+    block = F.shiftright("context", 32).cast("int").alias("block")
+    tree = tree.select((-F.col("level")).alias("level"), block, "context", "mass")
     asked = notes.where("key IS NULL").select("level", "block", "chunk", "keys")
     found = asked.groupBy("level", "block").cogroup(tree.groupBy("level", "block")).applyInArrow(
         lambda a, t: _looked_up(a, t) if a.num_rows else pa.table({}), _ANSWERS
     )
     answers = answers.unionByName(written(found, "masses"))
 
-    def score(chunk: Chunk, number: int, totals: list, first: list, masses: list) -> pa.Table:
-        totals, first = _padded(chunk, totals, first, least, depth)
+    def score(chunk: Chunk, number: int, told: list[Answer], masses: list) -> pa.Table:
         masses = [*masses, *[np.zeros(0, np.int64)] * (depth - len(masses))]
-        return _scores(chunk, totals, masses, tokens, kinds, least, depth)
+        return _scores(chunk, all_levels(told), masses, tokens, kinds, least, depth)
 
-    scores = written(store.each(score, answers, SCORES), "scores")
+    scores = written(store.each(score, answers, SCORES, least), "scores")
     store.drop()
     return scores
-
-
-def _padded(chunk: Chunk, totals: list, first: list, least: int, depth: int) -> tuple[list, list]:
-    """Answers of all levels; a chunk without n-grams of some length asked nothing there."""
-    missing = depth + 1 - len(totals)
-    return [*totals, *[np.zeros(0, np.int64)] * missing], [*first, *[np.zeros(0, bool)] * missing]
