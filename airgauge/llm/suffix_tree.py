@@ -142,6 +142,13 @@ class Chunk:
         self.vocabulary, ids = np.unique(tokens, return_inverse=True)
         self.ids = ids.astype(np.int32)
 
+    def __getstate__(self):
+        return {**self.__dict__, "vocabulary": _pack_sorted(self.vocabulary), "ids": _pack(self.ids)}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.vocabulary, self.ids = _unpack_sorted(state["vocabulary"]), _unpack(state["ids"]).astype(np.int32)
+
     def dumps(self) -> bytes:
         raw = pickle.dumps(self, pickle.HIGHEST_PROTOCOL)
         return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -363,15 +370,9 @@ def states(notes: DataFrame, tokens: int, kinds: int, depth: int, divergence: fl
         if shorter is None:
             rows = rows.withColumn("base", (F.col("root") + 1) / F.lit(float(tokens + kinds + 1)))
         else:
-            rows = rows.select("context", "key", "parent", "n", "c").join(shorter, "parent")
-        # By context once, for the sums and for what is done with them.
-        rows = rows.select("context", "key", "n", "c", "base").repartition("context")
-        mass = rows.groupBy("context").agg(F.sum("n").alias("mass"))
-        weight = F.col("c") + F.lit(PRIOR)
-        p = F.col("n") / weight + (1 - F.col("mass") / weight) * F.col("base")
-        if k < depth:
-            scored = rows.join(mass, "context").select(F.col("key").alias("parent"), p.alias("base"))
-            shorter = written(scored, f"level-{k}")
+            rows = rows.select("context", "key", "parent", "n", "c").join(shorter, "parent").drop("parent")
+            rows = written(rows, f"n-grams-{k}") if k < depth else rows
+        # A context may have very many next words: their sums combine before the shuffle.
         share = F.col("n") / F.col("c")
         sums = rows.groupBy("context", "c").agg(
             F.sum("n").alias("mass"),
@@ -383,6 +384,11 @@ def states(notes: DataFrame, tokens: int, kinds: int, depth: int, divergence: fl
         rest = F.when(left > tiny, left * F.log(left / F.greatest(other, tiny))).otherwise(0.0)
         apart = (F.col("gain") + rest >= divergence).alias("apart")
         found.append(written(sums.select("context", "mass", apart), f"contexts-{k}"))
+        if k < depth:
+            weight = F.col("c") + F.lit(PRIOR)
+            p = F.col("n") / weight + (1 - F.col("mass") / weight) * F.col("base")
+            scored = rows.select("context", "key", "n", "c", "base").join(found[-1].select("context", "mass"), "context")
+            shorter = written(scored.select(F.col("key").alias("parent"), p.alias("base")), f"level-{k}")
     kept: list[DataFrame] = []
     for k in range(depth, 0, -1):
         rows = found[k - 1]
