@@ -57,31 +57,39 @@ def thin_by_time(
     order += [c for c in points.columns if c not in order]
     large = total > one_task_rows
 
-    wanted, keys = None, []
+    few = max(one_task_rows, limit)  # rows that one task may order
+    wanted, keys, largest = None, [], total
     for column in order:
-        wanted = _narrowed(points, wanted, keys, column, stride, large)
+        counts = _counts(points, wanted, keys, column)
+        if large and not keys:
+            counts = settle(counts)
+            largest = counts.count()
+        wanted = _narrowed(counts, keys, column, stride, sliced=large and largest > few)
         keys.append(column)
         if not large:
             break
         wanted = settle(wanted)
-        mixed = wanted.where("n > hits").agg(F.sum("n")).first()[0] or 0
-        if mixed <= max(one_task_rows, limit):
+        left = wanted.agg(F.sum(F.when(F.expr("n > hits"), F.col("n"))).alias("mixed"), F.max("n").alias("largest")).first()
+        largest = left.largest or 0
+        if (left.mixed or 0) <= few:
             break
     chosen = _rows_at(points, wanted, keys, order[len(keys) :], stride)
     return chosen.select(*points.columns).orderBy(*order).limit(limit)
 
 
-def _narrowed(
-    points: DataFrame, wanted: DataFrame | None, keys: Sequence[str], column: str, stride: int, large: bool
-) -> DataFrame:
-    """Values of ``keys`` and ``column`` that hold wanted ranks: ``before``, ``n`` and ``hits``."""
+def _counts(points: DataFrame, wanted: DataFrame | None, keys: Sequence[str], column: str) -> DataFrame:
+    """Number of rows for each value of ``column`` at the wanted keys, and the rank of the first row there."""
     rows = points.select(*keys, column)
     if wanted is None:
         rows = rows.withColumn("_before", F.lit(0).cast("bigint"))
     else:
         rows = _at(rows, wanted.select(*keys, F.col("before").alias("_before")), keys)
-    counts = rows.groupBy(*keys, column, "_before").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(counts, [column], "n", groups=keys, sliced=large, few_groups=True)
+    return rows.groupBy(*keys, column, "_before").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _narrowed(counts: DataFrame, keys: Sequence[str], column: str, stride: int, sliced: bool) -> DataFrame:
+    """Values of ``keys`` and ``column`` that hold wanted ranks: ``before``, ``n`` and ``hits``."""
+    placed = running_totals(counts, [column], "n", groups=keys, sliced=sliced, few_groups=True)
     ranked = placed.withColumn("before", F.col("before") + F.col("_before"))
     found = ranked.withColumn("hits", _hits(stride)).where(F.col("hits") > 0)
     return found.select(*keys, column, "before", "n", "hits")

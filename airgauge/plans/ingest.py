@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airgauge import schema as S
 from airgauge.functions.names import lookup
 from airgauge.operators.fingerprint import fingerprint, partition_summaries, row_text
-from airgauge.session import fresh_folder, settle
+from airgauge.session import broadcast_if_small, fresh_folder, settle
 from airgauge.sources import exports, store
 
 SOURCE = exports.SOURCE_PATH
@@ -103,7 +103,7 @@ def ingest(
     bad = settle(_problems(described, summaries))
     if not set_aside:
         _require_none(bad)
-    files = files.join(F.broadcast(bad.select("path")), "path", "left_anti")
+    files = files.join(broadcast_if_small(bad.select("path")), "path", "left_anti")
 
     about = files.select(F.col("uri").alias(SOURCE), "path", "exported_at", "file_hash")
     deliveries = summaries.join(about, SOURCE)
