@@ -130,7 +130,8 @@ def compare_empty(spark, folder):
 
 def shown_sql(name: str) -> str:
     """A number as a curve's text shows it: two digits at most, grouped, with the unit."""
-    number = f"regexp_replace(regexp_replace(format('{{:,.2f}}', {name}), '0+$', ''), '[.]$', '')"
+    exact = f"CAST(round(CAST(round({name}, 6) AS DECIMAL(18, 6)), 2) AS DOUBLE)"
+    number = f"regexp_replace(regexp_replace(format('{{:,.2f}}', {exact}), '0+$', ''), '[.]$', '')"
     return f"CASE WHEN {name} IS NULL THEN '-' ELSE concat({number}, CASE WHEN unit = '' THEN '' ELSE ' ' END, unit) END"
 
 
