@@ -68,7 +68,7 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
 
 
 def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, the first place of each, and which value stands at each place."""
+    """Sorted distinct values, a place of each, and which value stands at each place."""
     count = len(numbers)
     if not count:
         nothing = np.zeros(0, np.int32)
@@ -81,7 +81,7 @@ def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         packed >>= np.uint64(width)
         ordered = packed.view(numbers.dtype)
     else:
-        order = np.argsort(numbers, kind="stable").astype(np.int32)
+        order = np.argsort(numbers).astype(np.int32)
         ordered = numbers[order]
     new = np.ones(count, bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -254,8 +254,8 @@ def _questions(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray | No
 def _counted(asked: pa.Table, least: int) -> pa.Table:
     """Totals of all keys of a block, given back to each chunk in the order it asked.
 
-    Keys of ``least`` or more also get a name, the block and their place among these, and the
-    first chunk that has a key is told so. ``kinds`` and ``tokens`` of the block are on its
+    Keys of ``least`` or more also get a name, the block and their place among these, and one
+    chunk that has the key, called its first, is told so. ``kinds`` and ``tokens`` of the block are on its
     first row.
     """
     asked = asked.sort_by("chunk")
