@@ -16,7 +16,7 @@ different components is left out, and large groups of near copies are never pair
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -210,24 +210,32 @@ def _table(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy() for k in _ROW], axis=1)
 
 
-def _cross_pairs(rows: DataFrame, similarity: tuple[int, int], large: int | None = None) -> DataFrame:
+def _cross_pairs(
+    buckets: DataFrame,
+    labelled: Callable[[DataFrame], DataFrame],
+    similarity: tuple[int, int],
+    large: int | None = None,
+) -> DataFrame:
     """Pairs of a bucket's groups that can be similar and whose ``comp`` differs.
 
-    Buckets of up to ``large`` rows are compared by the task that has them. Larger ones
-    are cut into blocks, and pairs of blocks meet in tasks of their own.
+    ``labelled`` gives rows of ``buckets`` their ``comp``. Buckets of up to ``large`` rows are
+    compared by the task that has them. Larger ones with several components are cut into
+    blocks, and pairs of blocks meet in tasks of their own.
     """
     large = LARGE if large is None else large
-    sizes = rows.groupBy("token").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most")
-    )
-    hot = settle(sizes.where((F.col("rows") > large) & (F.col("least") < F.col("most"))).select("token", "rows"))
+    sizes = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    hot = settle(sizes.where(F.col("rows") > large))
     total = hot.agg(F.sum("rows")).first()[0]
     if not total:
-        return _small_bucket_pairs(rows, similarity).distinct()
+        return _small_bucket_pairs(labelled(buckets), similarity).distinct()
     tokens = broadcast_if_small(hot.select("token"))
-    small = _small_bucket_pairs(rows.join(tokens, "token", "left_anti"), similarity)
-    blocks = _block_pairs(settle(rows.join(tokens, "token", "left_semi")), similarity, large, total > ONE_TASK_ROWS)
-    return small.unionAll(blocks).distinct()
+    small = _small_bucket_pairs(labelled(buckets.join(tokens, "token", "left_anti")), similarity)
+    rows = settle(labelled(buckets.join(tokens, "token", "left_semi")))
+    several = rows.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("several")).where("several")
+    rows = settle(rows.join(broadcast_if_small(settle(several.select("token"))), "token", "left_semi"))
+    if rows.isEmpty():
+        return small.distinct()
+    return small.unionAll(_block_pairs(rows, similarity, large, total > ONE_TASK_ROWS)).distinct()
 
 
 def _block_pairs(rows: DataFrame, similarity: tuple[int, int], size: int, sliced: bool) -> DataFrame:
@@ -299,21 +307,15 @@ def _small_bucket_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, len(_ROW)), np.int64)  # a bucket that the next batch may go on with
-        one: int | None = None  # a large bucket of one component only, which has no pairs
         for batch in _and_none(batches):
             if batch is not None and not batch.num_rows:
                 continue
             table = held if batch is None else np.concatenate([held, _table(batch)])
-            if one is not None:
-                table = table[table[:, 0] != one]
             if not len(table):
                 continue
-            one = None
             begins = np.concatenate([[0], np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1])
             last = len(table) if batch is None else int(begins[-1])
             held = table[last:]
-            if len(held) and (held[:, 3] == held[0, 3]).all() and len(held) > LARGE:
-                one, held = int(held[0, 0]), held[:0]
             if last:
                 for found in of_buckets(table[:last], begins[begins < last]):
                     if len(found):
@@ -450,8 +452,11 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[
     mixed_groups = members.groupBy("head").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
     own = labels.withColumnRenamed("node", "head").join(mixed_groups, "head", "full")
     comp = F.when(F.col("mixed"), -F.col("head") - 1).otherwise(F.coalesce("root", "head")).alias("comp")
-    labelled = buckets.select("token", "pos", "n", "head").join(own, "head", "left").select("token", "pos", "n", "head", comp)
-    crossing = _cross_pairs(labelled, similarity)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(own, "head", "left").select("token", "pos", "n", "head", comp)
+
+    crossing = _cross_pairs(buckets.select("token", "pos", "n", "head"), labelled, similarity)
     one = members.select(F.col("head").alias("a"), F.col("place").alias("a1"), F.col("comp").alias("c1"))
     two = members.select(F.col("head").alias("b"), F.col("place").alias("b1"), F.col("comp").alias("c2"))
     expanded = (

@@ -85,7 +85,7 @@ def test_cross_pairs_by_hand(spark, large):
     rows = [(t, rng.randrange(4), rng.randint(20, 60), rng.choice([7, 7, 7, *range(20, 30)]), 1000 * t + i) for t, size in ((1, 300), (2, 90), (3, 9), (4, 1)) for i in range(size)]
     rows += [(5, 0, 30, 8, 9000 + i) for i in range(400)]  # one component only
     frame = spark.createDataFrame(rows, "token bigint, pos bigint, n bigint, comp bigint, head bigint")
-    got = ngram_join._cross_pairs(frame, (90, 100), large).collect()
+    got = ngram_join._cross_pairs(frame, lambda part: part, (90, 100), large).collect()
     want = set()
     for x in rows:
         for y in rows:
