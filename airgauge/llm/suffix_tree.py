@@ -444,20 +444,32 @@ def _scores(chunk: Chunk, answers: list[Answer], masses: list, tokens: int, kind
 
 
 class _Store:
-    """Chunks as a bucketed table, so that answers find them without moving them again."""
+    """Chunks and what they are told, as bucketed tables, so that each chunk finds its answers
+    without moving either again."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame):
-        self.spark, self.name = spark, f"airgauge_chunks_{uuid.uuid4().hex}"
+        self.spark = spark
+        name = uuid.uuid4().hex
+        self.chunks, self.answers = f"airgauge_chunks_{name}", f"airgauge_answers_{name}"
+        self._folder = fresh_folder(spark, "answers")
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(_MOST_BUCKETS, max(parts, -(-size // CHUNK_BYTES)))
-        chunks = rows.mapInArrow(_chunks, _CHUNKS)
-        writer = chunks.write.bucketBy(buckets, "chunk").option("path", fresh_folder(spark, "chunks"))
-        writer.option("compression", "none").saveAsTable(self.name)
-        self.table = spark.table(self.name)
+        self.buckets = min(_MOST_BUCKETS, max(parts, -(-size // CHUNK_BYTES)))
+        writer = rows.mapInArrow(_chunks, _CHUNKS).write.bucketBy(self.buckets, "chunk")
+        writer.option("path", fresh_folder(spark, "chunks")).option("compression", "none").saveAsTable(self.chunks)
+        self.table = spark.table(self.chunks)
         self.bits = max(0, (-(-self.table.count() // _CHUNKS_PER_BLOCK) - 1).bit_length())
 
-    def each(self, function, answers: DataFrame, schema: str, least: int) -> DataFrame:
+    def tell(self, answers: DataFrame) -> None:
+        """Add answers to the table of them."""
+        dealt = answers.repartition(self.buckets, "chunk")  # as the buckets are, so each is one file
+        writer = dealt.write.mode("append").bucketBy(self.buckets, "chunk").option("path", self._folder)
+        writer.option("compression", "none").saveAsTable(self.answers)
+
+    def told(self) -> DataFrame:
+        return self.spark.table(self.answers)
+
+    def each(self, function, schema: str, least: int) -> DataFrame:
         """``function`` of each chunk and its answers."""
 
         def run(chunk: pa.Table, held: pa.Table) -> pa.Table:
@@ -466,10 +478,11 @@ class _Store:
             state = Chunk.loads(chunk["state"][0].as_py())
             return function(state, chunk["chunk"][0].as_py(), *_answers(held, least))
 
-        return self.table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+        return self.table.groupBy("chunk").cogroup(self.told().groupBy("chunk")).applyInArrow(run, schema)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.chunks, self.answers):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def suffix_scores(
@@ -512,10 +525,10 @@ def suffix_scores(
                 yield from _questions(0, number, chunk.vocabulary, chunk.word_counts(), shift)
 
     def counted(asked: DataFrame) -> DataFrame:
-        return written(asked.groupBy("block").applyInArrow(lambda x: _counted(x, least), _ANSWERS), "counted")
+        return asked.groupBy("block").applyInArrow(lambda x: _counted(x, least), _ANSWERS)
 
-    answers = counted(store.table.mapInArrow(words, _ASKED))
-    seen = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    store.tell(counted(store.table.mapInArrow(words, _ASKED)))
+    seen = store.told().agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     tokens, kinds = int(seen[0]), int(seen[1])
 
     def ask(chunk: Chunk, number: int, told: list[Answer], masses: list) -> pa.Table:
@@ -523,7 +536,7 @@ def suffix_scores(
         return pa.Table.from_batches(_questions(len(told), number, level.keys, level.counts, shift))
 
     for _ in range(depth):
-        answers = answers.unionByName(counted(store.each(ask, answers, _ASKED, least)))
+        store.tell(counted(store.each(ask, _ASKED, least)))
 
     def all_levels(told: list[Answer]) -> list[Answer]:
         """A chunk without n-grams of some length asked nothing there."""
@@ -532,7 +545,7 @@ def suffix_scores(
     def note(chunk: Chunk, number: int, told: list[Answer], masses: list) -> pa.Table:
         return pa.Table.from_batches(list(_notes(chunk, number, all_levels(told), least, depth)))
 
-    notes = written(store.each(note, answers, _NOTES, least), "notes")
+    notes = written(store.each(note, _NOTES, least), "notes")
     tree = states(notes.where("key IS NOT NULL"), tokens, kinds, depth, divergence, written)
     block = F.shiftright("context", 32).cast("int").alias("block")
     tree = tree.select((-F.col("level")).alias("level"), block, "context", "mass")
@@ -540,12 +553,12 @@ def suffix_scores(
     found = asked.groupBy("level", "block").cogroup(tree.groupBy("level", "block")).applyInArrow(
         lambda a, t: _looked_up(a, t) if a.num_rows else pa.table({}), _ANSWERS
     )
-    answers = answers.unionByName(written(found, "masses"))
+    store.tell(found)
 
     def score(chunk: Chunk, number: int, told: list[Answer], masses: list) -> pa.Table:
         masses = [*masses, *[np.zeros(0, np.int64)] * (depth - len(masses))]
         return _scores(chunk, all_levels(told), masses, tokens, kinds, least, depth)
 
-    scores = written(store.each(score, answers, SCORES, least), "scores")
+    scores = written(store.each(score, SCORES, least), "scores")
     store.drop()
     return scores
